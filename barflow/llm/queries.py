@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from barflow.llm.common import table
 from barflow.llm.decontamination import decontamination
 from barflow.llm.license_scan import license_scan
+from barflow.llm.packing import packing
 from barflow.llm.quality_rules import quality_rules
+from barflow.llm.suffix_dedup import suffix_dedup
 from barflow.llm.token_counts import token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -28,12 +34,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("found")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op7_license_scan, op8_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
