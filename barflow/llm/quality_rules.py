@@ -127,7 +127,7 @@ BASE = (
 #: Further rules; each threshold leaves ordinary prose of any language far away.
 MORE = (
     Rule("symbols", lambda d: 100 * d.n_symbols > 10 * d.word_chars),
-    Rule("duplicate_lines", lambda d: 100 * d.n_dup_lines > 30 * len(d.lines)),
+    Rule("duplicate_lines", lambda d: d.n_dup_lines >= 3 and 100 * d.n_dup_lines > 30 * len(d.lines)),
     Rule("capitals", lambda d: d.letters[0] >= 40 and 100 * d.letters[1] > 50 * d.letters[0]),
     Rule("shouted_ends", lambda d: 100 * d.text.count(b"!!") > 30 * d.n_words),
     Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 20 * d.n_words),
