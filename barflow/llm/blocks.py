@@ -182,3 +182,28 @@ def deflated(payload: bytes) -> bytes:
 
 def inflated(payload: bytes) -> bytes:
     return zlib.decompress(payload)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit keys as byte planes of their differences; the empty planes vanish when the shuffle compresses."""
+    d = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(data: np.ndarray) -> np.ndarray:
+    planes = np.ascontiguousarray(data.reshape(8, -1).T)
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+
+
+def chosen(blocks: DataFrame, rows: DataFrame, schema: object) -> DataFrame:
+    """The documents of blocks at given rows: `rows` has block and at (place in the block)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(schema).empty_table()
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        return opened(left.column("rows")[0].as_py()).take(pa.array(sorted(right.column("at").to_pylist())))
+
+    return blocks.select("block", "rows").groupBy("block").cogroup(rows.select("block", "at").groupBy("block")).applyInArrow(run, schema)
