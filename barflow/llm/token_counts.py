@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from barflow.llm.common import batch, id_type, mapped, narrowed
 
 #: Characters of a chunk, and of the first overlap.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 65_536, 1024
 #: Characters on both sides of a splice on which both encodings must agree.
 SURE = 24
 #: Tokens beyond which over_limit is true.
@@ -40,6 +40,7 @@ class Library:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.splits_at_space = False
         self._memo: dict[bytes, bytes] = {}
+        self._sizes: dict[bytes, int] = {}
         if path.endswith(".json"):
             import json
 
@@ -92,6 +93,20 @@ class Library:
                     memo[w] = np.array(ids, "<u4").tobytes()
             return b"".join(map(memo.__getitem__, words))
 
+    def size(self, text: bytes) -> int:
+        """Number of ids of a whole text, by the same rule as packed()."""
+        if not self.splits_at_space:
+            return self._count([text.decode("utf-8", "replace")])[0]
+        words, sizes = text.split(), self._sizes
+        try:
+            return sum(map(sizes.__getitem__, words))
+        except KeyError:
+            if len(sizes) > _MEMO:
+                sizes.clear()
+            new = [w for w in dict.fromkeys(words) if w not in sizes]
+            sizes.update(zip(new, self._count([w.decode("utf-8", "replace") for w in new]), strict=True))
+            return sum(map(sizes.__getitem__, words))
+
     def learn(self, texts: list[bytes]) -> None:
         """Encodes the words of many texts at once, for packed()."""
         if self.splits_at_space:
@@ -194,16 +209,15 @@ def _aligned(spans: tuple, mark: int) -> int:
 
 def count(lib: Library, texts: list[bytes], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     """Tokens of whole texts; those over `chunk` characters by overlap resynchronisation."""
-    short = [t for t in texts if len(t) <= chunk]
-    lib.learn(short)
-    plain = iter([] if lib.splits_at_space else lib._count([t.decode("utf-8", "replace") for t in short]))
+    plain = iter([] if lib.splits_at_space else lib._count([t.decode("utf-8", "replace") for t in texts if len(t) <= chunk]))
     out = []
     for t in texts:
-        if len(t) > chunk:
-            s = t.decode("utf-8", "replace")
-            out.append(len(spliced(lib, s, chunk, overlap)) if len(s) > chunk else len(lib.ids(s)))
+        if len(t) > chunk and len(s := t.decode("utf-8", "replace")) > chunk:
+            out.append(len(spliced(lib, s, chunk, overlap)))
+        elif len(t) > chunk:
+            out.append(lib.size(t))
         else:
-            out.append(len(lib.packed(t)) // 4 if lib.splits_at_space else next(plain))
+            out.append(lib.size(t) if lib.splits_at_space else next(plain))
     return out
 
 
