@@ -93,9 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         lib = library(tokenizer)
         rows, at = [], []
-        texts = part.column("text").to_pylist()
-        lib.learn(texts)
-        for k, text in enumerate(texts):
+        for k, text in enumerate(part.column("text").to_pylist()):
             ids = lib.packed(text) + tail
             total = len(ids) // 4
             for a in range(0, total, size):

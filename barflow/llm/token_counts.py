@@ -14,6 +14,7 @@ handled by the library's defaults.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ SURE = 24
 #: Tokens beyond which over_limit is true.
 LIMIT = 2048
 #: Words whose ids a worker keeps.
-_MEMO = 1_000_000
+_MEMO = 1_500_000
 
 
 class Library:
@@ -39,8 +40,10 @@ class Library:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.splits_at_space = False
-        self._memo: dict[bytes, bytes] = {}
-        self._sizes: dict[bytes, int] = {}
+        self._bpe = None
+        self._lowers = False
+        self._memo = _Memo(lambda w: np.array(self.word_ids(w), "<u4").tobytes())
+        self._sizes = _Memo(lambda w: len(self.word_ids(w)))
         if path.endswith(".json"):
             import json
 
@@ -52,6 +55,11 @@ class Library:
             self.splits_at_space = _isolates_words(spec)
             self._ids = lambda texts: [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
             self._count = lambda texts: [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+            if self.splits_at_space:
+                self._lowers = self._ids(["THE Word"]) == self._ids(["the word"])
+                self._bpe = self._tok.model
+                if not self._lowers or any(self.word_ids(w.encode()) != self._ids([w])[0] for w in _PROBE):
+                    self._bpe = None
         else:
             import sentencepiece
 
@@ -80,43 +88,58 @@ class Library:
         """
         if not self.splits_at_space:
             return np.array(self.ids(text.decode("utf-8", "replace")), "<u4").tobytes()
-        words, memo = text.split(), self._memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > _MEMO:
-                memo.clear()
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            for i in range(0, len(new), 8192):
-                some = new[i : i + 8192]
-                for w, ids in zip(some, self._ids([w.decode("utf-8", "replace") for w in some]), strict=True):
-                    memo[w] = np.array(ids, "<u4").tobytes()
-            return b"".join(map(memo.__getitem__, words))
+        return b"".join(map(self._memo.__getitem__, self._words(text)))
 
     def size(self, text: bytes) -> int:
         """Number of ids of a whole text, by the same rule as packed()."""
         if not self.splits_at_space:
             return self._count([text.decode("utf-8", "replace")])[0]
-        words, sizes = text.split(), self._sizes
-        try:
-            return sum(map(sizes.__getitem__, words))
-        except KeyError:
-            if len(sizes) > _MEMO:
-                sizes.clear()
-            new = [w for w in dict.fromkeys(words) if w not in sizes]
-            sizes.update(zip(new, self._count([w.decode("utf-8", "replace") for w in new]), strict=True))
-            return sum(map(sizes.__getitem__, words))
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encodes the words of many texts at once, for packed()."""
-        if self.splits_at_space:
-            if len(self._memo) > _MEMO:
-                self._memo.clear()
-            new = list({w for t in texts for w in t.split()}.difference(self._memo))
-            for i in range(0, len(new), 8192):
-                some = new[i : i + 8192]
-                for w, ids in zip(some, self._ids([w.decode("utf-8", "replace") for w in some]), strict=True):
-                    self._memo[w] = np.array(ids, "<u4").tobytes()
+        return sum(map(self._sizes.__getitem__, self._words(text)))
+
+    def _words(self, text: bytes) -> list[bytes]:
+        # A-Z is lower-cased by the tokenizer anyway, but for special strings, which it looks for first
+        return (text.lower() if self._lowers and b"<" not in text else text).split()
+
+    def word_ids(self, word: bytes) -> list[int]:
+        w = word.decode("utf-8", "replace")
+        if self._bpe is not None:
+            if _LETTERS.fullmatch(w):
+                return [t.id for t in self._bpe.tokenize(w if w.isascii() else "".join(map(_BYTE_CHAR.__getitem__, word)))]
+            m = _ENDED.fullmatch(w)
+            if m:  # letters end where signs begin, whatever stands around
+                return self.word_ids(m[1].encode()) + [t.id for t in self._bpe.tokenize(m[2])]
+        return self._ids([w])[0]
+
+
+class _Memo(dict):
+    """Word -> value, computed when first asked for; emptied when full, so a worker's memory stays bounded."""
+
+    def __init__(self, value):
+        super().__init__()
+        self.value = value
+
+    def __missing__(self, word: bytes):
+        if len(self) >= _MEMO:
+            self.clear()
+        out = self[word] = self.value(word)
+        return out
+
+
+#: Lower-case letters that are one pre-token whatever follows, and signs after them that are another.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_ENDED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\\-./:;=?@^_`{}~\\[\\]]+)")
+
+
+def _byte_chars() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
+_BYTE_CHAR = _byte_chars()
+#: Words on which the short way to a word's ids must agree with the library before it is used.
+_PROBE = ("a", "the", "word", "straße", "éélève", "niño", "über,", "end.", "stop!!", "x###", "(no", "don't", "naïve;", "öäü", "zzz...")
 
 
 def _isolates_words(spec: dict) -> bool:
@@ -125,14 +148,16 @@ def _isolates_words(spec: dict) -> bool:
     parts = pre.get("pretokenizers", [pre])
     post = spec.get("post_processor")
     added = spec.get("added_tokens", [])
+    rule = parts[0].get("pattern") if parts else None
+    rule = rule.get("Regex", "") if isinstance(rule, dict) else ""
     return (
         post is None
         and bool(parts)
         and parts[0].get("type") == "Split"
         and parts[0].get("behavior") == "Removed"
         and parts[0].get("invert") is True
-        and r"[^\s" in str(parts[0].get("pattern"))
-        and " ?" not in str(parts[0].get("pattern"))
+        and r"[^\s" in rule
+        and " " not in rule
         and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
     )
 
