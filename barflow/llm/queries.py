@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barflow.llm.common import table
 from barflow.llm.decontamination import decontamination
 from barflow.llm.license_scan import license_scan
+from barflow.llm.lm_scoring import lm_scoring
 from barflow.llm.ngram_join import ngram_join
 from barflow.llm.packing import packing
 from barflow.llm.quality_rules import quality_rules
@@ -27,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op5_ngram_join, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op5_ngram_join, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
