@@ -13,6 +13,7 @@ from barflow.llm.license_scan import license_scan
 from barflow.llm.lm_scoring import lm_scoring
 from barflow.llm.ngram_join import ngram_join
 from barflow.llm.packing import packing
+from barflow.llm.quality_classifier import quality_classifier
 from barflow.llm.quality_rules import quality_rules
 from barflow.llm.suffix_dedup import suffix_dedup
 from barflow.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op5_ngram_join, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op4_quality_classifier, op5_ngram_join, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {}
