@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barflow.llm.common import table
 from barflow.llm.decontamination import decontamination
@@ -17,6 +18,7 @@ from barflow.llm.quality_classifier import quality_classifier
 from barflow.llm.quality_rules import quality_rules
 from barflow.llm.suffix_dedup import suffix_dedup
 from barflow.llm.token_counts import token_counts
+from barflow.llm.warc import crawl, resolve_revisits
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -41,6 +43,16 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's second visit resolved: its response, the verdict, the body's size and digest, and the merged headers."""
+    found = resolve_revisits(crawl(table(spark, sf_dir, "pages")))
+    header = lambda k: F.coalesce(F.element_at("headers", k), F.lit("-"))
+    return found.select(
+        F.col("id").alias("page_id"), "canonical", "response_id", "verdict", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.md5(F.col("body").cast("binary")).alias("body_md5"),
+        F.concat_ws(";", *(header(k) for k in ("age", "cache-control", "content-length", "content-type"))).alias("merged"),
+    )
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,7 +70,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op4_quality_classifier, op5_ngram_join, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op4_quality_classifier, op5_ngram_join, op6_warc_revisits, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
 }
 
-ORACLE: dict[str, str] = {}
+#: The crawl of op6, by an as-of join.
+_OP6 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages
+), q AS (
+  SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept
+  FROM p
+), c AS (
+  SELECT page_id, html, tag,
+    regexp_replace(lower(regexp_extract(path, '^([^/]*)', 1)), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(path, '^[^/]*(.*)$', 1), '/+$', '')
+      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
+  FROM q
+), j AS (
+  SELECT a.page_id, a.canonical, a.tag, b.page_id AS rid, b.tag AS rtag, b.html AS body
+  FROM c a ASOF LEFT JOIN c b ON a.canonical = b.canonical AND a.page_id * 2 + 1001 > b.page_id * 2
+)
+SELECT page_id, canonical, CASE WHEN tag = rtag THEN rid END AS response_id,
+  CASE WHEN rid IS NULL THEN 'no response' WHEN tag = rtag THEN 'resolved' ELSE 'changed' END AS verdict,
+  CASE WHEN tag = rtag THEN CAST(octet_length(encode(body)) AS BIGINT) ELSE 0 END AS n_bytes,
+  CASE WHEN tag = rtag THEN md5(body) END AS body_md5,
+  CASE WHEN tag = rtag THEN '0;max-age=600;' || CAST(octet_length(encode(body)) AS VARCHAR) || ';text/html' ELSE '0;max-age=600;0;-' END AS merged
+FROM j
+"""
+
+ORACLE: dict[str, str] = {"op6_warc_revisits": _OP6}
