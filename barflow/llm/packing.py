@@ -31,8 +31,8 @@ from barflow.llm.token_counts import library
 SIZE = 4096
 #: The id that closes every document.
 END = 2
-#: Pieces of one salt, about.
-PER_SALT = 20_000
+#: Pieces of one length that are numbered together, about.
+PER_SALT = 200
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -105,10 +105,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return mapped(narrowed(docs, id_col, text_col), kernel, schema)
 
 
-def ranked(rows: DataFrame, count: int) -> DataFrame:
-    """Adds rank: 0, 1, 2 … within each length, over all rows."""
-    salts = max(1, -(-count // PER_SALT))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """Adds rank: 0, 1, 2 … within each length, over all rows. A length has as many salts as its number of pieces asks for."""
+    spread = rows.sparkSession.createDataFrame([(n, -(-c // PER_SALT)) for n, c in histogram.items()], "length long, salts long")  # at most `size` rows
+    rows = rows.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))).drop("salts")
     sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -139,7 +139,7 @@ def packing(
             sequence, offset = p["sequence"][k] + i // p["copies"][k], p["offset"][k] + (i % p["copies"][k]) * n
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked(rows, sum(histogram.values())).select(*names, "rank").mapInArrow(place_all, schema)
+    return ranked(rows, histogram).select(*names, "rank").mapInArrow(place_all, schema)
 
 
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = 0) -> DataFrame:
