@@ -135,6 +135,7 @@ def answered(questions: DataFrame, answer: Callable[[list[tuple[int, bytes]]], I
         for b, p in answer(got):
             block.append(b)
             payload.append(p)
+        pa.default_memory_pool().release_unused()  # workers are reused
         return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(block), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return questions.groupBy("shard").applyInArrow(run, ASKED)
@@ -153,7 +154,9 @@ def told(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.Table, li
         if not left.num_rows:
             return empty
         got = sorted(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True)) if right.num_rows else []
-        return use(key[0].as_py(), opened(left.column("rows")[0].as_py()), got)
+        out = use(key[0].as_py(), opened(left.column("rows")[0].as_py()), got)
+        pa.default_memory_pool().release_unused()  # workers are reused
+        return out
 
     return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

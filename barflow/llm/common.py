@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,21 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM).split()
 
 
+class _WordHashes(dict):
+    """64-bit hash of a word, computed when first asked for; emptied when full, so a worker's memory stays bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MEMO:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+#: Words whose hashes a worker keeps; one memory for all operators, since workers are reused.
+_MEMO = 300_000
+word_hashes = _WordHashes()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; the path may be in any store that Spark reads."""
     ship(spark)

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.blocks import answered, asked, blocked, deflated, inflated, pack, pack_keys, shard_slices, shards, texts, told, unpack, unpack_keys
-from barflow.llm.common import crc_mod, id_type, space_words, written
+from barflow.llm.common import crc_mod, id_type, space_words, word_hashes, written
 
 #: Weight of the unigram in a bigram's estimate, in tokens.
 PRIOR = 1000.0
@@ -41,23 +40,11 @@ ADDED = 0.1
 FOLDS = 10
 #: Text bytes that one shard of the counts stands for.
 PER_SHARD = 16 << 20
-_MEMO = 500_000
 _BEGIN, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _A, _B = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = np.uint64(1)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 class Tokens:
     """Tokens of a block as hashes, with their histories; the lowest bit is left free."""
 
@@ -68,7 +55,7 @@ class Tokens:
         self.starts = self.ends - self.sizes
         tok = np.empty(int(self.sizes.sum()), np.uint64)
         for w, a in zip(each, self.starts.tolist(), strict=True):
-            tok[a : a + len(w)] = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+            tok[a : a + len(w)] = np.fromiter(map(word_hashes.__getitem__, w), np.uint64, len(w))
         tok[self.ends - 1] = _END
         hist = np.empty_like(tok)
         hist[1:] = tok[:-1]

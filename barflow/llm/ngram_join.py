@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.blocks import answered, asked, blocked, chosen, deflated, inflated, pack, pack_keys, shard_slices, shards, texts, told, unpack, unpack_keys
-from barflow.llm.common import space_words, written
+from barflow.llm.common import space_words, word_hashes, written
 from barflow.llm.components import components
 
 #: Words of a shingle; similarity as a fraction.
@@ -41,27 +41,15 @@ PER_SHARD = 16 << 20
 RANGES = 8
 #: Bits of a shingle's hash that the frequency count uses; a clash can only make a shingle look more frequent.
 _COUNT_BITS = 48
-_MEMO = 500_000
 _MUL = np.array([pow(0xD6E8FEB86659FD93, j + 1, 1 << 64) for j in range(64)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 def shingle_sets(docs: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     out = []
     for text in docs:
         w = space_words(text.lower())
-        ids = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+        ids = np.fromiter(map(word_hashes.__getitem__, w), np.uint64, len(w))
         k = min(words, len(w))
         if not k:
             out.append(ids)
@@ -139,6 +127,12 @@ def _count(got: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 _NODES = "kind string, doc_id long, block long, at long, node binary, n long, shingle long, pos int, central int, ranges array<int>, shingles array<long>"
 
 
+_ROW = pa.schema([
+    ("kind", pa.string()), ("doc_id", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()),
+    ("central", pa.int32()), ("ranges", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64())),
+])
+
+
 def _tell(words: int, num: int, den: int):
     def use(block: int, docs: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
         sets, nodes, first = _distinct(docs, words)
@@ -146,32 +140,40 @@ def _tell(words: int, num: int, den: int):
         keys, _ = _keys(sets, rows)
         df = np.frombuffer(b"".join(inflated(p) for _, p in got), "<u2").astype(np.int64)
         shift = np.uint64(64 - _COUNT_BITS)
-        out: dict[str, list] = {k: [] for k in ("kind", "doc_id", "block", "at", "node", "n", "shingle", "pos", "central", "ranges", "shingles")}
-
-        def add(m: int, **values: object) -> None:
-            for k, v in out.items():
-                x = values.get(k)
-                v.extend(x if isinstance(x, list) else [x] * m)
-
-        ids = docs.column("doc_id").to_pylist()
-        m = len(ids)
-        add(m, kind="member", doc_id=ids, block=block, at=list(range(m)), node=nodes, n=[len(s) for s in sets])
+        m = docs.num_rows
+        members = pa.table({
+            "kind": pa.array(["member"] * m), "doc_id": docs.column("doc_id").cast(pa.int64()), "block": pa.array(np.full(m, block, np.int64)), "at": pa.array(np.arange(m)),
+            "node": pa.array(nodes, pa.binary()), "n": pa.array(np.array([len(s) for s in sets], np.int64)),
+        })
+        held, pos, central = [], [], []
         for i in rows:
             s = sets[i]
-            size = len(s)
             own = df[np.searchsorted(keys, (s >> shift) << shift)]
-            reach = size - (num * size + den - 1) // den + 1
+            reach = len(s) - (num * len(s) + den - 1) // den + 1
             order = np.lexsort((s, own))[:reach]
-            pos = np.flatnonzero(own[order] > 1)
-            if not len(pos):
-                continue
-            k = len(pos)
-            spread = np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=RANGES).tolist()
-            central = int(1000 * np.log2(own).mean())
-            add(k, kind="entry", node=nodes[i], n=size, shingle=s[order[pos]].view(np.int64).tolist(), pos=pos.tolist(), central=central, ranges=[spread] * k)
-            add(1, kind="set", node=nodes[i], n=size, shingles=[s.view(np.int64).tolist()])
-        kinds = {"kind": pa.string(), "node": pa.binary(), "pos": pa.int32(), "central": pa.int32(), "ranges": pa.list_(pa.int32()), "shingles": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+            p = np.flatnonzero(own[order] > 1)
+            if len(p):
+                held.append((i, s[order[p]]))
+                pos.append(p.astype(np.int32))
+                central.append(int(1000 * np.log2(own).mean()))
+        if not held:
+            return pa.concat_tables([members, _ROW.empty_table()], promote_options="default").select(_ROW.names)
+        counts = np.array([len(p) for p in pos])
+        of = pa.array(np.repeat(np.arange(len(held)), counts))
+        node = pa.array([nodes[i] for i, _ in held], pa.binary())
+        size = pa.array(np.array([len(sets[i]) for i, _ in held], np.int64))
+        spread = np.stack([np.bincount((sets[i] >> np.uint64(61)).astype(np.int64), minlength=RANGES) for i, _ in held]).astype(np.int32)
+        total = int(counts.sum())
+        entries = pa.table({
+            "kind": pa.array(["entry"]).take(pa.array(np.zeros(total, np.int64))), "node": node.take(of), "n": size.take(of), "shingle": pa.array(np.concatenate([x for _, x in held]).view(np.int64)),
+            "pos": pa.array(np.concatenate(pos)), "central": pa.array(np.repeat(np.array(central, np.int32), counts)),
+            "ranges": pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * RANGES), pa.array(np.repeat(spread, counts, axis=0).ravel())),
+        })
+        ends = np.concatenate(([0], np.cumsum([len(sets[i]) for i, _ in held]))).astype(np.int32)
+        whole = pa.table({
+            "kind": pa.array(["set"] * len(held)), "node": node, "n": size, "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([sets[i] for i, _ in held]).view(np.int64))),
+        })
+        return pa.concat_tables([members, entries, whole, _ROW.empty_table()], promote_options="default").select(_ROW.names)
 
     return use
 

@@ -33,7 +33,7 @@ CUT = 0.3
 BITS = 18
 #: Smoothing of the counts, bound of the dual variables, passes of the descent.
 ALPHA, COST, PASSES = 1.0, 1.0, 12
-_MEMO = 500_000
+_MEMO = 300_000
 _MASK = np.uint64((1 << BITS) - 1)
 _MUL = np.array([pow(0xA0761D6478BD642F, j + 1, 1 << 64) for j in range(8)], dtype=np.uint64)
 _CAPS, _SMALL, _DIGIT = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[a-zß-öø-ÿ]+"), re.compile("[0-9]+")

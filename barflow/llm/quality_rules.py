@@ -17,10 +17,9 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from barflow.llm.common import batch, id_type, mapped, narrowed, slices, space_words
+from barflow.llm.common import batch, id_type, mapped, narrowed, slices, space_words, word_hashes
 
 #: Rows of the sample on which rules are timed, at most; it decides the order of work and never a result.
 SAMPLE_ROWS = 400
@@ -28,23 +27,10 @@ SAMPLE_ROWS = 400
 WINDOW = 8
 #: Symbols that are counted (fixed values).
 SYMBOLS = b"#*$%&|<>"
-#: Number of words whose hashes a worker keeps.
-_MEMO = 500_000
 _SPACE = b" \t\n\x0b\x0c\r"
 _COEFF = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(64)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 class Doc:
     """A text with what rules ask of it; each is computed when first asked for."""
 
@@ -93,7 +79,7 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     key = np.zeros(n, np.uint64)
     for j in range(window):
         key += ids[j : j + n] * _COEFF[j]

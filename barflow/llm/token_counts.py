@@ -31,7 +31,7 @@ SURE = 24
 #: Tokens beyond which over_limit is true.
 LIMIT = 2048
 #: Words whose ids a worker keeps.
-_MEMO = 1_500_000
+_MEMO = 400_000
 
 
 class Library:
