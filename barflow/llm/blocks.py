@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import shared_dir
+from barflow.llm.common import shared_dir, trim
 
 #: Text bytes in a block, about (a longer text is a block of its own).
 BLOCK_BYTES = 6 << 20
@@ -77,6 +77,7 @@ def blocked(df: DataFrame, text_col: str = "text", target: int = BLOCK_BYTES) ->
                 held.append(part.slice(start))
         if held:
             yield out()
+        trim()
 
     path = f"{shared_dir(spark)}/barflow/blocks-{uuid.uuid4().hex}"
     df.mapInArrow(run, "block long, size long, n long, rows binary").write.option("compression", "none").parquet(path)
@@ -111,6 +112,7 @@ def asked(blocks: DataFrame, ask: Callable[[pa.Table], Iterator[tuple[int, bytes
         for part in batches:
             for block, rows in zip(part.column("block").to_pylist(), part.column("rows"), strict=True):
                 yield rows_of(block, ask(opened(rows.as_py())))
+        trim()
 
     return blocks.select("block", "rows").mapInArrow(run, ASKED)
 
@@ -135,7 +137,7 @@ def answered(questions: DataFrame, answer: Callable[[list[tuple[int, bytes]]], I
         for b, p in answer(got):
             block.append(b)
             payload.append(p)
-        pa.default_memory_pool().release_unused()  # workers are reused
+        trim()
         return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(block), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
     return questions.groupBy("shard").applyInArrow(run, ASKED)
@@ -155,7 +157,7 @@ def told(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.Table, li
             return empty
         got = sorted(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True)) if right.num_rows else []
         out = use(key[0].as_py(), opened(left.column("rows")[0].as_py()), got)
-        pa.default_memory_pool().release_unused()  # workers are reused
+        trim()
         return out
 
     return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

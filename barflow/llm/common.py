@@ -10,6 +10,7 @@ Conventions that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -69,10 +70,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise than Spark's default.
+ARROW_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that workers anywhere can import it."""
+    """Sends this package to the executors once for each application, so that workers anywhere can import it.
+
+    Arrow batches are kept small where the session has Spark's default, since several operators run in one executor.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -86,6 +94,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the host: workers are reused by later operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -161,6 +178,7 @@ def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | No
             out = kernel(part)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barflow.llm.common import batch, id_type, mapped, narrowed, slices, space_words, word_hashes
+from barflow.llm.common import batch, id_type, mapped, narrowed, slices, space_words, trim, word_hashes
 
 #: Rows of the sample on which rules are timed, at most; it decides the order of work and never a result.
 SAMPLE_ROWS = 400
@@ -192,5 +192,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
         for part in slices(batches, text_col):
             texts = part.column(text_col).cast(pa.binary()).to_pylist()
             yield part.filter(pa.array([cascade(order, Doc(t or b"")) is None for t in texts], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

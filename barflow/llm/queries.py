@@ -13,6 +13,7 @@ from barflow.llm.decontamination import decontamination
 from barflow.llm.license_scan import license_scan
 from barflow.llm.lm_scoring import lm_scoring
 from barflow.llm.ngram_join import ngram_join
+from barflow.llm.oracle import OP5, OP8, OP10
 from barflow.llm.packing import packing
 from barflow.llm.quality_classifier import quality_classifier
 from barflow.llm.quality_rules import quality_rules
@@ -102,4 +103,4 @@ SELECT page_id, canonical, CASE WHEN tag = rtag THEN rid END AS response_id,
 FROM j
 """
 
-ORACLE: dict[str, str] = {"op6_warc_revisits": _OP6}
+ORACLE: dict[str, str] = {"op5_ngram_join": OP5, "op6_warc_revisits": _OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}

@@ -42,7 +42,7 @@ HOT = 4096
 PER_SHARD = 24 << 20
 #: Bytes in one transform, about.
 BWT_BYTES = 1 << 20
-_CHUNK = 2 << 20
+_CHUNK = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _TABLES = _RNG.integers(1 << 62, (1 << 64) - 1, (2, 256), dtype=np.uint64)
 _ODD = _RNG.integers(1 << 62, (1 << 64) - 1, (2, 16), dtype=np.uint64) | np.uint64(1)

@@ -77,8 +77,10 @@ class Library:
             e = self._tok.encode(text, add_special_tokens=False)
             at = e.offsets
             return e.ids, [a for a, _ in at], [b for _, b in at]
-        pieces = self._sp.encode(text, out_type="immutable_proto").pieces
-        return [p.id for p in pieces], [p.begin for p in pieces], [p.end for p in pieces]
+        pieces = self._sp.encode(text, return_type="proto").pieces
+        # places are counted in bytes
+        char = np.concatenate((np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1, [len(text)]))
+        return [p.id for p in pieces], char[[p.begin for p in pieces]].tolist(), char[[p.end for p in pieces]].tolist()
 
     def packed(self, text: bytes) -> bytes:
         """Ids of a whole text as unsigned little-endian 32-bit numbers.
