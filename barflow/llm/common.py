@@ -79,7 +79,7 @@ def ship(spark: SparkSession) -> None:
 
     Arrow batches are kept small where the session has Spark's default, since several operators run in one executor.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
