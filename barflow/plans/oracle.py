@@ -379,3 +379,4 @@ ORACLE: dict[str, str] = {
     "paired_bootstrap": f"""WITH {rotation()}, bh AS (SELECT bar, coalesce(avg(ret), 0) AS hold FROM sig, prm WHERE bar >= start AND close IS NOT NULL GROUP BY bar), bo AS (SELECT bar, pnl, hold FROM pnl JOIN bh USING (bar)), {boot('bo', ['pnl', 'hold'])}
       SELECT boot, {rnd(boot_sharpe('pnl') + ' - ' + boot_sharpe('hold'), 'diff')} FROM dr""",
 }
+ORACLE["tick_bars"] = ORACLE["panel_hourly_bars"]

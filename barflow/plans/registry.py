@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barflow.functions import stats
+from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import machine, pairs, panel, results, rotation
+from barflow.operators import factors, machine, pairs, panel, results, rotation
 from barflow.plans.oracle import ORACLE  # noqa: F401
-from barflow.sources.bars import complete, daily, hourly
+from barflow.sources.bars import complete, daily, hourly, table
+from barflow.streaming.bars import bar_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = ["a", "b"]
@@ -610,3 +611,86 @@ def deflated_sharpe(spark, d):
 @query
 def leaderboard(spark, d):
     return results.leaderboard(results.deflated(_evaluations(spark, d), 14, 0.02)).select("family", r("pct_profitable"), r("dsr"))
+
+
+# --- models ----------------------------------------------------------------------------------------------------------------
+
+
+@query
+def adf_lagged(spark, d):
+    """Change on level and one earlier change, with p-value."""
+    s = pairs.spreads(joint(spark, d))
+    out = models.by_key(s, PAIR, "spread", models.lagged_unit_root, "gamma double, error double, tau double, p double")
+    return out.select(*PAIR, r("gamma"), r("error"), r("tau"), r("p"))
+
+
+@query
+def pca_residuals(spark, d):
+    x = _factor_rows(spark, d)
+    return factors.residuals(x, 200, 100, 45, 2, 3).select("symbol", n("bar"), n("refit"), r("resid"))
+
+
+@query
+def pca_stat_arb(spark, d):
+    out = factors.stat_arb(factors.residuals(_factor_rows(spark, d), 200, 100, 45, 2, 3))
+    return out.select("symbol", n("bar"), r("z"), r("position"), "reason", n("n_open"), r("part"))
+
+
+def _factor_rows(spark, d):
+    x = panel.indexed(complete(daily(spark, d)))
+    return x.select("symbol", "bar", ind.log_return().alias("ret"))
+
+
+@query
+def garch_fit(spark, d):
+    x = bars(spark, d).select("symbol", F.col("bar").alias("i"), ind.log_return().alias("x"))
+
+    def f(v):
+        m = models.fit_garch(v)
+        return m["mu"], m["omega"], m["alpha"], m["beta"], m["loglik"], m["alpha"] + m["beta"]
+
+    return models.by_key(x, ["symbol"], "x", f, "mu double, omega double, alpha double, beta double, loglik double, persistence double").select("symbol", *(r(c) for c in ("mu", "omega", "alpha", "beta", "loglik", "persistence")))
+
+
+@query
+def garch_forecast(spark, d):
+    x = bars(spark, d).select("symbol", F.col("bar").alias("i"), ind.log_return().alias("x"))
+    f = lambda v: tuple(models.forecast(v, models.fit_garch(v), 5) ** 0.5)
+    return models.by_key(x, ["symbol"], "x", f, "h1 double, h2 double, h3 double, h4 double, h5 double").select("symbol", *(r(f"h{k}") for k in range(1, 6)))
+
+
+@query
+def ou_calibration(spark, d):
+    """The entry threshold of each pair from its own speed and deviation, at five basis points a trade."""
+    s = stats.changes(pairs.spreads(joint(spark, d)), PAIR, "spread").groupBy(*PAIR).agg(*stats.unit_root())
+    kinds = "a string, b string, kappa double, sigma double, entry_z double, expected double"
+
+    def run(batches):
+        for p in batches:
+            found = [models.calibrate_entry(-g, v, 5e-4, sims=60) for g, v in zip(p["gamma"], p["sigma"], strict=True)]
+            yield p.assign(kappa=-p["gamma"], entry_z=[x[0] if x else None for x in found], expected=[x[1] if x else None for x in found])[["a", "b", "kappa", "sigma", "entry_z", "expected"]]
+
+    return s.select(*PAIR, "gamma", "sigma").mapInPandas(run, kinds).select(*PAIR, r("kappa"), r("sigma"), r("entry_z"), r("expected"))
+
+
+@query
+def ou_simulation(spark, d):
+    """Stationary moments of simulated paths against theory; one group for each parameter set."""
+    grid = spark.createDataFrame([(0.05, 0.5), (0.1, 0.5), (0.08, 1.0)], "kappa double, sigma double")
+
+    def run(batches):
+        for p in batches:
+            x = [models.simulate_ou(k, s, 600, 200)[:, 200:] for k, s in zip(p["kappa"], p["sigma"], strict=True)]
+            yield p.assign(mean=[v.mean() for v in x], var=[v.var() for v in x])
+
+    out = grid.mapInPandas(run, "kappa double, sigma double, mean double, var double")
+    theory = F.col("sigma") * F.col("sigma") / (1 - (1 - F.col("kappa")) * (1 - F.col("kappa")))
+    return out.select("kappa", "sigma", r("mean"), r("var"), r(theory, "theory"), r(F.ln(F.lit(2.0)) / F.col("kappa"), "half_life"))
+
+
+@query
+def tick_bars(spark, d):
+    """The streaming bar aggregation on the whole table: equal to the batch bars."""
+    ticks = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = bar_stream(ticks, "event_type", "ts", "value")
+    return x.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r("open"), r("high"), r("low"), r("close"), n("volume"))
