@@ -218,9 +218,14 @@ def hurst_lag_sensitivity(spark, d):
     return stats.hurst_by(x.join(limits, "symbol"), ["symbol", "pct"], "x", maximum="m").select("symbol", n("pct"), r("h"))
 
 
+def screened(spark: SparkSession, d: str, least: int = 200) -> DataFrame:
+    """The ranked screen of all pairs with enough joint bars."""
+    return pairs.screen(joint(spark, d, least), bars_per_day=24.0).select("pair", r("beta"), r("adf_stat"), r("h"), r("half_life_bars"), r("half_life_days"), n("n_bars"), "qualifies")
+
+
 @query
 def pair_screen_full(spark, d):
-    return pairs.screen(joint(spark, d), bars_per_day=24.0).select("pair", r("beta"), r("adf_stat"), r("h"), r("half_life_bars"), r("half_life_days"), n("n_bars"), "qualifies")
+    return screened(spark, d)
 
 
 @query
