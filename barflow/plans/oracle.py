@@ -380,3 +380,31 @@ ORACLE: dict[str, str] = {
       SELECT boot, {rnd(boot_sharpe('pnl') + ' - ' + boot_sharpe('hold'), 'diff')} FROM dr""",
 }
 ORACLE["tick_bars"] = ORACLE["panel_hourly_bars"]
+
+#: Refits in force (the last at or before a session), windows of each row's own length by a range join.
+WALK = f"""{pairs()}, rf AS (SELECT DISTINCT a, b, sess AS refit FROM prs WHERE sess >= 5 AND (sess - 5) % 5 = 0),
+  win AS (SELECT p.a || '|' || p.b || '|' || r.refit AS key, p.*, r.refit FROM rf r JOIN prs p ON p.a = r.a AND p.b = r.b AND p.sess >= r.refit - 5 AND p.sess < r.refit),
+  ft AS (SELECT key, any_value(a) AS a, any_value(b) AS b, any_value(refit) AS refit, regr_intercept(la, lb) AS alpha, regr_slope(la, lb) AS beta FROM win GROUP BY key HAVING count(*) >= 50),
+  spr AS (SELECT w.key, w.i, w.sess, w.la - f.beta * w.lb - f.alpha AS spread FROM win w JOIN ft f USING (key)), {df('spr', 'key', 'spread')}, {hurst('spr', ['key'], 'spread')}, fits AS (
+  SELECT f.a, f.b, f.refit, f.alpha, f.beta, CAST(coalesce(least(greatest(round_even(3 * hl, 0), 10), 500), 500) AS BIGINT) AS zw, coalesce(tau < -2.86 AND h < 0.5 AND hl IS NOT NULL, FALSE) AS qualified
+  FROM adf JOIN hu USING (key) JOIN ft f USING (key)), hd AS (
+  SELECT p.a, p.b, p.ts, p.la, p.lb, p.sess, f.alpha, f.beta, f.zw, f.qualified AS ok, row_number() OVER (PARTITION BY p.a, p.b ORDER BY p.i) - 1 AS i
+  FROM prs p ASOF JOIN fits f ON p.a = f.a AND p.b = f.b AND p.sess >= f.refit), wz AS (
+  SELECT p.a, p.b, p.i, count(q.i) AS n, avg(q.la - p.beta * q.lb - p.alpha) AS m, stddev_pop(q.la - p.beta * q.lb - p.alpha) AS d
+  FROM hd p LEFT JOIN hd q ON q.a = p.a AND q.b = p.b AND q.i < p.i AND q.i >= p.i - p.zw GROUP BY p.a, p.b, p.i), zs AS (
+  SELECT p.*, p.la - p.beta * p.lb - p.alpha AS spread, p.la AS pa, p.lb AS pb, CASE WHEN w.n >= 10 AND w.d > 1e-9 THEN (p.la - p.beta * p.lb - p.alpha - w.m) / w.d ELSE 0.0 END AS z
+  FROM hd p JOIN wz w USING (a, b, i)), {FOLD}, {BOOK}"""
+ORACLE |= {
+    "walk_forward_meanrev": f"WITH RECURSIVE {WALK} SELECT a, b, i, ok AS qualified, zw, {rnd('z')}, {rnd('position')}, {rnd('scale')}, {rnd('pnl')} FROM book",
+    "meanrev_trades": f"WITH RECURSIVE {WALK} SELECT a, b, entry, exit, direction, exit - entry AS hold_bars, exit_reason, {rnd('pnl')} FROM lg",
+    "meanrev_universe": f"WITH RECURSIVE {WALK}, {stat('book', 'a, b', 'i')} SELECT a, b, n, {rnd('ann_return')}, {rnd('sharpe')}, {rnd('max_drawdown')}, coalesce(sharpe, 0) > 0 AS profitable FROM perf",
+    "vol_basket": f"""WITH RECURSIVE {PANEL}, {DMI_OWN}, {DMI_SUMS}, {DI}, {RV}, {RVZ}, {VOL_SIDE}, {VOL_FOLD}, pl AS (
+      SELECT m.symbol, m.bar, coalesce(lag(m.shown) OVER v * (ln(g.close) - lag(ln(g.close)) OVER v), 0.0) AS pnl FROM m JOIN grid g USING (symbol, bar) WHERE q > 0 WINDOW v AS (PARTITION BY symbol ORDER BY bar))
+      SELECT bar, {rnd('sum(pnl) * 100000 / (SELECT count(DISTINCT symbol) FROM grid)', 'won')} FROM pl GROUP BY bar""",
+    "trade_amounts": f"""WITH {rotation()} SELECT t.symbol, t.entry, t.exit, {rnd('x.close', 'entry_price')}, {rnd('y.close', 'exit_price')}, {rnd('100000.0::DOUBLE / p.n_held', 'amount')}, CAST(floor(100000.0::DOUBLE / p.n_held / x.close) AS BIGINT) AS shares
+      FROM trd t JOIN pnl p ON p.bar = t.entry LEFT JOIN sig x ON x.symbol = t.symbol AND x.bar = t.entry LEFT JOIN sig y ON y.symbol = t.symbol AND y.bar = t.exit""",
+    "phase_percentiles": f"WITH {rotation(phases=24)}, {stat('pnl', 'phase')} SELECT {rnd('min(sharpe)', 'lo')}, {rnd('quantile_cont(sharpe, 0.05)', 'p05')}, {rnd('quantile_cont(sharpe, 0.5)', 'p50')}, {rnd('quantile_cont(sharpe, 0.95)', 'p95')}, {rnd('max(sharpe)', 'hi')} FROM perf",
+    "change_pct": f"""WITH {PANEL}, {OWN}, l AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY k) AS before FROM own)
+      SELECT symbol, {rnd('arg_max(close, k)', 'last')}, {rnd('(arg_max(close, k) / (SELECT before FROM l z WHERE z.symbol = l.symbol ORDER BY k DESC LIMIT 1) - 1) * 100', 'day_pct')}, {rnd('(arg_max(close, k) / arg_min(close, k) - 1) * 100', 'total_pct')} FROM l GROUP BY symbol""",
+    "chart_range": f"WITH {PANEL} SELECT symbol, {rnd('min(close) - (max(close) - min(close)) * 0.05', 'lo')}, {rnd('max(close) + (max(close) - min(close)) * 0.05', 'hi')} FROM grid WHERE bar >= 50 AND close IS NOT NULL GROUP BY symbol",
+}

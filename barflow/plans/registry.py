@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import factors, machine, pairs, panel, results, rotation
+from barflow.operators import factors, machine, pairs, panel, results, rotation, sizing
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import complete, daily, hourly, table
 from barflow.streaming.bars import bar_stream
@@ -288,8 +288,9 @@ def _spread_rows(spark, d):
 
 
 def _folded(spark, d):
-    rows = _spread_rows(spark, d)
-    return rows, machine.positions(rows, PAIR, machine.Rule())
+    # read by positions, trades, prices and profit: kept once computed
+    rows = _spread_rows(spark, d).persist()
+    return rows, machine.positions(rows, PAIR, machine.Rule()).persist()
 
 
 @query
@@ -405,6 +406,7 @@ class Rotation:
         self.signal = rotation.signals(rows, lookback, FAST, SLOW)
         if extra:
             self.signal = extra(rows, self.signal)
+        self.signal = self.signal.persist()
         self.held = rotation.baskets(self.signal, F.col("roc") if score is None else score, F.col("ok") if mask is None else mask, self.start, every, top, self.bars, phases)
         self.parts = rotation.contributions(self.held, self.signal, every, self.bars)
 
@@ -699,3 +701,136 @@ def tick_bars(spark, d):
     ticks = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     x = bar_stream(ticks, "event_type", "ts", "value")
     return x.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r("open"), r("high"), r("low"), r("close"), n("volume"))
+
+
+# --- orchestration and sizing ----------------------------------------------------------------------------------------------
+
+
+@query
+def rolling_hurst(spark, d):
+    return ind.rolling_hurst(bars(spark, d), 120, 9).select("symbol", n("bar"), r("hurst"))
+
+
+@query
+def momentum_hurst_variants(spark, d):
+    def extra(rows, signal):
+        x = _features(rows, signal).drop("hurst").join(ind.rolling_hurst(rows, 120, 9), ["symbol", "bar"])
+        return x.withColumn("hurst", F.when(~F.isnan("hurst"), F.col("hurst")))
+
+    out = None
+    for name, (mask, score) in rotation.variants(hurst_min=0.45).items():
+        if "hurst" in name:
+            x = Rotation(spark, d, score=score, mask=F.coalesce(mask, F.lit(False)), extra=extra).held.select(F.lit(name).alias("variant"), n("t0"), "symbol", n("rank"))
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _walked(spark, d):
+    """Refits, the z of each bar under the fit in force, positions, scale and profit."""
+    s = joint(spark, d).withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
+    fits = pairs.walk_forward(joint(spark, d), lookback=5, every=5, start=5)
+    rows = pairs.held(s, fits).where("beta IS NOT NULL")
+    rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy(*PAIR).orderBy("i")) - 1).cast("long"))
+    rows = pairs.variable_z(rows).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha")).persist()
+    f = machine.positions(rows, PAIR, machine.Rule()).persist()
+    sized = machine.vol_scale(machine.spread_vol(rows, "spread", PAIR), "sigma", PAIR)
+    return machine.profit(sized.join(f, [*PAIR, "i"]), PAIR), f
+
+
+@query
+def walk_forward_meanrev(spark, d):
+    return _walked(spark, d)[0].select(*PAIR, n("i"), "qualified", n("zw"), r("z"), r("position"), r("scale"), r("pnl"))
+
+
+@query
+def meanrev_trades(spark, d):
+    book, f = _walked(spark, d)
+    log = machine.trade_profit(machine.trades(f, book, PAIR), book, PAIR)
+    return log.select(*PAIR, n("entry"), n("exit"), "direction", n("hold_bars"), "exit_reason", r("pnl"))
+
+
+@query
+def meanrev_universe(spark, d):
+    """Statistics of every pair's walk-forward book, best first."""
+    p = results.performance(_walked(spark, d)[0], PAIR, PER_YEAR, "i")
+    return p.select(*PAIR, n("n"), r("ann_return"), r("sharpe"), r("max_drawdown"), (F.coalesce(F.col("sharpe"), F.lit(0.0)) > 0).alias("profitable"))
+
+
+@query
+def red_flags(spark, d):
+    perf = results.performance(_book(spark, d)[0], PAIR, PER_YEAR, "i")
+    return sizing.red_flags(perf, QUERIES["beta_stability"](spark, d), PAIR)
+
+
+@query
+def vol_basket(spark, d):
+    """All symbols' volatility machines at once, capital split evenly: money won at each bar."""
+    rows = _vol_rows(spark, d)
+    f = machine.positions(rows, ["symbol"], machine.Rule(entry=1.5, stop=3.5, leave=0.5, two_sided=False, flat_at_end=True), "bar")
+    w = Window.partitionBy("symbol").orderBy("bar")
+    x = rows.join(f, ["symbol", "bar"]).withColumn("pnl", F.coalesce(F.lag("position").over(w) * (F.ln("close") - F.lag(F.ln("close")).over(w)), F.lit(0.0)))
+    names = x.select(F.countDistinct("symbol").alias("k"))
+    return x.groupBy("bar").agg(F.sum("pnl").alias("s")).crossJoin(names).select(n("bar"), r(F.col("s") * 100_000.0 / F.col("k"), "won"))  # names is one row
+
+
+@query
+def trade_amounts(spark, d):
+    x = Rotation(spark, d)
+    out = sizing.amounts(x.trades(), x.pnl(), bars(spark, d), sizing.dollar_per_unit(100_000.0, 1.0), ["phase"])
+    return out.select("symbol", n("entry"), n("exit"), r("entry_price"), r("exit_price"), r("amount"), n("shares"))
+
+
+@query
+def phase_percentiles(spark, d):
+    x = Rotation(spark, d, phases=EVERY)
+    p = results.performance(x.pnl(), ["phase"], PER_YEAR).withColumn("k", F.lit(1))
+    return sizing.percentiles(p, ["k"], "sharpe").select(r("lo"), r("p05"), r("p50"), r("p95"), r("hi"))
+
+
+@query
+def change_pct(spark, d):
+    return sizing.change_pct(bars(spark, d)).select("symbol", r("last"), r("day_pct"), r("total_pct"))
+
+
+@query
+def chart_range(spark, d):
+    return sizing.padded_range(bars(spark, d), "close", 50).select("symbol", r("lo"), r("hi"))
+
+
+@query
+def naive_static_z(spark, d):
+    """One hedge ratio for the whole sample, sized by a fixed deviation: positions without a stop."""
+    rows = pairs.rolling_z(pairs.spreads(joint(spark, d)), "spread", PAIR, 120)
+    return machine.positions(rows, PAIR, machine.Rule(stop=None)).select(*PAIR, n("i"), r("position"))
+
+
+@query
+def garch_sized_pnl(spark, d):
+    """Same-bar illustration: each symbol's position sized by its fitted conditional deviation."""
+    x = bars(spark, d).select("symbol", F.col("bar").alias("i"), ind.log_return().alias("x"))
+
+    def f(v):
+        m = models.fit_garch(v)
+        s = models.variances((v - m["mu"]) ** 2, m["omega"], m["alpha"], m["beta"]) ** 0.5
+        import numpy as np
+
+        scale = np.clip(np.median(s) / s, 0.2, 3.0)
+        return float(v.sum()), float((v * scale).sum()), float(scale.mean())
+
+    return models.by_key(x, ["symbol"], "x", f, "plain double, sized double, scale double").select("symbol", r("plain"), r("sized"), r("scale"))
+
+
+@query
+def variant_summary(spark, d):
+    """Phase-neutral and costed results of the baseline and the risk-adjusted rule against holding all names."""
+    out = None
+    table_ = rotation.variants()
+    for name in ("baseline", "risk_adjusted"):
+        mask, score = table_[name]
+        x = Rotation(spark, d, phases=EVERY, score=score, mask=F.coalesce(mask, F.lit(False)), extra=_features)
+        rows = x.pnl().join(x.turnover().select("phase", "bar", "turnover"), ["phase", "bar"], "left").where(F.col("bar") >= x.start + EVERY)
+        mean = rows.groupBy("bar").agg(F.avg("pnl").alias("pnl"), F.avg(F.col("pnl") - F.coalesce("turnover", F.lit(0.0)) * 5e-4).alias("net"), F.avg("n_held").alias("held"))
+        y = mean.agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"), F.avg("net").alias("net"), F.avg("held").alias("held"), F.avg(F.when(F.col("held") == 0, 1.0).otherwise(0.0)).alias("idle"))
+        y = y.select(F.lit(name).alias("variant"), r(F.col("m") * PER_YEAR, "ann_return"), r(results.sharpe(F.col("m"), F.col("s"), PER_YEAR), "sharpe"), r(F.col("net") * PER_YEAR, "net_return"), r("held"), r("idle"))
+        out = y if out is None else out.unionByName(y)
+    return out
