@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from barflow.llm.common import shared_dir, trim
 
 #: Text bytes in a block, about (a longer text is a block of its own).
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _packed(parts: list[pa.RecordBatch]) -> bytes:
