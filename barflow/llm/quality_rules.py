@@ -18,11 +18,14 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barflow.llm.common import batch, id_type, mapped, narrowed, slices, space_words, trim, word_hashes
 
 #: Rows of the sample on which rules are timed, at most; it decides the order of work and never a result.
 SAMPLE_ROWS = 400
+#: Text bytes of a sampled row, at most.
+SAMPLE_BYTES = 65_536
 #: Words in a window of the repetition count.
 WINDOW = 8
 #: Symbols that are counted (fixed values).
@@ -136,22 +139,17 @@ class Estimate:
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and rejections of each rule, each on fresh documents, from a bounded sample; best worth first.
 
-    The sample is the first rows that Spark hands over. Only the order of work hangs on it.
+    The sample is the first rows of at most SAMPLE_BYTES of text that Spark finds (it reads as few partitions as it needs); it
+    is timed on the driver. Only the order of work hangs on it.
     """
-    rows = narrowed(docs, docs.columns[0], text_col).select("text").limit(sample_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            for k, rule in enumerate(rules):
-                fresh = [Doc(t) for t in texts]
-                began = time.perf_counter()
-                hits = sum(bool(rule.rejects(d)) for d in fresh)
-                yield batch("rule int,seconds double,rejected long,seen long", [[k], [time.perf_counter() - began], [hits], [len(fresh)]])
-
-    found = rows.mapInArrow(run, "rule int, seconds double, rejected long, seen long").groupBy("rule").sum("seconds", "rejected", "seen").collect()
-    sums = {r[0]: r[1:] for r in found}  # a row for each rule
-    out = [Estimate(r.name, *(sums.get(k) or (0.0, 0, 0))) for k, r in enumerate(rules)]
+    rows = narrowed(docs, docs.columns[0], text_col).where(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(sample_rows).collect()
+    texts = [bytes(r[0]) for r in rows]
+    out = []
+    for rule in rules:
+        fresh = [Doc(t) for t in texts]
+        began = time.perf_counter()
+        hits = sum(bool(rule.rejects(d)) for d in fresh)
+        out.append(Estimate(rule.name, time.perf_counter() - began, hits, len(fresh)))
     return sorted(out, key=lambda e: (-e.worth, e.seconds, e.rule))
 
 
