@@ -35,4 +35,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         mark = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    # written, so that a join with it can split the rows of a hot node
+    return written(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")

@@ -252,7 +252,8 @@ def ngram_join(
     """A row for each document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     _, rows = _named(own, "text", words, num, den, pivots)
-    least = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join can split the rows of a hot component
+    least = written(rows.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "name", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
