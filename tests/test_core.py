@@ -330,3 +330,47 @@ def test_query_against_sql(spark, small, name):
 def test_entry_works_without_the_llm_subpackage():
     code = "import sys; sys.modules['barflow.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 60 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_amounts_use_whole_shares_and_survive_missing_prices(spark):
+    from barflow.operators import sizing
+
+    trades = spark.createDataFrame([("A", 1, 3), ("B", 1, 9)], "symbol string, entry long, exit long")
+    prices = spark.createDataFrame([("A", 1, 30.0), ("A", 3, 40.0), ("B", 1, 7.0)], "symbol string, bar long, close double")
+    held = spark.createDataFrame([(1, 2)], "bar long, n_held long")
+    out = {r["symbol"]: r for r in sizing.amounts(trades, held, prices, sizing.dollar_per_unit(1000.0, 1.0)).collect()}
+    assert out["A"]["amount"] == 500 and out["A"]["shares"] == 16 and out["B"]["exit_price"] is None and out["B"]["shares"] == 71
+    scaled = spark.createDataFrame([(1, 0.5)], "bar long, scale double")
+    assert {r["amount"] for r in sizing.amounts(trades, scaled, prices, 1000.0).collect()} == {500.0}
+    assert sizing.dollar_per_unit(90.0, 3.0) == 30.0
+
+
+def test_percentiles_skip_unknown_values(spark):
+    from barflow.operators import sizing
+
+    rows = spark.createDataFrame([(1, float(v)) for v in range(101)] + [(1, math.nan), (1, None)], "k long, v double")
+    r = sizing.percentiles(rows, ["k"], "v").first()
+    assert (r["lo"], r["p05"], r["p50"], r["p95"], r["hi"]) == (0, 5, 50, 95, 100)
+
+
+def test_verdicts_and_flags(spark):
+    from barflow.operators import sizing
+
+    v = spark.createDataFrame([("x", 1.3, -0.2), ("y", 0.8, 0.1)], "variant string, sharpe double, worst double")
+    assert [(r["fragile"], r["beats"]) for r in sizing.verdicts(v, 1.0).orderBy("variant").collect()] == [(True, True), (False, False)]
+    perf = spark.createDataFrame([("p", 3.5), ("q", None)], "k string, sharpe double")
+    flags = sizing.red_flags(perf, spark.createDataFrame([("p", True)], "k string, unstable boolean"), ["k"]).orderBy("k").collect()
+    assert [(r["too_good"], r["unstable"]) for r in flags] == [(True, True), (False, False)]
+
+
+def test_nan_prices_become_unknown(spark):
+    from barflow.sources.bars import without_nan
+
+    rows = spark.createDataFrame([("A", math.nan), ("A", 2.0)], "symbol string, close double")
+    assert without_nan(rows).agg(F.avg("close")).first()[0] == 2.0
+
+
+def test_runs_are_deterministic(spark, small):
+    for name in ("pair_screen_full", "momentum_trades", "ou_simulation"):
+        a, b = (sorted(map(repr, registry.QUERIES[name](spark, small).collect())) for _ in range(2))
+        assert a == b
