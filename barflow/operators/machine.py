@@ -144,3 +144,31 @@ def legs(log: DataFrame, unit: float, beta: str = "beta") -> DataFrame:
 
 def labelled(direction: str = "direction") -> F.Column:
     return F.when(F.col(direction) == "long", F.concat(F.lit("buy "), "a", F.lit(" / sell "), "b")).otherwise(F.concat(F.lit("sell "), "a", F.lit(" / buy "), "b"))
+
+
+def garch_sigma(rows: DataFrame, keys: list[str], change: str = "change", lookback: int = 5, every: int = 1, order: str = "i") -> DataFrame:
+    """keys, order, sigma: the deviation forecast for each bar of a session by a model fitted on the `lookback` sessions before.
+
+    Refitted every `every` sessions; the horizon is the bar's place in its session. NULL before the first fit.
+    """
+    from barflow.functions import models
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values(order).reset_index(drop=True)
+        sigma = np.full(len(p), np.nan)
+        by = {s: g.index.to_numpy() for s, g in p.groupby("sess")}
+        names, model, past = sorted(by), None, None
+        for k, s in enumerate(names):
+            if k and (model is None or k % every == 0):
+                past = np.concatenate([p[change].to_numpy(float)[by[q]] for q in names[max(0, k - lookback) : k]])
+                past = past[np.isfinite(past)]
+                model = models.fit_garch(past, constant=False) if len(past) >= 30 and past.std() > 0 else model
+            if model is not None:
+                sigma[by[s]] = np.sqrt(models.forecast(past, model, len(by[s])))
+        out = p[[*keys, order]].copy()
+        out["sigma"] = sigma
+        return out
+
+    return rows.select(*keys, order, "sess", change).groupBy(*keys).applyInPandas(run, f"{kinds}, {order} long, sigma double")

@@ -408,3 +408,35 @@ ORACLE |= {
       SELECT symbol, {rnd('arg_max(close, k)', 'last')}, {rnd('(arg_max(close, k) / (SELECT before FROM l z WHERE z.symbol = l.symbol ORDER BY k DESC LIMIT 1) - 1) * 100', 'day_pct')}, {rnd('(arg_max(close, k) / arg_min(close, k) - 1) * 100', 'total_pct')} FROM l GROUP BY symbol""",
     "chart_range": f"WITH {PANEL} SELECT symbol, {rnd('min(close) - (max(close) - min(close)) * 0.05', 'lo')}, {rnd('max(close) + (max(close) - min(close)) * 0.05', 'hi')} FROM grid WHERE bar >= 50 AND close IS NOT NULL GROUP BY symbol",
 }
+
+#: Refits of every session, z inside the session, flat at its end.
+_INTRADAY = f"""{pairs()}, rf AS (SELECT DISTINCT a, b, sess AS refit FROM prs WHERE sess >= 1),
+  win AS (SELECT p.a || '|' || p.b || '|' || r.refit AS key, p.*, r.refit FROM rf r JOIN prs p ON p.a = r.a AND p.b = r.b AND p.sess >= r.refit - 5 AND p.sess < r.refit),
+  ft AS (SELECT key, any_value(a) AS a, any_value(b) AS b, any_value(refit) AS refit, regr_intercept(la, lb) AS alpha, regr_slope(la, lb) AS beta FROM win GROUP BY key HAVING count(*) >= 50),
+  spr AS (SELECT w.key, w.i, w.sess, w.la - f.beta * w.lb - f.alpha AS spread FROM win w JOIN ft f USING (key)), {df('spr', 'key', 'spread')}, {hurst('spr', ['key'], 'spread')}, fits AS (
+  SELECT f.a, f.b, f.refit, f.alpha, f.beta, coalesce(tau < -2.86 AND h < 0.5 AND hl IS NOT NULL, FALSE) AND f.beta > 0 AND f.beta < 3 AS ok FROM adf JOIN hu USING (key) JOIN ft f USING (key)), hd AS (
+  SELECT p.a, p.b, p.i, p.sess, f.ok, p.la - f.beta * p.lb - f.alpha AS spread FROM prs p ASOF JOIN fits f ON p.a = f.a AND p.b = f.b AND p.sess >= f.refit), zs AS (
+  SELECT *, CASE WHEN count(spread) OVER w >= 10 THEN coalesce((spread - avg(spread) OVER w) / nullif(stddev_pop(spread) OVER w, 0), 0.0) ELSE 0.0 END AS z,
+    coalesce(lead(sess) OVER v <> sess, TRUE) AS fin, coalesce(spread - lag(spread) OVER v, 0.0) AS change
+  FROM hd WINDOW w AS (PARTITION BY a, b, sess ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY a, b ORDER BY i))"""
+_INTRADAY_FOLD = machine(
+    "zs", "a, b", f"CASE WHEN NOT s.ok THEN 0.0 ELSE {_TWO} END",
+    f"CASE WHEN s.fin THEN 0.0 ELSE u.nxt0 END, CASE WHEN m.pos <> 0 AND u.nxt0 = 0 THEN CASE WHEN NOT s.ok THEN 'regime break' ELSE {_TWO_WHY} END WHEN s.fin AND u.nxt0 <> 0 THEN 'end of day' END, FALSE",
+)
+#: Rolling regressions by a range join.
+_DAILY = f"""bars AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) AS close FROM orders GROUP BY ALL), full_ AS (
+  SELECT ts FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)), joined AS (
+  SELECT x.symbol AS a, y.symbol AS b, x.ts, x.close AS pa, y.close AS pb, count(*) OVER (PARTITION BY x.symbol, y.symbol) AS total
+  FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol < y.symbol JOIN full_ f ON f.ts = x.ts), prs AS (
+  SELECT a, b, ln(pa) AS la, ln(pb) AS lb, row_number() OVER (PARTITION BY a, b ORDER BY ts) - 1 AS i FROM joined WHERE total >= 200), o AS (
+  SELECT p.a, p.b, p.i, any_value(p.la) AS la, any_value(p.lb) AS lb, count(*) AS n, regr_slope(q.la, q.lb) AS beta, regr_intercept(q.la, q.lb) AS alpha, regr_syy(q.la, q.lb) AS syy, regr_sxy(q.la, q.lb) AS sxy
+  FROM prs p JOIN prs q ON p.a = q.a AND p.b = q.b AND q.i >= p.i - 120 AND q.i < p.i GROUP BY p.a, p.b, p.i), zz AS (
+  SELECT a, b, i, beta, la - beta * lb - alpha AS spread, (la - beta * lb - alpha) / nullif(sqrt(greatest(syy - beta * sxy, 0) / n), 0) AS z, TRUE AS ok FROM o WHERE n = 120), zs AS (SELECT * FROM zz WHERE z IS NOT NULL), {FOLD}"""
+ORACLE |= {
+    "intraday_walk_forward": f"""WITH RECURSIVE {_INTRADAY}, {_INTRADAY_FOLD}, bk AS (
+      SELECT z.*, m.shown, coalesce(lag(m.shown) OVER (PARTITION BY z.a, z.b ORDER BY z.i) * z.change, 0.0) AS pnl FROM zs z JOIN m USING (a, b, i))
+      SELECT a, b, i, ok AS qualified, {rnd('z')}, {rnd('shown', 'position')}, {rnd('pnl')} FROM bk""",
+    "daily_walk_forward": f"""WITH RECURSIVE {_DAILY}, bk AS (
+      SELECT z.*, m.shown, coalesce(lag(m.shown) OVER w * (z.spread - lag(z.spread) OVER w), 0.0) AS pnl FROM zs z JOIN m USING (a, b, i) WINDOW w AS (PARTITION BY z.a, z.b ORDER BY z.i))
+      SELECT a, b, i, {rnd('beta')}, {rnd('shown', 'position')}, {rnd('pnl')} FROM bk""",
+}

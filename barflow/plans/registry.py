@@ -834,3 +834,43 @@ def variant_summary(spark, d):
         y = y.select(F.lit(name).alias("variant"), r(F.col("m") * PER_YEAR, "ann_return"), r(results.sharpe(F.col("m"), F.col("s"), PER_YEAR), "sharpe"), r(F.col("net") * PER_YEAR, "net_return"), r("held"), r("idle"))
         out = y if out is None else out.unionByName(y)
     return out
+
+
+def _intraday(spark, d):
+    """Refitted every session on the five before; z within the session; flat at its end; the hedge ratio must stay sane."""
+    s = joint(spark, d).withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
+    fits = pairs.walk_forward(joint(spark, d), lookback=5, every=1, start=1)
+    rows = pairs.held(s, fits).where("beta IS NOT NULL").withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
+    rows = rows.withColumn("qualified", F.col("qualified") & (F.col("beta") > 0) & (F.col("beta") < 3))
+    rows = pairs.session_z(rows, "spread", PAIR)
+    by = Window.partitionBy(*PAIR).orderBy("i")
+    rows = rows.withColumn("is_last", F.coalesce(F.lead("sess").over(by) != F.col("sess"), F.lit(True))).withColumn("change", F.coalesce(F.col("spread") - F.lag("spread").over(by), F.lit(0.0))).persist()
+    return rows, machine.positions(rows, PAIR, machine.Rule(flat_at_end=True))
+
+
+@query
+def intraday_walk_forward(spark, d):
+    rows, f = _intraday(spark, d)
+    out = machine.profit(rows.withColumn("scale", F.lit(1.0)).join(f, [*PAIR, "i"]), PAIR)
+    return out.select(*PAIR, n("i"), "qualified", r("z"), r("position"), r("pnl"))
+
+
+@query
+def intraday_garch_scale(spark, d):
+    """The scale of two pairs' positions from a volatility forecast refitted every tenth session."""
+    rows, _ = _intraday(spark, d)
+    rows = rows.where("a = 'click'")
+    sigma = machine.garch_sigma(rows, PAIR, lookback=5, every=10)
+    out = machine.vol_scale(rows.join(sigma.withColumn("sigma", F.when(~F.isnan("sigma"), F.col("sigma"))), [*PAIR, "i"]), "sigma", PAIR)
+    return out.select(*PAIR, n("i"), r("scale"))
+
+
+@query
+def daily_walk_forward(spark, d):
+    """Rolling hedge ratio of daily prices; the position earns the next change of its own day's residual."""
+    s = panel.pairs(complete(daily(spark, d)), 200).withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
+    rows = pairs.ols_z(s, 120).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha")).where("z IS NOT NULL").persist()
+    f = machine.positions(rows, PAIR, machine.Rule())
+    by = Window.partitionBy(*PAIR).orderBy("i")
+    rows = rows.withColumn("change", F.coalesce(F.col("spread") - F.lag("spread").over(by), F.lit(0.0))).withColumn("scale", F.lit(1.0))
+    return machine.profit(rows.join(f, [*PAIR, "i"]), PAIR).select(*PAIR, n("i"), r("beta"), r("position"), r("pnl"))
