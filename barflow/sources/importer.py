@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Column names that are looked for, English and Turkish (fixed values).
-DATE = ("date", "datetime", "timestamp", "tarih", "time", "zaman")
-TICKER = ("ticker", "symbol", "sembol", "hisse", "kod", "code")
-CLOSE = ("close", "adj close", "kapanis", "kapanış", "price", "fiyat", "son", "last")
+#: Column names that are looked for, in this order (fixed values).
+DATE = ("datetime", "date", "timestamp", "time", "tarih", "tarih_saat", "gun")
+TIME = ("time", "saat", "hour")
+TICKER = ("ticker", "symbol", "sembol", "hisse", "kod", "code", "name", "isim")
+CLOSE = ("close", "adj close", "adjclose", "kapanis", "kapanış", "kapanis_fiyat", "son", "son_fiyat", "price", "fiyat", "c")
 SEPARATORS = (";", ",", "\t", "|")
 #: Date forms: year first, then day first (fixed values).
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
@@ -52,25 +53,41 @@ def moment(c: Column, zone: str | None = None) -> Column:
     return F.to_utc_timestamp(t, zone) if zone else t
 
 
-def load_panel(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
-    """symbol, ts, close from a wide file (a column for each symbol), a long file, or files of one symbol each (named by it).
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, in any store, is a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
-    The last quote of a bar and symbol counts; rows without time, symbol or price are left out.
+
+def load_panel(
+    spark: SparkSession, path: str, zone: str | None = None, date_col: str | None = None, ticker_col: str | None = None, close_col: str | None = None
+) -> DataFrame:
+    """symbol, ts, close from a wide file (a column for each symbol), a long file, or a folder of files of one symbol each.
+
+    Files of a folder are named by their symbol and share one dialect. A second column may hold the time of day. The last quote
+    of a bar and symbol counts; rows without time, symbol or price are left out.
     """
     head = [r[0] for r in spark.read.text(path).limit(20).collect()]
     sep, decimal = dialect(head)
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("enforceSchema", False).csv(path).withColumn("__at", F.monotonically_increasing_id())
     columns = [c for c in raw.columns if c != "__at"]
-    date, ticker, close = pick(columns, DATE) or columns[0], pick(columns, TICKER), pick(columns, CLOSE)
-    if ticker and close:
-        rows = raw.select(F.upper(F.trim(ticker)).alias("symbol"), F.col(date).alias("d"), F.col(close).alias("p"), "__at")
-    elif close and len(columns) <= 7:
-        name = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1))
-        rows = raw.select(name.alias("symbol"), F.col(date).alias("d"), F.col(close).alias("p"), "__at")
+    date = date_col or pick(columns, DATE) or columns[0]
+    ticker, close = ticker_col or pick(columns, TICKER), close_col or pick(columns, CLOSE)
+    time = pick([c for c in columns if c != date], TIME)
+    others = [c for c in columns if c not in (date, time)]
+    raw = raw.withColumn("__d", F.concat_ws(" ", F.trim(date), F.trim(time)) if time else F.trim(date))
+    if is_folder(spark, path):
+        close = close or (others[0] if len(others) == 1 else None)
+        if close is None:
+            raise ValueError(f"no close column in {columns}")
+        symbol, price = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1), F.col(close)
+        rows = raw.select(symbol.alias("symbol"), "__d", price.alias("p"), "__at")
+    elif ticker and close:
+        rows = raw.select(F.col(ticker).alias("symbol"), "__d", F.col(close).alias("p"), "__at")
     else:
-        others = [c for c in columns if c != date]
-        rows = raw.unpivot([date, "__at"], others, "symbol", "p").select(F.upper(F.trim("symbol")).alias("symbol"), F.col(date).alias("d"), "p", "__at")
-    rows = rows.select("symbol", moment(F.col("d"), zone).cast("timestamp_ntz").alias("ts"), number(F.col("p"), decimal).alias("close"), "__at")
+        rows = raw.unpivot(["__d", "__at"], others, "symbol", "p")
+    rows = rows.select(F.upper(F.trim("symbol")).alias("symbol"), moment(F.col("__d"), zone).cast("timestamp_ntz").alias("ts"), number(F.col("p"), decimal).alias("close"), "__at")
     rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL AND close IS NOT NULL")
     return rows.groupBy("symbol", "ts").agg(F.max_by("close", "__at").alias("close"))
 

@@ -279,6 +279,17 @@ def test_importer_reads_dialects(spark, tmp_path, sep, decimal):
     assert [(r["symbol"], r["close"]) for r in got] == [("X", 2.0)]
 
 
+def test_importer_reads_folders_and_times(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for k in ("thyao", "akbnk"):
+        (tmp_path / "f" / f"{k}.txt").write_text("Tarih,Saat,Kapanis\n01.02.2024,10:00,1.5\n01.02.2024,11:00,2.5\n")
+    got = importer.load_panel(spark, str(tmp_path / "f")).orderBy("symbol", "ts").collect()
+    assert [(r["symbol"], r["ts"].hour, r["close"]) for r in got] == [("AKBNK", 10, 1.5), ("AKBNK", 11, 2.5), ("THYAO", 10, 1.5), ("THYAO", 11, 2.5)]
+    panel_path = str(tmp_path / "saved")
+    importer.save_panel(importer.load_panel(spark, str(tmp_path / "f")), panel_path)
+    assert spark.read.parquet(panel_path).count() == 4
+
+
 def test_importer_refuses_short_panels(spark):
     with pytest.raises(ValueError):
         importer.check(long(spark, hourly_index(2), A=np.ones(18)))
