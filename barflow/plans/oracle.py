@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barflow.functions.stats import expected_max_sharpe
+
 BARS = """bars AS (
   SELECT e.event_type AS symbol, date_trunc('hour', e.ts) AS ts, arg_min(e.value, e.ts) AS open, max(e.value) AS high,
     min(e.value) AS low, arg_max(e.value, e.ts) AS close, count(*) AS volume
@@ -440,3 +442,48 @@ ORACLE |= {
       SELECT z.*, m.shown, coalesce(lag(m.shown) OVER w * (z.spread - lag(z.spread) OVER w), 0.0) AS pnl FROM zs z JOIN m USING (a, b, i) WINDOW w AS (PARTITION BY z.a, z.b ORDER BY z.i))
       SELECT a, b, i, {rnd('beta')}, {rnd('shown', 'position')}, {rnd('pnl')} FROM bk""",
 }
+
+
+def phi(x: str) -> str:
+    """The normal distribution function as a Simpson sum."""
+    return (
+        f"(0.5 + ({x}) / 3000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001), "
+        f"lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(0 - (({x}) * i / 1000) ** 2 / 2))))"
+    )
+
+
+#: Families with their length, Sharpe ratio of a bar and share of profitable units.
+_EVAL = f"""ev AS (
+  SELECT 'rotation' AS family, * FROM (WITH {rotation()} SELECT count(*) AS n, avg(pnl) / nullif(stddev_pop(pnl), 0) AS s,
+    (SELECT avg(CASE WHEN p > 0 THEN 1.0::DOUBLE ELSE 0.0 END) * 100 FROM (SELECT sum(pnl) AS p FROM trd GROUP BY symbol)) AS pct FROM pnl)
+  UNION ALL
+  SELECT 'mean reversion', * FROM ({SPREAD_BOOK}, per AS (SELECT a, b, count(*) AS n, avg(pnl) / nullif(stddev_pop(pnl), 0) AS s FROM book GROUP BY a, b)
+    SELECT n, s, (SELECT avg(CASE WHEN s > 0 THEN 1.0::DOUBLE ELSE 0.0 END) * 100 FROM per) AS pct FROM per ORDER BY s DESC NULLS LAST, a, b LIMIT 1)), ds AS (
+  SELECT *, {phi(f"(s - {expected_max_sharpe(14, 0.02)!r}) / sqrt((1 + s * s / 2) / (n - 1))")} AS dsr FROM ev)"""
+#: Three regressors by centred sums.
+_LAGGED = f"""{spreads()}, dd AS (
+  SELECT a, b, spread - lag(spread) OVER w AS y, lag(spread) OVER w AS x, lag(spread) OVER w - lag(spread, 2) OVER w AS z FROM spr WINDOW w AS (PARTITION BY a, b ORDER BY i)), sm AS (
+  SELECT a, b, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxx(y, z) AS zz, regr_sxy(z, x) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy, regr_syy(y, x) AS yy
+  FROM dd WHERE z IS NOT NULL GROUP BY a, b), so AS (
+  SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS g, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS c FROM sm), se AS (
+  SELECT *, sqrt((yy - g * xy - c * zy) / (n - 3) * zz / (xx * zz - xz * xz)) AS error FROM so), st AS (SELECT *, g / error AS tau FROM se)"""
+_POLY = "CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau ** 2 ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau ** 2 - 0.010368 * tau ** 3 END"
+_NAIVE = machine(
+    "zs", "a, b", "CASE WHEN s.z IS NULL THEN m.pos WHEN m.pos = 0 THEN CASE WHEN s.z > 1.5 THEN -1.0 WHEN s.z < -1.5 THEN 1.0 ELSE 0.0 END WHEN m.pos > 0 AND s.z >= 0 THEN 0.0 WHEN m.pos < 0 AND s.z <= 0 THEN 0.0 ELSE m.pos END",
+    "u.nxt0, CASE WHEN m.pos <> 0 AND u.nxt0 = 0 THEN 'reversion' END, s.z IS NULL",
+)
+_HURST = f"""{PANEL}, an AS (SELECT DISTINCT c.bar AS t FROM cal c WHERE c.bar >= 119 AND (c.bar - 119) % 9 = 0), wn AS (
+  SELECT g.symbol, a.t, g.bar AS i, ln(g.close) AS x, count(g.close) OVER (PARTITION BY g.symbol, a.t) AS known FROM an a JOIN grid g ON g.bar > a.t - 120 AND g.bar <= a.t), wf AS (
+  SELECT * FROM wn WHERE known = 120), {hurst('wf', ['symbol', 't'], 'x')}, rh AS (
+  SELECT g.symbol, g.bar, last_value(h.h IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar) AS hurst FROM grid g LEFT JOIN hu h ON h.symbol = g.symbol AND h.t = g.bar)"""
+ORACLE |= {
+    "deflated_sharpe": f"WITH {_EVAL} SELECT family, n, {rnd('s', 'sharpe_bar')}, {rnd('dsr')} FROM ds",
+    "leaderboard": f"WITH {_EVAL} SELECT family, {rnd('pct', 'pct_profitable')}, {rnd('dsr')} FROM ds",
+    "adf_lagged": f"WITH {_LAGGED} SELECT a, b, {rnd('g', 'gamma')}, {rnd('error')}, {rnd('tau')}, {rnd(f'CASE WHEN tau > 2.74 THEN 1 WHEN tau < -18.83 THEN 0 ELSE {phi(_POLY)} END', 'p')} FROM st",
+    "red_flags": f"""SELECT a, b, coalesce(p.sharpe > 3, FALSE) AS too_good, coalesce(f.unstable, FALSE) AS unstable
+      FROM ({SPREAD_BOOK}, {stat('book', 'a, b', 'i')} SELECT a, b, sharpe FROM perf) p LEFT JOIN ({ORACLE['beta_stability']}) f USING (a, b)""",
+    "naive_static_z": f"""WITH RECURSIVE {spreads()}, zs AS (
+      SELECT *, CASE WHEN count(spread) OVER w = 120 THEN (spread - avg(spread) OVER w) / nullif(stddev_samp(spread) OVER w, 0) END AS z
+      FROM spr WINDOW w AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)), {_NAIVE} SELECT a, b, i, {rnd('shown', 'position')} FROM m WHERE q > 0""",
+    "rolling_hurst": f"WITH {_HURST} SELECT symbol, bar, {rnd('hurst')} FROM rh",
+}
