@@ -13,9 +13,10 @@ KEY = ["a", "b"]
 
 def spreads(rows: DataFrame) -> DataFrame:
     """Adds la, lb (logs), alpha, beta of the whole sample, and spread = la - beta * lb - alpha."""
+    w = Window.partitionBy(*KEY)  # the partitioning that the rows already have
     rows = rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
-    fit = rows.groupBy(*KEY).agg(*stats.hedge("la", "lb"))
-    return rows.join(fit, KEY).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
+    rows = rows.withColumn("alpha", F.regr_intercept("la", "lb").over(w)).withColumn("beta", F.regr_slope("la", "lb").over(w))
+    return rows.withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
 
 
 def screen(rows: DataFrame, critical: float = -2.86, cutoff: float = 0.45, bars_per_day: float | None = None, beta_range: tuple[float, float] | None = None) -> DataFrame:

@@ -70,10 +70,9 @@ def pairs(bars: DataFrame, least: int = 0) -> DataFrame:
     one = bars.where("close > 0").select(F.col("symbol").alias("a"), "ts", F.col("close").alias("pa"))
     two = bars.where("close > 0").select(F.col("symbol").alias("b"), "ts", F.col("close").alias("pb"))
     both = one.join(two, "ts").where("a < b")
-    if least:
-        enough = both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
-        both = both.join(enough, ["a", "b"])
     w = W.partitionBy("a", "b")
+    if least:  # the numbering below needs the same partitioning, so the count costs no further shuffle
+        both = both.withColumn("total", F.count("*").over(w)).where(F.col("total") >= least)
     return both.select(
         "a", "b", "ts", "pa", "pb", (F.row_number().over(w.orderBy("ts")) - 1).cast("long").alias("i"), (F.dense_rank().over(w.orderBy(F.to_date("ts"))) - 1).cast("long").alias("sess")
     )
