@@ -28,6 +28,18 @@ def baskets(signal: DataFrame, score: Column, mask: Column, start: int, every: i
     return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("phase", "t0"))).select("phase", "t0", "symbol", "rank", "weight")
 
 
+def variant_baskets(signal: DataFrame, rules: dict[str, tuple[Column, Column]], start: int, every: int, top: int, bars: int, phases: int = 1) -> DataFrame:
+    """baskets() of several rules (name -> mask, score) in one plan: each signal row is unfolded to the rules that admit it."""
+    choice = F.array(*(F.struct(F.lit(k).alias("variant"), F.when(F.coalesce(mask, F.lit(False)), score).cast("double").alias("score")) for k, (mask, score) in rules.items()))
+    t0 = F.col("bar") + 1
+    rows = signal.select("symbol", t0.alias("t0"), F.pmod(t0 - start, F.lit(every)).alias("phase"), F.explode(F.filter(choice, lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]))).alias("c"))
+    rows = rows.where((F.col("phase") < phases) & (F.col("t0") >= start + F.col("phase")) & (F.col("t0") < bars)).select("c.variant", "phase", "t0", "symbol", "c.score")
+    best = Window.partitionBy("variant", "phase", "t0").orderBy(F.desc("score"), "symbol")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    weight = 1 / F.count("*").over(Window.partitionBy("variant", "phase", "t0"))
+    return rows.withColumn("weight", weight).select("variant", "phase", "t0", "symbol", "rank", "weight")
+
+
 def contributions(held: DataFrame, signal: DataFrame, every: int, bars: int) -> DataFrame:
     """phase, bar, symbol, t0, part = weight * return; a missing return gives 0 but keeps its weight."""
     days = held.withColumn("bar", F.explode(F.sequence(F.col("t0"), F.least(F.col("t0") + every - 1, F.lit(bars - 1)))))

@@ -511,14 +511,10 @@ def _features(rows, signal):
 
 @query
 def momentum_variants(spark, d):
-    """Baskets of every selection rule on one clock."""
-    out = None
-    for name, (mask, score) in rotation.variants().items():
-        if "hurst" in name:
-            continue
-        x = Rotation(spark, d, score=score, mask=F.coalesce(mask, F.lit(False)), extra=_features).held.select(F.lit(name).alias("variant"), n("t0"), "symbol", n("rank"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Baskets of every selection rule on one clock, in one plan."""
+    x = Rotation(spark, d, extra=_features)
+    rules = {k: v for k, v in rotation.variants().items() if "hurst" not in k}
+    return rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars).select("variant", n("t0"), "symbol", n("rank"))
 
 
 @query
@@ -717,12 +713,9 @@ def momentum_hurst_variants(spark, d):
         x = _features(rows, signal).drop("hurst").join(ind.rolling_hurst(rows, 120, 9), ["symbol", "bar"])
         return x.withColumn("hurst", F.when(~F.isnan("hurst"), F.col("hurst")))
 
-    out = None
-    for name, (mask, score) in rotation.variants(hurst_min=0.45).items():
-        if "hurst" in name:
-            x = Rotation(spark, d, score=score, mask=F.coalesce(mask, F.lit(False)), extra=extra).held.select(F.lit(name).alias("variant"), n("t0"), "symbol", n("rank"))
-            out = x if out is None else out.unionByName(x)
-    return out
+    x = Rotation(spark, d, extra=extra)
+    rules = {k: v for k, v in rotation.variants(hurst_min=0.45).items() if "hurst" in k}
+    return rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars).select("variant", n("t0"), "symbol", n("rank"))
 
 
 def _walked(spark, d):
