@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a kernel works on at once, at most (a longer text is taken alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 #: Bytes that end a word of kind "space": blank, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() without arguments cuts at exactly these six.
