@@ -231,7 +231,9 @@ def pair_screen_full(spark, d):
 @query
 def pair_screen_intraday(spark, d):
     """In-sample sessions only, with sane hedge ratios."""
-    s = joint(spark, d).where("sess < 18")
+    hours = hourly(spark, d)
+    seen = panel.calendar(hours).crossJoin(panel.split(hours, FRACTION)).where("sess < split_session").select("ts")  # the split is one row
+    s = joint(spark, d).join(seen, "ts", "left_semi")
     return pairs.screen(s, beta_range=(0.0, 3.0)).select("pair", r("beta"), r("adf_stat"), r("h"), "qualifies")
 
 

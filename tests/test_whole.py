@@ -46,3 +46,12 @@ def test_garch_scale_covers_every_pair(spark, events):
         want |= {(*key, i): s for i, s in zip(p["i"], scale, strict=True)}
     assert {k[:2] for k in want} == {("AAA", "BBB"), ("AAA", "CCC"), ("BBB", "CCC")} and len(got) == len(want)
     assert all(abs(r.scale - want[r.a, r.b, r.i]) < 2e-6 for r in got.itertuples())
+
+
+@pytest.mark.parametrize("days,inside", [(10, 6), (45, 27)])
+def test_intraday_screen_splits_where_the_panel_says(spark, events, days, inside):
+    d = events(days)
+    got = registry.pair_screen_intraday(spark, d).toPandas().set_index("pair")
+    rows = panel.pairs(hourly(spark, d)).where(F.col("ts") < F.lit(pd.Timestamp("2024-01-01") + pd.Timedelta(days=inside)))
+    want = pairs.screen(rows).toPandas().set_index("pair")
+    assert len(got) == 3 and np.allclose(got["adf_stat"], want.loc[got.index, "adf_stat"], atol=2e-6) and np.allclose(got["beta"], want.loc[got.index, "beta"], atol=2e-6)
