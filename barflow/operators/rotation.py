@@ -7,6 +7,7 @@ clock are one plan: each signal row is a decision of exactly one phase.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,30 @@ def baskets(signal: DataFrame, score: Column, mask: Column, start: int, every: i
     return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("phase", "t0"))).select("phase", "t0", "symbol", "rank", "weight")
 
 
+def sweep_starts(bars: int, lookback: int, most: int = 24, step: int = 45, rest: int = 400) -> list[int]:
+    """Starts from lookback + 5 to bars - rest, evenly spaced, at most `most` and about `step` bars apart; none on a short panel."""
+    first, last = lookback + 5, bars - rest
+    return [] if last <= first else np.linspace(first, last, num=min(most, max(2, (last - first) // step))).astype(int).tolist()
+
+
+def start_baskets(signal: DataFrame, score: Column, mask: Column, starts: list[int], every: int, top: int, bars: int) -> DataFrame:
+    """baskets() of a clock for each start in one plan; phase is the start. A signal row is unfolded to the starts it decides for."""
+    t0 = F.col("bar") + 1
+    at = F.array(*(F.lit(s) for s in starts)).cast("array<int>")
+    rows = signal.select("symbol", t0.alias("t0"), F.explode(F.filter(at, lambda s: (t0 >= s) & (F.pmod(t0 - s, F.lit(every)) == 0))).alias("phase"), score.alias("score"), mask.alias("mask"))
+    rows = rows.where("mask AND score IS NOT NULL AND NOT isnan(score)").where(F.col("t0") < bars)
+    best = Window.partitionBy("phase", "t0").orderBy(F.desc("score"), "symbol")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("phase", "t0"))).select("phase", "t0", "symbol", "rank", "weight")
+
+
+def start_profit(parts: DataFrame, clock: DataFrame, starts: list[int]) -> DataFrame:
+    """profit() of start_baskets(): phase (the start), bar, pnl, n_held for every bar from the start on."""
+    sums = parts.groupBy("phase", "bar").agg(F.sum("part").alias("pnl"), F.count("*").alias("n_held"))
+    at = clock.select("bar").withColumn("phase", F.explode(F.array(*(F.lit(s) for s in starts)).cast("array<int>"))).where("bar >= phase")
+    return at.join(sums, ["phase", "bar"], "left").select("phase", "bar", F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
+
+
 def variant_baskets(signal: DataFrame, rules: dict[str, tuple[Column, Column]], start: int, every: int, top: int, bars: int, phases: int = 1) -> DataFrame:
     """baskets() of several rules (name -> mask, score) in one plan: each signal row is unfolded to the rules that admit it."""
     choice = F.array(*(F.struct(F.lit(k).alias("variant"), F.when(F.coalesce(mask, F.lit(False)), score).cast("double").alias("score")) for k, (mask, score) in rules.items()))

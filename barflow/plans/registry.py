@@ -519,13 +519,25 @@ def momentum_variants(spark, d):
     return rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars).select("variant", n("t0"), "symbol", n("rank"))
 
 
+def _sweep(x, starts):
+    """Statistics of the rotation from each start on, in one plan: the start takes the place of the phase."""
+    held = rotation.start_baskets(x.signal, F.col("roc"), F.col("ok"), starts, x.every, x.top, x.bars)
+    parts = rotation.contributions(held, x.signal, x.every, x.bars)
+    pnl = rotation.start_profit(parts, x.clock, starts)
+    return results.performance(pnl, ["phase"], PER_YEAR).select(n("phase", "start"), n("n"), r("ann_return"), r("sharpe"))
+
+
 @query
 def start_date_sweep(spark, d):
-    out = None
-    for start in (60, 150, 240, 330):
-        x = results.performance(Rotation(spark, d, start=start).pnl(), ["phase"], PER_YEAR).select(F.lit(start).cast("long").alias("start"), n("n"), r("ann_return"), r("sharpe"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Four fixed starts, those of the SQL."""
+    return _sweep(Rotation(spark, d), [60, 150, 240, 330])
+
+
+@query
+def start_date_sweep_full(spark, d):
+    """Starts over the whole panel, as many as its bars allow."""
+    x = Rotation(spark, d)
+    return _sweep(x, rotation.sweep_starts(x.bars, LOOKBACK))
 
 
 @query

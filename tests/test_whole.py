@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barflow.functions import models
-from barflow.operators import pairs, panel
+from barflow.operators import pairs, panel, rotation
 from barflow.plans import registry
 from barflow.sources.bars import hourly
 
@@ -55,3 +55,16 @@ def test_intraday_screen_splits_where_the_panel_says(spark, events, days, inside
     rows = panel.pairs(hourly(spark, d)).where(F.col("ts") < F.lit(pd.Timestamp("2024-01-01") + pd.Timedelta(days=inside)))
     want = pairs.screen(rows).toPandas().set_index("pair")
     assert len(got) == 3 and np.allclose(got["adf_stat"], want.loc[got.index, "adf_stat"], atol=2e-6) and np.allclose(got["beta"], want.loc[got.index, "beta"], atol=2e-6)
+
+
+def test_start_sweep_reaches_the_end_of_the_panel(spark, events):
+    d = events(60)
+    got = registry.start_date_sweep_full(spark, d).toPandas().sort_values("start").reset_index(drop=True)
+    bars = 60 * 24
+    want = np.linspace(25, bars - 400, num=min(24, (bars - 425) // 45)).astype(int).tolist()
+    assert got["start"].tolist() == want and got["n"].tolist() == [bars - s for s in want] and len(want) == 22
+    for s in (want[0], want[11], want[-1]):
+        one = registry.results.performance(registry.Rotation(spark, d, start=s).pnl(), ["phase"], registry.PER_YEAR).first()
+        row = got[got["start"] == s].iloc[0]
+        assert abs(row["ann_return"] - one["ann_return"]) < 2e-6 and abs(row["sharpe"] - one["sharpe"]) < 2e-6
+    assert rotation.sweep_starts(425, 20) == [] and len(rotation.sweep_starts(100_000, 20)) == 24
