@@ -10,6 +10,7 @@ Words are `[^\\x20\\x09-\\x0D]+`. A NULL or blank text has no words, all counts
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,6 +32,9 @@ WINDOW = 8
 #: Symbols that are counted (fixed values).
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
+_ASCII = bytes(range(128))
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their punctuation and full-width forms.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 _COEFF = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(64)], dtype=np.uint64)
 
 
@@ -69,12 +73,22 @@ class Doc:
     def n_repeat_words(self) -> int:
         return repeat_words(self.words)
 
+    @cached_property
+    def wide(self) -> str:
+        """The characters beyond ASCII."""
+        return "" if self.text.isascii() else self.text.translate(None, _ASCII).decode("utf-8", "replace")
+
     @cached_property
     def letters(self) -> tuple[int, int]:
-        """ASCII letters, and those of them that are capital."""
+        """Letters of any script, and those of them that are capital."""
         upper = len(self.text) - len(self.text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         lower = len(self.text) - len(self.text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-        return upper + lower, upper
+        return upper + lower + sum(map(str.isalpha, self.wide)), upper + sum(map(str.isupper, self.wide))
+
+    @cached_property
+    def unspaced(self) -> bool:
+        """Whether most characters that are no white space belong to a script without spaces between words."""
+        return 2 * len(self.wide) > self.word_chars and 2 * len(_UNSPACED.findall(self.wide)) > self.word_chars
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -119,7 +133,7 @@ MORE = (
     Rule("duplicate_lines", lambda d: d.n_dup_lines >= 3 and 100 * d.n_dup_lines > 30 * len(d.lines)),
     Rule("capitals", lambda d: d.letters[0] >= 40 and 100 * d.letters[1] > 50 * d.letters[0]),
     Rule("shouted_ends", lambda d: 100 * d.text.count(b"!!") > 30 * d.n_words),
-    Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 20 * d.n_words),
+    Rule("word_length", lambda d: d.word_chars < 2 * d.n_words or (d.word_chars > 20 * d.n_words and not d.unspaced)),
 )
 RULES = BASE + MORE
 

@@ -1,0 +1,17 @@
+"""Operators that must do their whole job: every script."""
+
+from barflow.llm.quality_rules import RULES, Doc, cascade
+
+
+def test_rules_leave_prose_of_other_scripts():
+    cyrillic = " ".join(f"слово{k} которое стоит в тексте{k} рядом с NATO" for k in map(chr, range(0x430, 0x44A)))
+    # each paragraph differs, so that no window of words repeats
+    han = "\n".join("".join(chr(0x4E00 + (37 * k + 11 * j) % 5000) for j in range(60)) + "。" for k in range(25))
+    thai = " ".join("".join(chr(0x0E01 + (7 * k + 3 * j) % 46) for j in range(40)) for k in range(25))
+    for text in (cyrillic, han, thai):
+        assert cascade(RULES, Doc(text.encode())) is None
+    words = [f"word{chr(97 + k)}" for k in range(25)]
+    assert cascade(RULES, Doc(" ".join(w.upper() for w in words).encode())) == "capitals"
+    assert cascade(RULES, Doc(" ".join(f"СЛОВО{chr(0x410 + k)}" for k in range(25)).encode())) == "capitals"
+    assert cascade(RULES, Doc(" ".join(w * 8 for w in words).encode())) == "word_length"
+    assert cascade(RULES, Doc(" ".join(w * 8 + "漢" for w in words).encode())) == "word_length"
