@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,19 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, root (smallest node reachable) for every node of the undirected links (a, b); each round halves the paths.
 
+    Rounds go on until the links are settled. With `rounds`, links not settled after so many raise an error.
+
     A node's least neighbour is a pre-aggregated minimum, and joins back by node are split where a node is hot. Each round is
     written to the shared folder.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = _mark(edges)
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise RuntimeError(f"links are not settled after {rounds} rounds")
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: a node's larger neighbours point to its least one

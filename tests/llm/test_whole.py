@@ -1,5 +1,8 @@
-"""Operators that must do their whole job: every script."""
+"""Operators that must do their whole job: every script, and links until they are settled."""
 
+import pytest
+
+from barflow.llm.components import components
 from barflow.llm.quality_rules import RULES, Doc, cascade
 
 
@@ -15,3 +18,10 @@ def test_rules_leave_prose_of_other_scripts():
     assert cascade(RULES, Doc(" ".join(f"СЛОВО{chr(0x410 + k)}" for k in range(25)).encode())) == "capitals"
     assert cascade(RULES, Doc(" ".join(w * 8 for w in words).encode())) == "word_length"
     assert cascade(RULES, Doc(" ".join(w * 8 + "漢" for w in words).encode())) == "word_length"
+
+
+def test_links_settle_or_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(chain).collect()} == {(k, 0) for k in range(41)}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
