@@ -65,11 +65,11 @@ def variant_baskets(signal: DataFrame, rules: dict[str, tuple[Column, Column]],
     return rows.withColumn("weight", weight).select("variant", "phase", "t0", "symbol", "rank", "weight")
 
 
-def contributions(held: DataFrame, signal: DataFrame, every: int, bars: int) -> DataFrame:
-    """phase, bar, symbol, t0, part = weight * return; a missing return gives 0 but keeps its weight."""
+def contributions(held: DataFrame, signal: DataFrame, every: int, bars: int, keys: tuple[str, ...] = ("phase",)) -> DataFrame:
+    """keys, bar, symbol, t0, part = weight * return; a missing return gives 0 but keeps its weight."""
     days = held.withColumn("bar", F.explode(F.sequence(F.col("t0"), F.least(F.col("t0") + every - 1, F.lit(bars - 1)))))
     ret = signal.select("symbol", "bar", "ret")
-    return days.join(ret, ["symbol", "bar"], "left").select("phase", "bar", "symbol", "t0", (F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("part"))
+    return days.join(ret, ["symbol", "bar"], "left").select(*keys, "bar", "symbol", "t0", (F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("part"))
 
 
 def profit(parts: DataFrame, clock: DataFrame, start: int, phases: int = 1) -> DataFrame:
@@ -79,14 +79,14 @@ def profit(parts: DataFrame, clock: DataFrame, start: int, phases: int = 1) -> D
     return at.join(sums, ["phase", "bar"], "left").select("phase", "bar", F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.coalesce("n_held", F.lit(0)).alias("n_held"))
 
 
-def turnover(held: DataFrame, every: int, top: int, bars: int) -> DataFrame:
-    """phase, bar, dropped, added, turnover at the rebalances with a change."""
-    w = Window.partitionBy("phase", "symbol").orderBy("t0")
+def turnover(held: DataFrame, every: int, top: int, bars: int, keys: tuple[str, ...] = ("phase",)) -> DataFrame:
+    """keys, bar, dropped, added, turnover at the rebalances with a change."""
+    w = Window.partitionBy(*keys, "symbol").orderBy("t0")
     x = held.withColumn("before", F.lag("t0").over(w)).withColumn("after", F.lead("t0").over(w))
-    added = x.where(F.col("before").isNull() | (F.col("before") != F.col("t0") - every)).select("phase", F.col("t0").alias("bar"), F.lit(0).alias("d"), F.lit(1).alias("a"))
+    added = x.where(F.col("before").isNull() | (F.col("before") != F.col("t0") - every)).select(*keys, F.col("t0").alias("bar"), F.lit(0).alias("d"), F.lit(1).alias("a"))
     out = x.where((F.col("after").isNull() | (F.col("after") != F.col("t0") + every)) & (F.col("t0") + every < bars))
-    dropped = out.select("phase", (F.col("t0") + every).alias("bar"), F.lit(1).alias("d"), F.lit(0).alias("a"))
-    return added.unionByName(dropped).groupBy("phase", "bar").agg(F.sum("d").alias("dropped"), F.sum("a").alias("added"), (F.sum(F.col("d") + F.col("a")) / F.lit(top)).alias("turnover"))
+    dropped = out.select(*keys, (F.col("t0") + every).alias("bar"), F.lit(1).alias("d"), F.lit(0).alias("a"))
+    return added.unionByName(dropped).groupBy(*keys, "bar").agg(F.sum("d").alias("dropped"), F.sum("a").alias("added"), (F.sum(F.col("d") + F.col("a")) / F.lit(top)).alias("turnover"))
 
 
 def trades(held: DataFrame, parts: DataFrame, every: int, bars: int) -> DataFrame:

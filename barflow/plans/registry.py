@@ -721,13 +721,14 @@ def rolling_hurst(spark, d):
     return ind.rolling_hurst(bars(spark, d), 120, 9).select("symbol", n("bar"), r("hurst"))
 
 
+def _features_hurst(rows, signal):
+    x = _features(rows, signal).drop("hurst").join(ind.rolling_hurst(rows, 120, 9), ["symbol", "bar"])
+    return x.withColumn("hurst", F.when(~F.isnan("hurst"), F.col("hurst")))
+
+
 @query
 def momentum_hurst_variants(spark, d):
-    def extra(rows, signal):
-        x = _features(rows, signal).drop("hurst").join(ind.rolling_hurst(rows, 120, 9), ["symbol", "bar"])
-        return x.withColumn("hurst", F.when(~F.isnan("hurst"), F.col("hurst")))
-
-    x = Rotation(spark, d, extra=extra)
+    x = Rotation(spark, d, extra=_features_hurst)
     rules = {k: v for k, v in rotation.variants(hurst_min=0.45).items() if "hurst" in k}
     return rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars).select("variant", n("t0"), "symbol", n("rank"))
 
@@ -829,18 +830,23 @@ def garch_sized_pnl(spark, d):
 
 @query
 def variant_summary(spark, d):
-    """Phase-neutral and costed results of the baseline and the risk-adjusted rule against holding all names."""
-    out = None
-    table_ = rotation.variants()
-    for name in ("baseline", "risk_adjusted"):
-        mask, score = table_[name]
-        x = Rotation(spark, d, phases=EVERY, score=score, mask=F.coalesce(mask, F.lit(False)), extra=_features)
-        rows = x.pnl().join(x.turnover().select("phase", "bar", "turnover"), ["phase", "bar"], "left").where(F.col("bar") >= x.start + EVERY)
-        mean = rows.groupBy("bar").agg(F.avg("pnl").alias("pnl"), F.avg(F.col("pnl") - F.coalesce("turnover", F.lit(0.0)) * 5e-4).alias("net"), F.avg("n_held").alias("held"))
-        y = mean.agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"), F.avg("net").alias("net"), F.avg("held").alias("held"), F.avg(F.when(F.col("held") == 0, 1.0).otherwise(0.0)).alias("idle"))
-        y = y.select(F.lit(name).alias("variant"), r(F.col("m") * PER_YEAR, "ann_return"), r(results.sharpe(F.col("m"), F.col("s"), PER_YEAR), "sharpe"), r(F.col("net") * PER_YEAR, "net_return"), r("held"), r("idle"))
-        out = y if out is None else out.unionByName(y)
-    return out
+    """Phase-neutral and costed results of every selection rule, in one plan, against holding all names."""
+    x = Rotation(spark, d, phases=EVERY, extra=_features_hurst)
+    key = ("variant", "phase")
+    rules = rotation.variants()
+    held = rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars, EVERY)
+    parts = rotation.contributions(held, x.signal, EVERY, x.bars, key).groupBy(*key, "bar").agg(F.sum("part").alias("pnl"), F.count("*").alias("n_held"))
+    moves = rotation.turnover(held, EVERY, TOP, x.bars, key).select(*key, "bar", "turnover")
+    # phases without a basket earn 0, so the mean over phases is a sum over EVERY; from the bar on at which all have begun
+    blend = parts.join(moves, [*key, "bar"], "full").groupBy("variant", "bar").agg(*((F.coalesce(F.sum(c), F.lit(0.0)) / EVERY).alias(c) for c in ("pnl", "turnover", "n_held")))
+    names = F.explode(F.array(*(F.lit(k) for k in rules))).alias("variant")
+    at = x.clock.where(F.col("bar") >= x.start + EVERY).select("bar", names)
+    mean = at.join(blend, ["variant", "bar"], "left").select("variant", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pnl", "turnover", "n_held")))
+    mean = mean.select("variant", "pnl", (F.col("pnl") - F.col("turnover") * 5e-4).alias("net"), F.col("n_held").alias("held"))
+    hold = rotation.buy_and_hold(x.signal, x.start).crossJoin(x.signal.select(F.countDistinct("symbol").cast("double").alias("held")))  # the count is one row
+    mean = mean.unionByName(hold.select(F.lit("buy_and_hold").alias("variant"), "pnl", F.col("pnl").alias("net"), "held"))
+    y = mean.groupBy("variant").agg(F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"), F.avg("net").alias("net"), F.avg("held").alias("held"), F.avg(F.when(F.col("held") == 0, 1.0).otherwise(0.0)).alias("idle"))
+    return y.select("variant", r(F.col("m") * PER_YEAR, "ann_return"), r(results.sharpe(F.col("m"), F.col("s"), PER_YEAR), "sharpe"), r(F.col("net") * PER_YEAR, "net_return"), r("held"), r("idle"))
 
 
 def _intraday(spark, d):

@@ -68,3 +68,16 @@ def test_start_sweep_reaches_the_end_of_the_panel(spark, events):
         row = got[got["start"] == s].iloc[0]
         assert abs(row["ann_return"] - one["ann_return"]) < 2e-6 and abs(row["sharpe"] - one["sharpe"]) < 2e-6
     assert rotation.sweep_starts(425, 20) == [] and len(rotation.sweep_starts(100_000, 20)) == 24
+
+
+def test_variant_summary_has_every_rule_and_the_benchmark(spark, events):
+    d = events(20, ("AAA", "BBB", "CCC", "DDD"))
+    got = registry.variant_summary(spark, d).toPandas().set_index("variant")
+    assert set(got.index) == {*rotation.variants(), "buy_and_hold"}
+    mask, score = rotation.variants()["ma_and_di"]
+    x = registry.Rotation(spark, d, phases=registry.EVERY, score=score, mask=F.coalesce(mask, F.lit(False)), extra=registry._features)
+    p = x.pnl().where(F.col("bar") >= x.start + registry.EVERY).groupBy("bar").agg(F.avg("pnl").alias("pnl"), F.avg("n_held").alias("held")).toPandas()
+    one = got.loc["ma_and_di"]
+    assert abs(one["ann_return"] - p["pnl"].mean() * registry.PER_YEAR) < 2e-6 and abs(one["held"] - p["held"].mean()) < 2e-6
+    hold = rotation.buy_and_hold(x.signal, x.start).toPandas()["pnl"]
+    assert abs(got.loc["buy_and_hold", "ann_return"] - hold.mean() * registry.PER_YEAR) < 2e-6 and got.loc["buy_and_hold", "held"] == 4
