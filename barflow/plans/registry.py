@@ -564,17 +564,31 @@ def perturbation(spark, d):
     return out.crossJoin(base).select("key", "value", r("sharpe"), r(F.col("sharpe") - F.col("base"), "delta"))  # base is one row
 
 
-@query
-def permutation_test(spark, d):
-    """Total profit of baskets chosen by a hash of simulation, symbol and bar, for 20 simulations."""
-    x = Rotation(spark, d)
-    sims = x.signal.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(19))))
+def _permuted(x, count):
+    """sim, total: profit of baskets chosen by a hash of simulation, symbol and bar."""
+    sims = x.signal.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     t0 = F.col("bar") + 1
     picks = sims.where("ok AND roc IS NOT NULL").select("sim", "symbol", t0.alias("t0")).where((F.col("t0") >= x.start) & ((F.col("t0") - x.start) % EVERY == 0) & (F.col("t0") < x.bars))
     order = Window.partitionBy("sim", "t0").orderBy(F.md5(F.concat_ws("|", F.col("sim").cast("string"), "symbol", F.col("t0").cast("string")).cast("binary")))
     picks = picks.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TOP).withColumn("weight", 1 / F.count("*").over(Window.partitionBy("sim", "t0")))
     parts = rotation.contributions(picks.withColumnRenamed("sim", "phase"), x.signal, EVERY, x.bars)
-    return parts.groupBy("phase").agg(F.sum("part").alias("total")).select(n("phase", "sim"), r("total"))
+    return parts.groupBy("phase").agg(F.sum("part").alias("total")).select(n("phase", "sim"), "total")
+
+
+@query
+def permutation_test(spark, d):
+    """Total profit of baskets chosen by a hash of simulation, symbol and bar, for the 20 simulations of the SQL."""
+    return _permuted(Rotation(spark, d), 20).select("sim", r("total"))
+
+
+@query
+def permutation_significance(spark, d):
+    """The real profit among 400 random runs: share of the runs that reach it."""
+    x = Rotation(spark, d)
+    real = x.parts.agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("real"))
+    # real is one row; a random run that picks the same baskets may differ in the last digits
+    share = F.avg(F.when(F.col("total") >= F.col("real") - 1e-12, 1.0).otherwise(0.0))
+    return _permuted(x, 400).crossJoin(real).agg(n(F.count("*"), "sims"), r(F.first("real"), "real"), r(F.percentile("total", F.lit(0.5)), "p50"), r(share, "p_value"))
 
 
 @query
@@ -588,24 +602,54 @@ def runner_consistency(spark, d):
 # --- resampling ------------------------------------------------------------------------------------------------------------
 
 
+#: Draws that the SQL of the bootstraps fixes, and those of the full runs.
+DRAWS, FULL_DRAWS, FULL_PAIRED_DRAWS = 200, 2000, 5000
+
+
+def _boot(spark, d, draws):
+    return results.boot_sharpe(results.block_bootstrap(Rotation(spark, d).pnl(), ["pnl"], 24, draws, hashed=draws > DRAWS), "pnl", PER_YEAR)
+
+
+def _significance(spark, d, draws):
+    return results.significance(_boot(spark, d, draws)).select(r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
+
+
+def _paired(spark, d, count):
+    x = Rotation(spark, d)
+    both = x.pnl().select("bar", "pnl").join(rotation.buy_and_hold(x.signal, x.start).withColumnRenamed("pnl", "hold"), "bar")
+    draws = results.block_bootstrap(both, ["pnl", "hold"], 24, count, hashed=count > DRAWS)
+    a, b = results.boot_sharpe(draws, "pnl", PER_YEAR), results.boot_sharpe(draws, "hold", PER_YEAR).withColumnRenamed("sharpe", "other")
+    return a.join(b, "boot").select(n("boot"), r(F.col("sharpe") - F.col("other"), "diff"))
+
+
 @query
 def block_bootstrap(spark, d):
-    return results.boot_sharpe(results.block_bootstrap(Rotation(spark, d).pnl(), ["pnl"], 24, 200), "pnl", PER_YEAR).select(n("boot"), r("sharpe"))
+    return _boot(spark, d, DRAWS).select(n("boot"), r("sharpe"))
+
+
+@query
+def block_bootstrap_full(spark, d):
+    return _boot(spark, d, FULL_DRAWS).select(n("boot"), r("sharpe"))
 
 
 @query
 def bootstrap_significance(spark, d):
-    s = results.boot_sharpe(results.block_bootstrap(Rotation(spark, d).pnl(), ["pnl"], 24, 200), "pnl", PER_YEAR)
-    return results.significance(s).select(r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
+    return _significance(spark, d, DRAWS)
+
+
+@query
+def bootstrap_significance_full(spark, d):
+    return _significance(spark, d, FULL_DRAWS)
 
 
 @query
 def paired_bootstrap(spark, d):
-    x = Rotation(spark, d)
-    both = x.pnl().select("bar", "pnl").join(rotation.buy_and_hold(x.signal, x.start).withColumnRenamed("pnl", "hold"), "bar")
-    draws = results.block_bootstrap(both, ["pnl", "hold"], 24, 200)
-    a, b = results.boot_sharpe(draws, "pnl", PER_YEAR), results.boot_sharpe(draws, "hold", PER_YEAR).withColumnRenamed("sharpe", "other")
-    return a.join(b, "boot").select(n("boot"), r(F.col("sharpe") - F.col("other"), "diff"))
+    return _paired(spark, d, DRAWS)
+
+
+@query
+def paired_bootstrap_full(spark, d):
+    return _paired(spark, d, FULL_PAIRED_DRAWS)
 
 
 def _evaluations(spark, d):
@@ -684,7 +728,7 @@ def ou_calibration(spark, d):
 
     def run(batches):
         for p in batches:
-            found = [models.calibrate_entry(-g, v, 5e-4, sims=60) for g, v in zip(p["gamma"], p["sigma"], strict=True)]
+            found = [models.calibrate_entry(-g, v, 5e-4) for g, v in zip(p["gamma"], p["sigma"], strict=True)]
             yield p.assign(kappa=-p["gamma"], entry_z=[x[0] if x else None for x in found], expected=[x[1] if x else None for x in found])[["a", "b", "kappa", "sigma", "entry_z", "expected"]]
 
     return s.select(*PAIR, "gamma", "sigma").mapInPandas(run, kinds).select(*PAIR, r("kappa"), r("sigma"), r("entry_z"), r("expected"))

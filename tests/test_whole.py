@@ -81,3 +81,17 @@ def test_variant_summary_has_every_rule_and_the_benchmark(spark, events):
     assert abs(one["ann_return"] - p["pnl"].mean() * registry.PER_YEAR) < 2e-6 and abs(one["held"] - p["held"].mean()) < 2e-6
     hold = rotation.buy_and_hold(x.signal, x.start).toPandas()["pnl"]
     assert abs(got.loc["buy_and_hold", "ann_return"] - hold.mean() * registry.PER_YEAR) < 2e-6 and got.loc["buy_and_hold", "held"] == 4
+
+
+def test_draws_are_those_of_the_reference(spark, events):
+    d = events(20)
+    p = registry.permutation_significance(spark, d).first()
+    totals = registry._permuted(registry.Rotation(spark, d), 400).toPandas()["total"]
+    real = registry.Rotation(spark, d).pnl().agg(F.sum("pnl")).first()[0]
+    assert p["sims"] == len(totals) == 400 and abs(p["p_value"] - (totals >= real - 1e-12).mean()) < 2e-6 and abs(p["real"] - real) < 2e-6
+    sharpes = registry.block_bootstrap_full(spark, d).toPandas()["sharpe"]
+    assert len(sharpes) == 2000 and sharpes.nunique() > 1900 and registry.paired_bootstrap_full(spark, d).count() == 5000
+    got = registry.ou_calibration(spark, d).toPandas()
+    fit = registry.stats.changes(pairs.spreads(registry.joint(spark, d)), ["a", "b"], "spread").groupBy("a", "b").agg(*registry.stats.unit_root()).toPandas()
+    want = {(f.a, f.b): models.calibrate_entry(-f.gamma, f.sigma, 5e-4, sims=300) for f in fit.itertuples()}
+    assert len(got) == 3 and all(g.entry_z == want[g.a, g.b][0] and abs(g.expected - want[g.a, g.b][1]) < 2e-6 for g in got.itertuples())
