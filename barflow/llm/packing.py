@@ -1,12 +1,14 @@
 """Packing into sequences: shortest-pack-first over the length histogram.
 
-1. Every text is encoded, closed with the end id, and cut at multiples of `size`; a piece is a row with its length.
+1. Every text is encoded (a long one by overlapping chunks, see token_counts), closed with the end id, and cut at multiples of
+   `size`; a piece is a row with its length.
 2. The histogram of piece lengths (at most `size` numbers, whatever the corpus) goes to the driver. Lengths are placed from
    the longest to the shortest, each into the shortest packs with room; packs of equal content are one pattern with a count,
    and a placement that takes only some of a pattern's packs splits it. A length adds at most one pattern, so there are at
    most `size` patterns, and a pattern holds at most sqrt(2 * size) distinct lengths: the table of placements is bounded.
-3. Pieces are ranked within their length: counted by (salt, length), offset by a running sum over the salts, and numbered
-   within each (salt, length), so that one length with a third of all pieces spreads over many tasks.
+3. Pieces are ranked within their length: dealt to salts by a row number, counted by (salt, length), offset by a running sum
+   over the salts, and numbered within each (salt, length), so that one length, or one id, with a third of all pieces spreads
+   over many tasks.
 4. A piece finds its placement by (length, rank), and with it its sequence and its offset there.
 
 A NULL or empty text is the end id alone. Repeated rows are packed each on its own. A sequence is padded to `size` unless its
@@ -106,13 +108,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Adds rank: 0, 1, 2 … within each length, over all rows. A length has as many salts as its number of pieces asks for."""
+    """Adds rank: 0, 1, 2 … within each length, over all rows, which have a number `row`. A length has as many salts as its number of pieces asks for."""
     spread = rows.sparkSession.createDataFrame([(n, -(-c // PER_SALT)) for n, c in histogram.items()], "length long, salts long")  # at most `size` rows
-    rows = rows.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))).drop("salts")
+    rows = rows.join(F.broadcast(spread), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).drop("salts")
     sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("row")
     return rows.withColumn("at", F.row_number().over(within) - 1).join(first, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at")).drop("salt", "before", "at")
 
 
@@ -120,7 +122,8 @@ def packing(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, with_ids: bool = False
 ) -> DataFrame:
     """Every piece with its sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    rows = written(pieces(docs, tokenizer, id_col, text_col, size, end, with_ids), "pieces")
+    # numbered before they are written, so that a number stays with its row and repeated rows are dealt apart
+    rows = written(pieces(docs, tokenizer, id_col, text_col, size, end, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most `size` rows
     place = placements(patterns(histogram, size))
     shared = docs.sparkSession.sparkContext.broadcast(place)

@@ -1,21 +1,24 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to CHUNK characters are encoded whole. A longer one is encoded in overlapping chunks, each with offsets, so that
-memory stays bounded by the chunk. Two neighbours are spliced at a boundary that is proven stable: a white-space character
-in the overlap, with a visible character before it, where both encodings have a token boundary and agree on all tokens of
-SURE characters on either side. The tokenizers here never merge across such a place (the pre-tokenizer, or the word marker
-of the piece model, cuts there), so what stands right of it does not change what stands left of it. If no such boundary is
-found, the overlap doubles; at worst it reaches the whole text.
+Texts up to CHUNK bytes are encoded whole. A longer one is encoded in overlapping chunks, each with offsets, so that memory
+stays bounded by the chunk. Two neighbours are spliced at a common boundary: an ASCII white-space character in the overlap,
+with a visible character before it, where both encodings have a token boundary and agree on all tokens of SURE bytes on either
+side. If no such boundary is found, the overlap doubles; at worst it reaches the whole text.
+
+For tokenizer files of the form in WORD_SPEC the boundary is proven: every rule of the file (composition, lower case, the cut
+into letters, digits and signs) stops at white space, which is dropped, so what stands right of it never changes what stands
+left of it. There the words of a chunk are encoded one by one and remembered, and a token's offset is that of its word. For
+other files the agreement on either side is the test; it is checked against the library on random text, not proven.
 
 Counts equal those of the library on the whole text, without added, begin or end tokens; special strings inside texts are
-handled by the library's defaults.
+handled by the library's defaults. A NULL or empty text has none. Repeated rows are counted each on its own; texts that are no
+UTF-8 are read with replacement characters.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -24,26 +27,35 @@ from pyspark.sql import DataFrame
 
 from barflow.llm.common import batch, id_type, mapped, narrowed
 
-#: Characters of a chunk, and of the first overlap.
-CHUNK, OVERLAP = 65_536, 1024
-#: Characters on both sides of a splice on which both encodings must agree.
+#: Bytes of a chunk, and of the first overlap.
+CHUNK, OVERLAP = 8192, 512
+#: Bytes on both sides of a splice on which both encodings must agree.
 SURE = 24
 #: Tokens beyond which over_limit is true.
 LIMIT = 2048
 #: Words whose ids a worker keeps.
 _MEMO = 400_000
+#: Form of a tokenizers file whose words are independent (fixed values): normalizers, the pattern of the split, the steps after it.
+WORD_SPEC = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Library:
-    """A tokenizer file: ids, and ids with the characters at which tokens start."""
+    """A tokenizer file: ids, and ids with the bytes at which tokens start and end."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.splits_at_space = False
-        self._bpe = None
-        self._lowers = False
+        self.by_word = False
         self._memo = _Memo(lambda w: np.array(self.word_ids(w), "<u4").tobytes())
-        self._sizes = _Memo(lambda w: len(self.word_ids(w)))
         if path.endswith(".json"):
             import json
 
@@ -51,66 +63,65 @@ class Library:
 
             self._tok = Tokenizer.from_file(path)
             with open(path, encoding="utf-8") as f:
-                spec = json.load(f)
-            self.splits_at_space = _isolates_words(spec)
+                self.by_word = _words_are_independent(json.load(f))
+            self._bpe = self._tok.model
             self._ids = lambda texts: [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-            self._count = lambda texts: [len(e) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
-            if self.splits_at_space:
-                self._lowers = self._ids(["THE Word"]) == self._ids(["the word"])
-                self._bpe = self._tok.model
-                if not self._lowers or any(self.word_ids(w.encode()) != self._ids([w])[0] for w in _PROBE):
-                    self._bpe = None
         else:
             import sentencepiece
 
             self._tok = None
             self._sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self._ids = lambda texts: self._sp.encode(texts, num_threads=1)
-            self._count = lambda texts: [len(x) for x in self._ids(texts)]
 
     def ids(self, text: str) -> list[int]:
+        """The library's own ids."""
         return self._ids([text])[0]
 
-    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """ids, first and end character of each token."""
+    def whole(self, text: bytes) -> bytes:
+        """Ids of a text as unsigned little-endian 32-bit numbers, in one go."""
+        if self.by_word:
+            return b"".join(map(self._memo.__getitem__, _words(text)))
+        return np.array(self.ids(text.decode("utf-8", "replace")), "<u4").tobytes()
+
+    def spans(self, text: bytes) -> Spans:
+        """ids, first and end byte of each token (of its word, where words are independent)."""
+        if self.by_word:
+            ids = [self._memo[w] for w in _words(text)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            blank = np.concatenate(([True], _SPACE[np.frombuffer(text, np.uint8)], [True]))
+            edge = np.flatnonzero(blank[1:] != blank[:-1])
+            return np.frombuffer(b"".join(ids), "<u4"), np.repeat(edge[::2], counts), np.repeat(edge[1::2], counts)
+        s = text.decode("utf-8", "replace")
         if self._tok is not None:
-            e = self._tok.encode(text, add_special_tokens=False)
-            at = e.offsets
-            return e.ids, [a for a, _ in at], [b for _, b in at]
-        pieces = self._sp.encode(text, return_type="proto").pieces
-        # places are counted in bytes
-        char = np.concatenate((np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1, [len(text)]))
-        return [p.id for p in pieces], char[[p.begin for p in pieces]].tolist(), char[[p.end for p in pieces]].tolist()
-
-    def packed(self, text: bytes) -> bytes:
-        """Ids of a whole text as unsigned little-endian 32-bit numbers.
-
-        Where the tokenizer file itself says that white space ends a word and is dropped, every ASCII white space is a
-        stable boundary, and a word has the same ids everywhere: each distinct word is encoded once and remembered.
-        """
-        if not self.splits_at_space:
-            return np.array(self.ids(text.decode("utf-8", "replace")), "<u4").tobytes()
-        return b"".join(map(self._memo.__getitem__, self._words(text)))
-
-    def size(self, text: bytes) -> int:
-        """Number of ids of a whole text, by the same rule as packed()."""
-        if not self.splits_at_space:
-            return self._count([text.decode("utf-8", "replace")])[0]
-        return sum(map(self._sizes.__getitem__, self._words(text)))
-
-    def _words(self, text: bytes) -> list[bytes]:
-        # A-Z is lower-cased by the tokenizer anyway, but for special strings, which it looks for first
-        return (text.lower() if self._lowers and b"<" not in text else text).split()
+            e = self._tok.encode(s, add_special_tokens=False)
+            ids, char = e.ids, np.array(e.offsets, np.int64).reshape(-1, 2)
+            # places are counted in characters
+            lead = (np.frombuffer(s.encode(), np.uint8) & 0xC0) != 0x80
+            at = np.concatenate((np.flatnonzero(lead), [len(lead)]))
+            return np.array(ids, "<u4"), at[char[:, 0]], at[char[:, 1]]
+        pieces = self._sp.encode(s, return_type="proto").pieces
+        return tuple(np.array([getattr(p, k) for p in pieces], t) for k, t in (("id", "<u4"), ("begin", np.int64), ("end", np.int64)))
+
+    def packed(self, text: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+        """Ids of a whole text as unsigned little-endian 32-bit numbers; a text over `chunk` bytes by overlap resynchronisation."""
+        if len(text) <= chunk:
+            return self.whole(text)
+        return spliced(self, text, chunk, overlap).tobytes()
 
     def word_ids(self, word: bytes) -> list[int]:
         w = word.decode("utf-8", "replace")
-        if self._bpe is not None:
-            if _LETTERS.fullmatch(w):
-                return [t.id for t in self._bpe.tokenize(w if w.isascii() else "".join(map(_BYTE_CHAR.__getitem__, word)))]
-            m = _ENDED.fullmatch(w)
-            if m:  # letters end where signs begin, whatever stands around
-                return self.word_ids(m[1].encode()) + [t.id for t in self._bpe.tokenize(m[2])]
-        return self._ids([w])[0]
+        if _LETTERS.fullmatch(w):  # small letters: no normalizer changes them, no rule cuts them
+            return [t.id for t in self._bpe.tokenize(w if w.isascii() else "".join(map(_BYTE_CHAR.__getitem__, word)))]
+        m = _ENDED.fullmatch(w)
+        if m:  # letters end where signs begin, whatever stands around
+            return self.word_ids(m[1].encode()) + [t.id for t in self._bpe.tokenize(m[2])]
+        return self.ids(w)
+
+
+def _words(text: bytes) -> list[bytes]:
+    # A-Z is lower-cased by such a file anyway, but for special strings, which it looks for first, and after composition:
+    # a capital with a combining mark may stay two characters where the small letter has a composed form
+    return (text.lower() if text.isascii() and b"<" not in text else text).split()
 
 
 class _Memo(dict):
@@ -140,27 +151,17 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHAR = _byte_chars()
-#: Words on which the short way to a word's ids must agree with the library before it is used.
-_PROBE = ("a", "the", "word", "straße", "éélève", "niño", "über,", "end.", "stop!!", "x###", "(no", "don't", "naïve;", "öäü", "zzz...")
-
-
-def _isolates_words(spec: dict) -> bool:
-    """Whether a tokenizers file drops white space and cuts there: a removed-inverse split whose classes all exclude it."""
-    pre = spec.get("pre_tokenizer") or {}
-    parts = pre.get("pretokenizers", [pre])
-    post = spec.get("post_processor")
-    added = spec.get("added_tokens", [])
-    rule = parts[0].get("pattern") if parts else None
-    rule = rule.get("Regex", "") if isinstance(rule, dict) else ""
+
+
+def _words_are_independent(spec: dict) -> bool:
+    """Whether a tokenizers file has the form of WORD_SPEC, byte pairs with an end mark, and no added token that reaches beyond a word."""
+    normal, pre, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
     return (
-        post is None
-        and bool(parts)
-        and parts[0].get("type") == "Split"
-        and parts[0].get("behavior") == "Removed"
-        and parts[0].get("invert") is True
-        and r"[^\s" in rule
-        and " " not in rule
-        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in added)
+        (normal.get("normalizers"), pre.get("pretokenizers")) == WORD_SPEC
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and spec.get("post_processor") is None
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", []))
     )
 
 
@@ -169,83 +170,76 @@ def library(path: str) -> Library:
     return Library(path)
 
 
-def _cut(text: str, a: int, left: tuple, right: tuple, lo: int, hi: int) -> tuple[int, int] | None:
+def _edge(text: bytes, at: int) -> int:
+    """The first place from `at` on that does not cut a character."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(text))
+
+
+def _cut(text: bytes, left: Spans, right: Spans, lo: int, hi: int) -> tuple[int, int] | None:
     """A stable boundary in text[lo:hi]: the number of tokens of `left` before it and of `right` before it.
 
-    `left` and `right` are spans with characters counted in the whole text; a is where the right chunk begins.
+    `left` and `right` are spans with bytes counted in the whole text. Places nearest to the middle are tried first.
     """
-    lids, lbeg, lend = left
-    rids, rbeg, rend = right
-    for p in sorted(range(lo, hi), key=lambda x: abs(2 * x - lo - hi)):
-        if not text[p].isspace() or text[p - 1].isspace():
+    (lids, lbeg, lend), (rids, rbeg, rend) = left, right
+    blank = _SPACE[np.frombuffer(text, np.uint8, hi - lo + 1, lo - 1)]
+    places = np.flatnonzero(blank[1:] & ~blank[:-1]) + lo
+    for p in places[np.argsort(np.abs(2 * places - lo - hi), kind="stable")].tolist():
+        i0, i, i1 = np.searchsorted(lbeg, (p - SURE, p, p + SURE)).tolist()
+        j0, j, j1 = np.searchsorted(rbeg, (p - SURE, p, p + SURE)).tolist()
+        if i == i0 or i1 == i or i - i0 != j - j0 or i1 - i0 != j1 - j0:
             continue
-        i, j = bisect_left(lbeg, p), bisect_left(rbeg, p)
-        if (i and lend[i - 1] > p) or (j and rend[j - 1] > p):
+        if lend[i - 1] > p or rend[j - 1] > p:
             continue
-        i0, i1 = bisect_left(lbeg, p - SURE), bisect_left(lbeg, p + SURE)
-        j0, j1 = bisect_left(rbeg, p - SURE), bisect_left(rbeg, p + SURE)
-        if i1 - i0 < 2 or i == i0 or i1 == i:
-            continue
-        if lids[i0:i1] == rids[j0:j1] and lbeg[i0:i1] == rbeg[j0:j1] and i - i0 == j - j0:
+        if (lids[i0:i1] == rids[j0:j1]).all() and (lbeg[i0:i1] == rbeg[j0:j1]).all():
             return i, j
     return None
 
 
-def spliced(lib: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+#: Splices made by this process, for tests.
+splices = 0
+
+
+def spliced(lib: Library, text: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """The ids of the whole text from overlapping chunks."""
+    global splices
+
+    def encoded(a: int, b: int) -> Spans:
+        ids, beg, end = lib.spans(text[a:b])
+        return ids, beg + a, end + a
+
     n, out = len(text), []
-    at, skip = 0, 0  # the chunk starts at `at`; its first `skip` tokens are already out
-    end = min(n, chunk)
-    cur = lib.spans(text[:end])
+    at, skip, mark = 0, 0, 0  # the chunk starts at `at`; its first `skip` tokens, those before byte `mark`, are already out
+    end = _edge(text, min(n, chunk))
+    cur = encoded(0, end)
     while end < n:
         width = min(overlap, chunk // 2)
-        while True:
-            start = max(0, end - width)
-            stop = min(n, start + max(chunk, 2 * width))
-            raw = lib.spans(text[start:stop])
-            nxt = (raw[0], [x + start for x in raw[1]], [x + start for x in raw[2]])
-            # the edges of a chunk are not stable: stay SURE characters off the right chunk's start and the left one's end
-            lo, hi = max(start + SURE, 1), end - SURE
-            found = _cut(text, start, cur, nxt, lo, hi) if start and hi > lo else None
-            if found and found[0] >= skip:
+        found = None
+        while found is None:
+            start = _edge(text, max(0, end - width))
+            if start <= at:
                 break
-            if start == 0 or start <= at:
-                # the overlap holds the whole left chunk: widen to the right instead, from the same start
-                stop = min(n, at + 2 * (end - at) + width)
-                raw = lib.spans(text[at:stop])
-                cur = (raw[0], [x + at for x in raw[1]], [x + at for x in raw[2]])
-                if at and skip:
-                    skip = _aligned(cur, mark)
-                end = stop
+            stop = _edge(text, min(n, start + max(chunk, 2 * width)))
+            nxt = encoded(start, stop)
+            # the edges of a chunk are not stable: stay SURE bytes off the right chunk's start and the left one's end
+            lo, hi = start + SURE, end - SURE
+            found = _cut(text, cur, nxt, lo, hi) if hi > lo else None
+            if found and found[0] < skip:
                 found = None
-                break
             width *= 2
         if found is None:
+            # the overlap holds the whole left chunk: widen that one to the right instead, from the same start
+            end = _edge(text, min(n, at + 2 * (end - at) + width))
+            cur = encoded(at, end)
+            skip = int(np.searchsorted(cur[1], mark)) if at else 0
             continue
         i, j = found
-        out += cur[0][skip:i]
-        mark = nxt[1][j] if j < len(nxt[1]) else n
+        out.append(cur[0][skip:i])
+        splices += 1
+        mark = int(nxt[1][j]) if j < len(nxt[1]) else n
         cur, at, end, skip = nxt, start, stop, j
-    return out + cur[0][skip:]
-
-
-def _aligned(spans: tuple, mark: int) -> int:
-    """Tokens before the character `mark`, where the last splice was."""
-    return bisect_left(spans[1], mark)
-
-
-def count(lib: Library, texts: list[bytes], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Tokens of whole texts; those over `chunk` characters by overlap resynchronisation."""
-    plain = iter([] if lib.splits_at_space else lib._count([t.decode("utf-8", "replace") for t in texts if len(t) <= chunk]))
-    out = []
-    for t in texts:
-        if len(t) > chunk and len(s := t.decode("utf-8", "replace")) > chunk:
-            out.append(len(spliced(lib, s, chunk, overlap)))
-        elif len(t) > chunk:
-            out.append(lib.size(t))
-        else:
-            out.append(lib.size(t) if lib.splits_at_space else next(plain))
-    return out
+    return np.concatenate((*out, cur[0][skip:])).astype("<u4")
 
 
 def token_counts(
@@ -256,7 +250,8 @@ def token_counts(
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text").to_pylist()
-        n = count(library(tokenizer), texts, chunk, overlap)
+        lib = library(tokenizer)
+        n = [len(lib.packed(t, chunk, overlap)) // 4 for t in texts]
         return batch(schema, [[len(t) for t in texts], n, [x > limit for x in n]], part.column("doc_id"))
 
     return mapped(narrowed(docs, id_col, text_col), kernel, schema)

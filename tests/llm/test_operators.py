@@ -165,23 +165,51 @@ def test_spliced_chunks_equal_the_library(name):
     from barflow.llm.token_counts import library, spliced
 
     lib, rng = library(P.path(name)), random.Random(11)
-    words = ["the", "naïve", "don't", "!!", "12,5", "Straße", "中文", "a" * 40, "x́y", "<|endoftext|>", "...", "\n\n", "\t"]
+    words = ["the", "naïve", "don't", "!!", "12,5", "Straße", "中文", "a" * 40, "x́y", "J\u030c", "<|endoftext|>", "...", "\n\n", "\t"]
     for trial in range(12):
         text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", ""]) for _ in range(600))
-        assert spliced(lib, text, 256, 40 + trial) == lib.ids(text)
-    assert spliced(lib, "q" * 1000, 128, 16) == lib.ids("q" * 1000)  # no white space at all: the overlap reaches the whole text
+        assert spliced(lib, text.encode(), 256, 40 + trial).tolist() == lib.ids(text)
+    for text in ("q" * 1000, "é" * 1000):  # no white space at all: the overlap reaches the whole text
+        assert spliced(lib, text.encode(), 128, 16).tolist() == lib.ids(text)
+
+
+def test_long_texts_are_spliced(small):
+    """The tables reach the chunk: texts of sf0.01 go through splices and equal the library."""
+    import pyarrow.parquet as pq
+
+    from barflow.llm import token_counts as tc
+
+    lib = tc.library(TOKENIZER)
+    texts = [t for t in pq.read_table(f"{small}/../sf0.01/documents.parquet")["text"].to_pylist() if t and len(t) > tc.CHUNK]
+    tc.splices = 0
+    for t in texts:
+        assert np.frombuffer(lib.packed(t.encode()), "<u4").tolist() == lib.ids(t)
+    assert tc.splices >= len(texts) > 20
 
 
 def test_words_one_by_one_equal_the_library():
     from barflow.llm.token_counts import library
 
     lib, rng = library(TOKENIZER), random.Random(5)
-    assert lib.splits_at_space and lib._bpe is not None
-    chars = "abcXYZ ÀéßøÿµªºĲσΣς.,!?'-_|<>()[]{}#*%&0123456789  \x1ć中\n\t"
-    for _ in range(3000):
-        t = "".join(rng.choice(chars) for _ in range(rng.randint(0, 30)))
+    assert lib.by_word
+    chars = "abcXYZJWHTİıſK ÀéßøÿµªºĲσΣς.,!?'-_|<>()[]{}#*%&0123456789  \x1cć中\n\t\x85\u3000"
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    for _ in range(20_000):
+        t = "".join(rng.choice(marks) if rng.random() < 0.2 else rng.choice(chars) for _ in range(rng.randint(0, 24)))
         assert np.frombuffer(lib.packed(t.encode()), "<u4").tolist() == lib.ids(t), repr(t)
-        assert lib.size(t.encode()) == len(lib.ids(t))
+
+
+def test_short_way_of_letters_and_signs_for_every_character_of_its_classes():
+    """Every letter and sign that the short way admits, alone, beside each other, and at both sides of a cut."""
+    from barflow.llm.token_counts import _ENDED, _LETTERS, library
+
+    lib = library(TOKENIZER)
+    letters = [chr(c) for c in range(0x180) if _LETTERS.fullmatch(chr(c))]
+    signs = [chr(c) for c in range(0x80) if _ENDED.fullmatch("a" + chr(c))]
+    assert len(letters) == 26 + 32 and "'" not in signs and "<" not in signs
+    words = [a + b + c for a in letters for b in ("", *letters) for c in ("", "e")] + [a + x + y for a in letters for x in signs for y in ("", *signs)]
+    for word, ids in zip(words, lib._ids(words), strict=True):
+        assert lib.word_ids(word.encode()) == ids, word
 
 
 def test_packing(docs, none):
