@@ -9,7 +9,6 @@ entry for each block, never one for each occurrence, so no task holds a hot grou
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +20,12 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import shared_dir, trim
 
-#: Text bytes in a block, about (a longer text is a block of its own).
+#: Bytes of text, other columns and ROW_BYTES a row in a block, about (a longer row is a block of its own).
 BLOCK_BYTES = 4 << 20
+#: What a row costs beside its columns.
+ROW_BYTES = 64
+#: Block bytes that one task works on.
+TASK_BYTES = 16 << 20
 
 
 def _packed(parts: list[pa.RecordBatch]) -> bytes:
@@ -51,28 +54,31 @@ def blocked(df: DataFrame, text_col: str = "text", target: int = BLOCK_BYTES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         held: list[pa.RecordBatch] = []
-        size = count = 0
+        size = count = weight = 0
 
         def out() -> pa.RecordBatch:
-            nonlocal held, size, count
+            nonlocal held, size, count, weight
             n = sum(b.num_rows for b in held)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([(task << 32) + count]), pa.array([size], pa.int64()), pa.array([n], pa.int64()), pa.array([_packed(held)], pa.binary())],
                 names=["block", "size", "n", "rows"],
             )
-            held, size, count = [], 0, count + 1
+            held, size, weight, count = [], 0, 0, count + 1
             return row
 
         for part in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(part.column(text_col)), 0), np.int64)
+            # the other columns count with their mean; their rows come in batches of bounded size
+            other = ROW_BYTES + max(0, part.nbytes - int(sizes.sum())) // max(1, part.num_rows)
             start = 0
             for i, n in enumerate(sizes.tolist()):
-                if size and size + n > target:
+                if weight and weight + n + other > target:
                     if i > start:
                         held.append(part.slice(start, i - start))
                     start = i
                     yield out()
                 size += n
+                weight += n + other
             if start < part.num_rows:
                 held.append(part.slice(start))
         if held:
@@ -87,10 +93,14 @@ def blocked(df: DataFrame, text_col: str = "text", target: int = BLOCK_BYTES) ->
     return spark.read.schema("block long, size long, n long, rows binary").parquet(path)
 
 
-def shards(blocks: DataFrame, per_shard: int) -> int:
-    """Number of shards for the text in these blocks."""
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    return max(1, -(-total // per_shard))
+def volume(blocks: DataFrame) -> int:
+    """Text bytes in these blocks, and what their rows cost."""
+    return blocks.agg(F.sum(F.col("size") + F.col("n") * ROW_BYTES)).first()[0] or 0
+
+
+def shards(size: int, per_shard: int) -> int:
+    """Number of shards for so many text bytes."""
+    return max(1, -(-size // per_shard))
 
 
 def shard_slices(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
@@ -127,8 +137,11 @@ def rows_of(block: int, found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def answered(questions: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """Answers of every shard: answer([(block, payload)]) gives (block, payload). A shard is a bounded range of keys."""
+def answered(questions: DataFrame, answer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]], n: int) -> DataFrame:
+    """Answers of all `n` shards: answer([(block, payload)]) gives (block, payload). A shard is a bounded range of keys.
+
+    There are as many tasks as shards, whatever the session's number of shuffle partitions.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
@@ -140,11 +153,14 @@ def answered(questions: DataFrame, answer: Callable[[list[tuple[int, bytes]]], I
         trim()
         return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(block), pa.int32()), "payload": pa.array(payload, pa.binary())})
 
-    return questions.groupBy("shard").applyInArrow(run, ASKED)
+    return questions.repartition(n, "shard").groupBy("shard").applyInArrow(run, ASKED)
+
 
+def told(blocks: DataFrame, size: int, answers: DataFrame, use: Callable[[int, pa.Table, list[tuple[int, bytes]]], pa.Table], schema: object) -> DataFrame:
+    """use(block, documents, [(shard, payload)] in the order of shards) for every block, with the answers it got.
 
-def told(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.Table, list[tuple[int, bytes]]], pa.Table], schema: object) -> DataFrame:
-    """use(block, documents, [(shard, payload)] in the order of shards) for every block, with the answers it got."""
+    `size` is the volume of the blocks; it sets the number of tasks.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -160,7 +176,9 @@ def told(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.Table, li
         trim()
         return out
 
-    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    n = shards(size, TASK_BYTES)
+    left, right = (x.repartition(n, "block").groupBy("block") for x in (blocks.select("block", "rows"), answers))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -182,11 +200,11 @@ def unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def deflated(payload: bytes) -> bytes:
-    return zlib.compress(payload, 1)
+    return len(payload).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(payload, asbytes=True)
 
 
 def inflated(payload: bytes) -> bytes:
-    return zlib.decompress(payload)
+    return pa.Codec("zstd").decompress(payload[8:], int.from_bytes(payload[:8], "little"), asbytes=True)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -200,7 +218,7 @@ def unpack_keys(data: np.ndarray) -> np.ndarray:
     return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
 
 
-def chosen(blocks: DataFrame, rows: DataFrame, schema: object) -> DataFrame:
+def chosen(blocks: DataFrame, size: int, rows: DataFrame, schema: object) -> DataFrame:
     """The documents of blocks at given rows: `rows` has block and at (place in the block)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -211,4 +229,6 @@ def chosen(blocks: DataFrame, rows: DataFrame, schema: object) -> DataFrame:
             return empty
         return opened(left.column("rows")[0].as_py()).take(pa.array(sorted(right.column("at").to_pylist())))
 
-    return blocks.select("block", "rows").groupBy("block").cogroup(rows.select("block", "at").groupBy("block")).applyInArrow(run, schema)
+    n = shards(size, TASK_BYTES)
+    left, right = (x.repartition(n, "block").groupBy("block") for x in (blocks.select("block", "rows"), rows.select("block", "at")))
+    return left.cogroup(right).applyInArrow(run, schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.blocks import answered, asked, blocked, chosen, deflated, inflated, pack, pack_keys, shard_slices, shards, texts, told, unpack, unpack_keys
+from barflow.llm.blocks import answered, asked, blocked, chosen, deflated, inflated, pack, pack_keys, shard_slices, shards, texts, told, unpack, unpack_keys, volume
 from barflow.llm.common import space_words, word_hashes, written
 from barflow.llm.components import components
 
@@ -236,9 +236,10 @@ def _linked(rows: DataFrame, num: int, den: int, pivots: int) -> DataFrame | Non
 def _named(docs: DataFrame, text_col: str, words: int, num: int, den: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Blocks, and for each row: doc_id, block, at, n, name (class of the row: its component's root, its node, or itself)."""
     blocks = blocked(docs, text_col)
-    n = shards(blocks, PER_SHARD)
-    df = answered(asked(blocks, _ask(words, n)), _count)
-    rows = written(told(blocks, df, _tell(words, num, den), _NODES), "nodes")
+    size = volume(blocks)
+    n = shards(size, PER_SHARD)
+    df = answered(asked(blocks, _ask(words, n)), _count, n)
+    rows = written(told(blocks, size, df, _tell(words, num, den), _NODES), "nodes")
     members = rows.where("kind = 'member'").select("doc_id", "block", "at", "n", "node")
     roots = _linked(rows, num, den, pivots)
     if roots is None:
@@ -268,4 +269,4 @@ def one_of_each(
     blocks, rows = _named(docs, "text", words, num, den, pivots)
     first = rows.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "block", "at")).alias("k"))
     kept = first.select("k.block", "k.at").unionByName(rows.where("name IS NULL").select("block", "at"))
-    return chosen(blocks, kept, docs.schema)
+    return chosen(blocks, volume(blocks), kept, docs.schema)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barflow.llm.blocks import answered, asked, blocked, deflated, inflated, pack, rows_of, shard_slices, shards, texts, told, unpack
+from barflow.llm.blocks import answered, asked, blocked, deflated, inflated, pack, rows_of, shard_slices, shards, texts, told, unpack, volume
 from barflow.llm.common import id_type
 
 #: Bytes of a repeated string.
@@ -362,13 +362,14 @@ def _masks(docs: pa.Table, text_col: str, got: list[tuple[int, bytes]], least: i
         at += len(t)
 
 
-def flagged_blocks(docs: DataFrame, text_col: str, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of docs, and for each the ranges of starts of repeated strings."""
+def flagged_blocks(docs: DataFrame, text_col: str, least: int, gram: int) -> tuple[DataFrame, int, DataFrame]:
+    """Blocks of docs, their volume, and for each block the ranges of starts of repeated strings."""
     blocks = blocked(docs, text_col)
-    n = shards(blocks, PER_SHARD)
-    seen = answered(asked(blocks, _ask_owners(text_col, least, gram, n)), _count_owners)
-    sent = told(blocks, seen, _send(text_col, least, gram, n), "block long, shard int, payload binary")
-    return blocks, answered(sent, _judge(least))
+    size = volume(blocks)
+    n = shards(size, PER_SHARD)
+    seen = answered(asked(blocks, _ask_owners(text_col, least, gram, n)), _count_owners, n)
+    sent = told(blocks, size, seen, _send(text_col, least, gram, n), "block long, shard int, payload binary")
+    return blocks, size, answered(sent, _judge(least), n)
 
 
 def _spans(mask: np.ndarray) -> np.ndarray:
@@ -379,7 +380,7 @@ def _spans(mask: np.ndarray) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans (array of [first, end) bytes removed)."""
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    blocks, flags = flagged_blocks(own, "text", least, gram)
+    blocks, size, flags = flagged_blocks(own, "text", least, gram)
     kind = id_type(docs, id_col)
 
     def use(block: int, rows: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
@@ -394,7 +395,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "kept_sha256": pa.array(d, pa.string()), "spans": pa.array(e, pa.list_(pa.list_(pa.int64()))),
         })
 
-    return told(blocks, flags, use, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>")
+    return told(blocks, size, flags, use, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -403,7 +404,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | No
     A character goes if any of its bytes is under a repeated string. A NULL text stays NULL. chars_col, if given, is a column
     of character counts to renew.
     """
-    blocks, flags = flagged_blocks(docs, text_col, least, gram)
+    blocks, size, flags = flagged_blocks(docs, text_col, least, gram)
 
     def use(block: int, rows: pa.Table, got: list[tuple[int, bytes]]) -> pa.Table:
         new = []
@@ -416,13 +417,11 @@ def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | No
                 t = raw[~gone[char]].tobytes()
             new.append(t.decode("utf-8", "replace"))
         old = rows.column(text_col)
-        new = [x if o is not None else None for x, o in zip(new, old.is_valid().to_pylist(), strict=True)] if old.null_count == 0 else [
-            x if ok else None for x, ok in zip(new, old.is_valid().to_pylist(), strict=True)
-        ]
+        new = [x if ok else None for x, ok in zip(new, old.is_valid().to_pylist(), strict=True)]
         rows = rows.set_column(rows.schema.get_field_index(text_col), text_col, pa.array(new, pa.string()))
         if chars_col:
             at = rows.schema.get_field_index(chars_col)
             rows = rows.set_column(at, chars_col, pa.array([None if x is None else len(x) for x in new], rows.schema.field(at).type))
         return rows
 
-    return told(blocks, flags, use, docs.schema)
+    return told(blocks, size, flags, use, docs.schema)

@@ -1,6 +1,7 @@
 """Plain versions of the operators, one document or one corpus at a time."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -108,3 +109,39 @@ def components(ids, texts, n=3, num=90, den=100):
         r = root(i)
         least[r] = min(least.get(r, d), d)
     return [(len(sets[i]), least[root(i)]) for i in range(len(ids))]
+
+
+class Trigrams:
+    """Interpolated trigrams with absolute discounts from counts of counts, by dictionaries."""
+
+    def __init__(self, docs):
+        self.c = Counter(w for d in docs for w in d)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.two = Counter((a, b) for d in docs for a, b in zip(["<s>", *d], d, strict=False))
+        self.three = Counter((a, b, c) for d in docs for a, b, c in zip(["<s>", *d], d, d[1:], strict=False))
+        self.d = []
+        for grams in (self.two, self.three):
+            n1, n2 = (sum(x == k for x in grams.values()) for k in (1, 2))
+            self.d.append(n1 / (n1 + 2 * n2) if n1 else 0.5)
+        self.followed = {}
+        for grams in (self.two, self.three):
+            for g, x in grams.items():
+                big, kinds = self.followed.get(g[:-1], (0, 0))
+                self.followed[g[:-1]] = big + x, kinds + 1
+
+    def p1(self, w):
+        return (self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, history, w):
+        if not history:
+            return self.p1(w)
+        lower = self.p(history[1:], w)
+        if history not in self.followed:
+            return lower
+        big, kinds = self.followed[history]
+        d, grams = (self.d[0], self.two) if len(history) == 1 else (self.d[1], self.three)
+        return max(grams[*history, w] - d, 0) / big + d * kinds / big * lower
+
+    def score(self, tokens):
+        seen = ["<s>", *tokens]
+        return sum(math.log10(self.p(tuple(seen[max(0, i - 1) : i + 1]), w)) for i, w in enumerate(tokens))

@@ -259,31 +259,72 @@ def test_patterns_place_every_piece_and_waste_little():
     assert (np.diff((table["length"] << 44) | table["first"]) > 0).all()
 
 
+def lm_rows(docs):
+    """Tokens and fold of each document, as plain lists."""
+    return [(brute.SPACE.findall(brute.low(t)) + ["</s>"], zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0) for i, t in docs]
+
+
 def test_lm_scoring(docs, none):
-    tokens = [brute.SPACE.findall(brute.low(t)) + ["</s>"] for _, t in ROWS]
-    held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in ROWS]
-    c, bi, hist = Counter(), Counter(), Counter()
-    for w, h in zip(tokens, held, strict=True):
-        if not h:
-            c.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-            hist.update(["<s>", *w[:-1]])
-    n, z = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    want = []
-    for (i, _), w, h in zip(ROWS, tokens, held, strict=True):
-        base = sum(math.log10((c[x] + 0.1) / z) for x in w)
-        score = sum(math.log10((bi[a, b] + 1000 * (c[b] + 0.1) / z) / (hist[a] + 1000)) for a, b in zip(["<s>", *w], w, strict=False))
-        want.append((i, h, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+    model = brute.Trigrams([w for w, held in lm_rows(ROWS) if not held])
+    want = [
+        (i, h, len(w), sum(model.c[x] > 0 for x in w), model.n, round(sum(math.log10(model.p1(x)) for x in w), 6), round(model.score(w), 6))
+        for (i, _), (w, h) in zip(ROWS, lm_rows(ROWS), strict=True)
+    ]
     out = lm_scoring(docs).withColumns({k: F.round(k, 6) for k in ("base_score", "score")})
     same(out, want, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     assert lm_scoring(none).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    c, n, v, prior = np.array([5, 3, 0]), 8, 2, 1000.0
-    p = (c + 0.1) / (n + 0.1 * (v + 1))
-    pairs = np.array([2, 1, 0])
-    assert math.isclose(((pairs + prior * p) / (pairs.sum() + prior)).sum(), 1.0)
+def test_lm_scoring_over_blocks_and_shards(spark, monkeypatch):
+    """Many blocks and shards, repeated documents and held-out text of unseen words, against the plain trigram model."""
+    from barflow.llm import blocks, lm_scoring as lm
+
+    rng = random.Random(9)
+    phrases = [" ".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(9)]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.8 else f"w{rng.randrange(60)}" for _ in range(rng.randint(0, 120)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:9]]
+    monkeypatch.setattr(blocks.blocked, "__defaults__", ("text", 4000))
+    monkeypatch.setattr(lm, "PER_SHARD", 9000)
+    model = brute.Trigrams([w for w, held in lm_rows(rows) if not held])
+    out = {r["doc_id"]: r for r in lm.lm_scoring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for (i, _), (w, h) in zip(rows, lm_rows(rows), strict=True):
+        assert out[i]["held_out"] == h and out[i]["train_tokens"] == model.n
+        assert math.isclose(out[i]["score"], model.score(w), abs_tol=1e-6)
+    held = [r for r in out.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the histories help on unseen text
+
+
+def test_automaton_probabilities_sum_to_one():
+    """After several histories, kept and not, the probabilities of all words, the end and the unknown word sum to one."""
+    from barflow.llm.common import crc_mod
+
+    vocab = ["a", "b", "c", "d"]
+    train = ["a b c", "a b d", "b c a b c", "d", "", "c c c a", "a b c d a b"]
+    # every history and word of the test stands in the block, in texts that are held out
+    probes = [f"{u} {v} {w}" for u in vocab for v in vocab for w in (*vocab, "zz")] + [f"{u} {v}" for u in vocab for v in vocab]
+    folds = iter(i for i in range(10**6) if crc_mod(i, 10) != 0)
+    held = iter(i for i in range(10**6) if crc_mod(i, 10) == 0)
+    import pyarrow as pa
+
+    from barflow.llm import lm_scoring as lm
+
+    docs = pa.table({"doc_id": pa.array([*(next(folds) for _ in train), *(next(held) for _ in probes)]), "text": train + probes})
+    t = lm.Tokens(docs, 10, 3)
+    sums = sum(lm.unpack(a, "<i8")[0] for _, p in lm._ask(10, 3)(docs) for b, a in lm._answer([(7, p)]) if b == -1).tolist()
+    a = lm.Automaton(t, (*t.two.sums(), t.two.count, *t.three.sums(), t.three.count), sums[0], sums[1], (lm.discount(*sums[2:4]), lm.discount(*sums[4:])))
+    weight = a.walk()
+    model = brute.Trigrams([lm_rows([(0, x)])[0][0] for x in train])
+    for k, text in enumerate(train + probes):
+        w = lm_rows([(0, text)])[0][0]
+        assert math.isclose(weight[t.starts[k] : t.ends[k]].sum(), model.score(w), abs_tol=1e-9)
+    at = {text: int(t.starts[len(train) + k]) for k, text in enumerate(probes)}
+    for u in vocab:
+        for v in vocab:
+            total = sum(10 ** weight[at[f"{u} {v} {w}"] + 2] for w in (*vocab, "zz")) + 10 ** weight[at[f"{u} {v}"] + 2]
+            assert math.isclose(total, 1.0, rel_tol=1e-9), (u, v)
+    # the length of the stretches changes nothing
+    for stretch in (2, 3, 5):
+        assert np.allclose(a.walk(stretch), weight)
 
 
 def test_quality_classifier_on_held_out_labels(spark, small):
