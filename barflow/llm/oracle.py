@@ -45,7 +45,7 @@ WITH d AS (
 ), words AS (
   SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + m)) AS j FROM hit) GROUP BY k
 ), items AS (
-  SELECT k, count(*) AS n, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS s FROM (SELECT DISTINCT k, item_id FROM hit) GROUP BY k
+  SELECT k, count(item_id) AS n, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS s FROM (SELECT DISTINCT k, item_id FROM hit) GROUP BY k
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, coalesce(items.s, sha256('')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)

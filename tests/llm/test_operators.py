@@ -28,7 +28,7 @@ ROWS = [
     (10, "All rights reserved. Licensed under CC BY-NC 4.0. the GNU General Public License, version 3."), (11, "é" * 300 + " naïve " + "ß" * 50), (12, "a" * 5000),
     (13, " ".join(f"w{i}" for i in range(9000))), (14, "x\x00y \x85 z　q <|endoftext|> don't STOP!! 123"), (15, "mentpa " * 300), (16, OTHER), (17, OTHER + " end"), (None, "no id here at all"),
 ]
-ITEMS = [(1, "tale5 tale6 tale7 tale8 tale9 tale10 tale11 tale12 tale13 tale14 tale15"), (2, "One"), (10, None), (11, ""), (12, "word1 nowhere")]
+ITEMS = [(None, "tale20 tale21"), (1, "tale5 tale6 tale7 tale8 tale9 tale10 tale11 tale12 tale13 tale14 tale15"), (2, "One"), (10, None), (11, ""), (12, "word1 nowhere")]
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +84,10 @@ def test_license_scan(docs, none):
 
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = [(i, *r) for (i, _), r in zip(ROWS, brute.decontaminate([t for _, t in ROWS], ITEMS), strict=True)]
+    # an item without id marks words, but is not named
+    named = brute.decontaminate([t for _, t in ROWS], [x for x in ITEMS if x[0] is not None])
+    marked = brute.decontaminate([t for _, t in ROWS], ITEMS)
+    want = [(i, m[0], m[1], *r[2:4], m[4]) for (i, _), r, m in zip(ROWS, named, marked, strict=True)]
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     same(decontamination(docs, bench), want, *names)
     same(decontamination(docs, bench, chunk_bytes=40), want, *names)  # several passes over a benchmark beyond the bound
@@ -95,7 +98,36 @@ def test_decontamination(spark, docs, none):
 
 def test_longest_matches(spark, docs):
     found = decontamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).where("doc_id = 16").first()["found"]
-    assert [(f["item"], f["doc_word"], f["item_word"], f["words"]) for f in found] == [("1", 5, 0, 11)]
+    assert [(f["item"], f["doc_word"], f["item_word"], f["words"]) for f in found] == [("1", 5, 0, 11), (None, 20, 0, 2)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matches_of_a_shard_against_plain_search(seed):
+    """Words hit, items, and each place's longest match, on small alphabets with long repeats, short items, ties and nulls."""
+    from barflow.llm.decontamination import Shard, TestSuffixes
+
+    rng = random.Random(seed)
+    window, letters = rng.choice([3, 4, 10]), rng.choice(["ab", "abcd", "abcdefghij"])
+    text = lambda n: " ".join(rng.choice(letters) for _ in range(n))
+    shared = text(25)
+    items = [(rng.choice([i, i, 1, None]), rng.choice([text(rng.randint(0, 30)), shared, text(3) + " " + shared + " x", None])) for i in range(8)]
+    docs = [rng.choice([text(rng.randint(0, 60)), shared + " " + text(9), "a " * 150, f"zz {text(8)} zz {shared[:30]}", None]) for _ in range(10)]
+    shard = Shard([brute.ALNUM.findall(t or "") and [w.encode() for w in brute.ALNUM.findall(t)] for t in docs], TestSuffixes([(i, (t or "").encode()) for i, t in items], window))
+    own = shard.documents()
+    want = brute.decontaminate(docs, [(i, t) for i, t in items if i is not None], window)
+    marked = brute.decontaminate(docs, [(k, t) for k, (_, t) in enumerate(items)], window)
+    words = [brute.ALNUM.findall(t or "") for _, t in items]
+    for d, t in enumerate(docs):
+        names, found = own.get(d, ([], []))
+        w = brute.ALNUM.findall(t or "")
+        hit = {p for f in found for p in range(f["doc_word"], f["doc_word"] + f["words"])}
+        assert (len(hit), bool(hit)) == (marked[d][1], marked[d][4]) and len(names) == want[d][2]
+        for f in found:
+            p, n = f["doc_word"], f["words"]
+            best = max((k for x in words for q in range(len(x)) for k in range(min(window, len(x)), len(x) - q + 1) if w[p : p + k] == x[q : q + k]), default=0)
+            assert n == best
+            assert any((None if i is None else str(i)) == f["item"] and x[f["item_word"] : f["item_word"] + n] == w[p : p + n] for (i, _), x in zip(items, words, strict=True))
+        assert [f["doc_word"] for f in found] == sorted(f["doc_word"] for f in found)
 
 
 def test_suffix_dedup(docs, none):
