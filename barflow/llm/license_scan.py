@@ -1,17 +1,24 @@
 """Licence scan with a positional rare-token index.
 
-Every template word is posted with its template and position. The IDF of these words is counted over all documents. Each
-template, and each mandatory key phrase in it, is anchored at its highest-IDF words; all places of those anchors in a text
-are looked up, postings are intersected by relative position (place minus position in the template), and a place counts
-only if a mandatory key phrase stands there word for word.
+The templates are notices with mandatory key phrases. Each is posted in the index at its RARE words of highest IDF, with their
+positions; IDF is counted over all documents. A file's licence words are looked up in the index, which gives, for each template,
+places at which its rare words stand; the postings are intersected by relative position: an occurrence of the first key phrase
+fixes where the template would begin, and there at least half of the rare words must stand within BAND words of their position
+(so that words put in or left out do not spoil a match). Then every key phrase must stand word for word, within BAND words of
+its position, and the longest common subsequence of the template and the words there must be SHARE of the template. It is the
+score of the place; a document's score is its best one.
+
+The base phrases are templates of their own, exact and found wherever they stand.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A NULL or empty text has no words, no places, empty labels
-and score 0.
+and score 0. Long texts are scanned whole. Of two template words with the same IDF the earlier one counts as rarer. Places of
+templates may overlap; repeated rows give a row each.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +29,13 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import alnum_words, batch, id_type, mapped, narrowed, slices
 
+#: Words of a template that are posted, those of highest IDF.
+RARE = 8
+#: Words by which a word or phrase may stand off its position.
+BAND = 6
+#: Share of a template's words that must stand there in order.
+SHARE = 0.6
+
 
 @dataclass(frozen=True)
 class Template:
@@ -33,29 +47,94 @@ class Template:
     base: bool = False
 
 
-#: Phrases of the base labels, then common licence notices with their mandatory phrases.
+#: Phrases of the base labels, then public licence notices with their mandatory phrases.
 TEMPLATES = (
     Template("cc-by", "cc by", ("cc by",), True),
     Template("gpl", "general public license", ("general public license",), True),
     Template("reserved", "all rights reserved", ("all rights reserved",), True),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("hereby granted free of charge",)),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("agpl-3.0", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc0-1.0", "licensed under cc0 1 0 universal", ("cc0 1 0",)),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("use in source and binary forms",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", ("copy modify and or distribute this software",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-#: Anchor words of a key phrase that are looked up; the rarest alone finds every place, the second prunes.
-ANCHORS = 2
+    Template("mit", "released under the MIT license", ("mit license",)),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software.",
+        ("permission is hereby granted", "person obtaining a copy"),
+    ),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy", ("permission is hereby granted", "person obtaining a copy")),
+    Template("apache-2.0", "licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
+    Template("apache-2.0", "licensed under the Apache Software License, Version 2.0", ("apache software license version 2 0",)),
+    Template(
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("apache license version 2 0", "except in compliance with the license"),
+    ),
+    Template("gpl-3.0", "this work is licensed under the GNU General Public License, version 3", ("gnu general public license version 3",)),
+    Template("gpl-2.0", "this work is licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
+    Template(
+        "gpl-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ("gnu general public license as published", "version 3 of the license"),
+    ),
+    Template(
+        "gpl-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ("gnu general public license as published", "version 2 of the license"),
+    ),
+    Template("lgpl", "licensed under the GNU Lesser General Public License", ("gnu lesser general public license",)),
+    Template(
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        ("gnu lesser general public license",),
+    ),
+    Template("agpl-3.0", "licensed under the GNU Affero General Public License", ("gnu affero general public license",)),
+    Template("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    Template("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial 4 0",)),
+    Template("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    Template("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike 4 0",)),
+    Template("cc-by-4.0", "licensed under CC BY 4.0", ("cc by 4 0",)),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
+    Template("cc0-1.0", "licensed under CC0 1.0 Universal", ("cc0 1 0",)),
+    Template(
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+        ("mozilla public license v 2 0",),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("use in source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+        ("distribute this software for any purpose", "notice appear in all copies"),
+    ),
+    Template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        ("permission is granted to anyone to use this software", "alter it and redistribute it freely"),
+    ),
+    Template("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ("boost software license version 1 0",)),
+    Template(
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        ("free and unencumbered software released into the public domain",),
+    ),
+)
 
 
 def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> frozenset[bytes]:
@@ -82,50 +161,90 @@ def idf(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...]
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocab}
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A template in the index: its words, its key phrases and their positions, the anchor word in the first, the rare words' positions."""
+
+    template: Template
+    words: list[bytes]
+    keys: list[tuple[int, list[bytes]]]
+    anchor: int
+    rare: list[int]
+
+
 class Index:
-    """Postings of the templates' anchors."""
+    """Postings of the templates' rare words and anchors."""
 
     def __init__(self, templates: tuple[Template, ...], weights: dict[bytes, float]):
-        self.templates = [(t, alnum_words(t.text.encode())) for t in templates]
-        #: word -> (template, offset of the phrase in it, phrase, the word's place in the phrase, a second place and word)
-        self.postings: dict[bytes, list[tuple]] = {}
-        for k, (t, words) in enumerate(self.templates):
-            for phrase in t.key:
-                p = alnum_words(phrase.encode())
-                at = next(i for i in range(len(words)) if words[i : i + len(p)] == p)
-                rare = sorted(range(len(p)), key=lambda i: (-weights.get(p[i], 0.0), i))[:ANCHORS]
-                self.postings.setdefault(p[rare[0]], []).append((k, at, p, rare[0], rare[-1]))
-        self.rare = frozenset(self.postings)
-
-    def scan(self, words: list[bytes]) -> dict[int, list[tuple[int, float]]]:
-        """template -> (first word of the key phrase, share of the template's words that stand in place)."""
-        found: dict[int, list[tuple[int, float]]] = {}
-        if self.rare.isdisjoint(words):
-            return found
-        n = len(words)
-        votes: dict[tuple[int, int], int] = {}
-        starts: dict[tuple[int, int], int] = {}
+        self.entries: list[Entry] = []
+        for t in templates:
+            words = alnum_words(t.text.encode())
+            rank = lambda i: (-weights.get(words[i], 0.0), i)  # noqa: B023, E731
+            phrases = [alnum_words(k.encode()) for k in t.key]
+            keys = [(next(i for i in range(len(words)) if words[i : i + len(p)] == p), p) for p in phrases]
+            at, p = keys[0]
+            self.entries.append(Entry(t, words, keys, min(range(at, at + len(p)), key=rank), sorted(range(len(words)), key=rank)[:RARE]))
+        #: word -> templates whose first key phrase it anchors, with its position
+        self.anchors: dict[bytes, list[tuple[int, int]]] = {}
+        for k, e in enumerate(self.entries):
+            self.anchors.setdefault(e.words[e.anchor], []).append((k, e.anchor))
+        self.posted = frozenset(self.anchors) | {e.words[j] for e in self.entries for j in e.rare}
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(template, first word of its first key phrase, score) for every place."""
+        places: dict[bytes, list[int]] = {}
+        if self.posted.isdisjoint(words):
+            return []
         for i, w in enumerate(words):
-            for k, at, p, a, b in self.postings.get(w, ()):
-                s = i - a
-                # relative positions meet: the second rare word stands where the template has it; then the whole phrase
-                if s < 0 or s + len(p) > n or words[s + b] != p[b] or words[s : s + len(p)] != p:
-                    continue
-                votes[k, s - at] = votes.get((k, s - at), 0) + 1
-                starts.setdefault((k, s - at), s)
-        for (k, d), v in votes.items():
-            t, tw = self.templates[k]
-            if v < len(t.key):
-                continue
-            fit = sum(0 <= d + j < n and words[d + j] == x for j, x in enumerate(tw))
-            found.setdefault(k, []).append((starts[k, d], fit / len(tw)))
-        return found
+            if w in self.posted:
+                places.setdefault(w, []).append(i)
+        found = []
+        for w in self.anchors.keys() & places.keys():
+            for k, position in self.anchors[w]:
+                for i in places[w]:
+                    score = self.fit(self.entries[k], words, places, i - position)
+                    if score is not None:
+                        found.append((k, i - position + self.entries[k].keys[0][0], score))
+        return sorted(found)
+
+    def fit(self, e: Entry, words: list[bytes], places: dict[bytes, list[int]], d: int) -> float | None:
+        """The score of a template that begins at word d, or None. It may begin before the text does if its head is missing."""
+        (at, phrase), *others = e.keys
+        s = d + at
+        if s < 0 or words[s : s + len(phrase)] != phrase:
+            return None
+        if e.template.base:
+            return 1.0
+        near = 0
+        for j in e.rare:
+            own = places.get(e.words[j], ())
+            k = bisect_left(own, d + j - BAND)
+            near += k < len(own) and own[k] <= d + j + BAND
+        if 2 * near < len(e.rare):
+            return None
+        for j, p in others:
+            if not any(words[x : x + len(p)] == p for x in range(max(0, d + j - BAND), d + j + BAND + 1)):
+                return None
+        score = in_order(e.words, words[max(0, d - BAND) : d + len(e.words) + BAND]) / len(e.words)
+        return score if score >= SHARE else None
+
+
+def in_order(template: list[bytes], words: list[bytes]) -> int:
+    """Length of the longest common subsequence, as the longest rising run of matched places."""
+    places: dict[bytes, list[int]] = {}
+    for i in range(len(words) - 1, -1, -1):
+        places.setdefault(words[i], []).append(i)
+    tops: list[int] = []
+    for w in template:
+        for i in places.get(w, ()):  # from the last place to the first, so that one word is used once
+            k = bisect_left(tops, i)
+            tops[k : k + 1] = [i]
+    return len(tops)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label:word)."""
-    weights = idf(docs, text_col, templates)
-    index = Index(templates, weights)
+    index = Index(templates, idf(docs, text_col, templates))
     schema = (
         f"doc_id {id_type(docs, id_col)},n_words long,n_base long,first_word long,last_word long,base_labels string,labels string,score double,places string"
     )
@@ -134,14 +253,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         for text in part.column("text").to_pylist():
             words = alnum_words(text)
-            found = index.scan(words)
-            base = sorted(s for k, at in found.items() if index.templates[k][0].base for s, _ in at)
-            labels = sorted({index.templates[k][0].label for k in found})
-            base_labels = sorted({index.templates[k][0].label for k in found if index.templates[k][0].base})
-            places = sorted({(s, index.templates[k][0].label) for k, at in found.items() for s, _ in at})
+            found = [(index.entries[k].template, s, x) for k, s, x in index.scan(words)]
+            base = [s for t, s, _ in found if t.base]
+            names = lambda some: ",".join(sorted({t.label for t, _, _ in some}))
             rows.append((
-                len(words), len(base), base[0] if base else None, base[-1] if base else None, ",".join(base_labels), ",".join(labels),
-                max((fit for at in found.values() for _, fit in at), default=0.0), " ".join(f"{x}:{s}" for s, x in places),
+                len(words), len(base), min(base, default=None), max(base, default=None), names(x for x in found if x[0].base), names(found),
+                max((x for _, _, x in found), default=0.0), " ".join(f"{x}:{s}" for s, x in sorted({(s, t.label) for t, s, _ in found})),
             ))
         return batch(schema, list(zip(*rows, strict=True)), part.column("doc_id"))
 

@@ -43,6 +43,46 @@ def licences(text):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def subsequence(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b, 1):
+            old, best[j] = best[j], old + 1 if x == y else max(best[j], best[j - 1])
+    return best[-1]
+
+
+def licence_labels(texts, templates, rare, band, share):
+    """Labels and score of each text, with every template tried at every word."""
+    each = [ALNUM.findall(low(t)) for t in texts]
+    df = Counter(w for words in each for w in set(words))
+    out = []
+    for words in each:
+        labels, score = set(), 0.0
+        for t in templates:
+            own = ALNUM.findall(low(t.text))
+            keys = [ALNUM.findall(k) for k in t.key]
+            at = [next(i for i in range(len(own)) if own[i : i + len(k)] == k) for k in keys]
+            few = sorted(range(len(own)), key=lambda j: (df[own[j]], j))[:rare]
+            for s in range(len(words)):
+                if words[s : s + len(keys[0])] != keys[0]:
+                    continue
+                d, fit = s - at[0], 1.0
+                around = lambda j: words[max(0, d + j - band) : max(0, d + j + band + 1)]  # noqa: B023, E731
+                if not t.base:
+                    if 2 * sum(own[j] in around(j) for j in few) < len(few):
+                        continue
+                    if not all(any(words[x : x + len(k)] == k for x in range(max(0, d + j - band), max(0, d + j + band + 1))) for j, k in zip(at, keys, strict=True)):
+                        continue
+                    fit = subsequence(own, words[max(0, d - band) : d + len(own) + band]) / len(own)
+                    if fit < share:
+                        continue
+                labels.add(t.label)
+                score = max(score, fit)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
 def decontaminate(texts, items, window=10):
     windows = {}
     for item, text in items:

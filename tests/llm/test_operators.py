@@ -82,6 +82,37 @@ def test_license_scan(docs, none):
     assert license_scan(none).count() == 0
 
 
+def test_license_labels_and_scores_against_plain_search(spark):
+    """Notices whole, cut, with words put in, left out and changed, among prose that holds their words."""
+    from barflow.llm import license_scan as ls
+
+    rng = random.Random(4)
+    prose = sorted({w for t in ls.TEMPLATES for w in brute.ALNUM.findall(brute.low(t.text))}) + [f"p{i}" for i in range(40)]
+
+    def spoiled(words):
+        out = []
+        for w in words:
+            x = rng.random()
+            out += [] if x < 0.04 else [w, rng.choice(prose)] if x < 0.08 else [rng.choice(prose)] if x < 0.11 else [w]
+        return out
+
+    texts = []
+    for k in range(240):
+        t = rng.choice(ls.TEMPLATES).text.split()
+        t = rng.choice([t, spoiled(t), t[: len(t) // 2], t[len(t) // 3 :], spoiled(t) + t])
+        texts.append(" ".join([*rng.choices(prose, k=rng.randint(0, 40)), *t, *rng.choices(prose, k=rng.randint(0, 40))]))
+    texts += [
+        "Licensed under the Apache Software License, Version 2.0", "Permission is hereby granted, free of any charge, to any person obtaining a copy", None, "",
+        "Redistribution and use in source and binary forms", "the mit license",
+    ]
+    out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    found = Counter()
+    for i, (labels, score) in enumerate(brute.licence_labels(texts, ls.TEMPLATES, ls.RARE, ls.BAND, ls.SHARE)):
+        assert (out[i]["labels"], round(out[i]["score"], 9)) == (labels, round(score, 9)), texts[i]
+        found.update(labels.split(","))
+    assert len(found) > 15 and out[240]["labels"] == "apache-2.0" and out[241]["labels"] == "mit" and out[244]["labels"] == ""
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     # an item without id marks words, but is not named
