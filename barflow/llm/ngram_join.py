@@ -12,9 +12,13 @@
    central node alone (PIVOTS rounds; the node whose shingles are shared most). Links found give components; then only pairs
    from different components, not compared before, are compared. No link between different components can be lost, and within
    a component no further link is needed. Every pair is compared at most once.
+5. A shingle's entries are dealt to salts by the node, as many as the shingle's frequency asks for; the comparison with a central
+   node meets them salt by salt, that of pairs in squares of two salts, so a shingle of a third of all documents spreads.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`. A document with fewer words than a shingle is one shingle; NULL, empty and blank
 texts have none and are linked with nothing. Ids are whole numbers; a row without id takes part, and gives its component no name.
+Repeated rows and equal texts are one node. Long texts are compared whole. Ties in frequency are broken by hash, ties between
+central nodes by node; neither changes a link.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ WORDS, NUM, DEN = 3, 90, 100
 PIVOTS = 2
 #: Text bytes that one shard of the frequency count stands for.
 PER_SHARD = 16 << 20
+#: Sets with one shingle that meet in one task, about: a shingle of more is dealt over as many salts as its frequency asks for.
+PER_SALT = 128
 #: Ranges of the hash order in the suffix filter.
 RANGES = 8
 #: Bits of a shingle's hash that the frequency count uses; a clash can only make a shingle look more frequent.
@@ -124,11 +130,11 @@ def _count(got: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         at += len(k)
 
 
-_NODES = "kind string, doc_id long, block long, at long, node binary, n long, shingle long, pos int, central int, ranges array<int>, shingles array<long>"
+_NODES = "kind string, doc_id long, block long, at long, node binary, n long, shingle long, pos int, salts int, central int, ranges array<int>, shingles array<long>"
 
 
 _ROW = pa.schema([
-    ("kind", pa.string()), ("doc_id", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()),
+    ("kind", pa.string()), ("doc_id", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("salts", pa.int32()),
     ("central", pa.int32()), ("ranges", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64())),
 ])
 
@@ -145,7 +151,7 @@ def _tell(words: int, num: int, den: int):
             "kind": pa.array(["member"] * m), "doc_id": docs.column("doc_id").cast(pa.int64()), "block": pa.array(np.full(m, block, np.int64)), "at": pa.array(np.arange(m)),
             "node": pa.array(nodes, pa.binary()), "n": pa.array(np.array([len(s) for s in sets], np.int64)),
         })
-        held, pos, central = [], [], []
+        held, pos, central, salts = [], [], [], []
         for i in rows:
             s = sets[i]
             own = df[np.searchsorted(keys, (s >> shift) << shift)]
@@ -155,6 +161,7 @@ def _tell(words: int, num: int, den: int):
             if len(p):
                 held.append((i, s[order[p]]))
                 pos.append(p.astype(np.int32))
+                salts.append((-(-own[order[p]] // PER_SALT)).astype(np.int32))
                 central.append(int(1000 * np.log2(own).mean()))
         if not held:
             return pa.concat_tables([members, _ROW.empty_table()], promote_options="default").select(_ROW.names)
@@ -166,7 +173,7 @@ def _tell(words: int, num: int, den: int):
         total = int(counts.sum())
         entries = pa.table({
             "kind": pa.array(["entry"]).take(pa.array(np.zeros(total, np.int64))), "node": node.take(of), "n": size.take(of), "shingle": pa.array(np.concatenate([x for _, x in held]).view(np.int64)),
-            "pos": pa.array(np.concatenate(pos)), "central": pa.array(np.repeat(np.array(central, np.int32), counts)),
+            "pos": pa.array(np.concatenate(pos)), "salts": pa.array(np.concatenate(salts)), "central": pa.array(np.repeat(np.array(central, np.int32), counts)),
             "ranges": pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * RANGES), pa.array(np.repeat(spread, counts, axis=0).ravel())),
         })
         ends = np.concatenate(([0], np.cumsum([len(sets[i]) for i, _ in held]))).astype(np.int32)
@@ -196,11 +203,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", (both * den >= union * num).alias("linked"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A row for each salt of a shingle, to meet that shingle's entries by (shingle, salt). rows: shingle, salts and more."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
 def _linked(rows: DataFrame, num: int, den: int, pivots: int) -> DataFrame | None:
-    """node, root for all nodes with a link to another node."""
-    raw = rows.where("kind = 'entry'").select("shingle", "node", "n", "pos", "central", "ranges").dropDuplicates(["shingle", "node"])
-    often = raw.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-    entries = written(raw.join(often, "shingle"), "entries")
+    """node, root for all nodes with a link to another node.
+
+    Aggregates by shingle are added up before they are dealt, and what they give meets the entries by (shingle, salt), so no
+    task holds all sets with one shingle.
+    """
+    raw = rows.where("kind = 'entry'").select("shingle", "node", "n", "pos", "central", "ranges", "salts").dropDuplicates(["shingle", "node"])
+    raw = raw.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    often = raw.groupBy("shingle").agg(F.count("*").alias("c"), F.max("salts").alias("salts")).where("c > 1").select("shingle", "salts")
+    entries = written(raw.join(_dealt(often), ["shingle", "salt"]), "entries")
     if entries.isEmpty():
         return None
     sets = written(rows.where("kind = 'set'").select("node", "shingles").dropDuplicates(["node"]).join(entries.select("node").distinct(), "node"), "sets")
@@ -208,9 +225,10 @@ def _linked(rows: DataFrame, num: int, den: int, pivots: int) -> DataFrame | Non
     current = entries.withColumn("root", F.col("node"))
     for _ in range(pivots):
         top = current.groupBy("shingle").agg(
-            F.max_by(F.struct("node", "n", "pos", "ranges", "root"), F.struct("central", "node")).alias("y"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        ).where("r0 <> r1").select("shingle", "y")
-        near = current.alias("x").join(top, "shingle").where((F.col("x.root") != F.col("y.root")) & _possible(num, den))
+            F.max_by(F.struct("node", "n", "pos", "ranges", "root"), F.struct("central", "node")).alias("y"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("salts").alias("salts")
+        ).where("r0 <> r1").select("shingle", "salts", "y")
+        top = written(top, "pivots")
+        near = current.alias("x").join(_dealt(top), ["shingle", "salt"]).where((F.col("x.root") != F.col("y.root")) & _possible(num, den))
         pairs = near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -222,13 +240,21 @@ def _linked(rows: DataFrame, num: int, den: int, pivots: int) -> DataFrame | Non
         used = top.select("shingle", F.col("y.node").alias("node"))
         current = current.join(used.withColumn("used", F.lit(1)), ["shingle", "node"], "left").withColumn("central", F.when(F.col("used").isNull(), F.col("central")).otherwise(-1)).drop("used")
         current = written(current, "labelled")
-    mixed = current.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle")
+    mixed = current.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("salts").alias("salts")).where("r0 <> r1").select("shingle", "salts")
     # sizes within the threshold lie in the same or in the next class of lengths
     step = float(np.log(den / num))
-    rest = current.join(mixed, "shingle").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9))
-    other = rest.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    far = rest.alias("x").join(other.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(num, den))
-    pairs = far.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rest = written(
+        current.join(_dealt(mixed), ["shingle", "salt"]).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9))
+        .select("shingle", "size", "salt", "salts", "node", "root", "n", "pos", "ranges"), "rest"
+    )
+    # salts meet in squares (p, q) with p <= q: the first partner has salt p, the second salt q
+    one = rest.withColumn("p", F.col("salt")).withColumn("q", F.explode(F.sequence("salt", F.col("salts") - 1)))
+    two = rest.withColumn("q", F.col("salt")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("salt"))))
+    two = two.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    square = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "size", "p", "q")]
+    once = (F.col("x.p") < F.col("x.q")) | (F.col("x.node") < F.col("y.node"))
+    far = one.alias("x").join(two.alias("y"), square).where(once & (F.col("x.root") != F.col("y.root")) & _possible(num, den))
+    pairs = far.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     new = written(_verified(pairs, sets, num, den), "tested")
     return components(tested.unionByName(new).where("linked").select("a", "b"))
 

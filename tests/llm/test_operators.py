@@ -184,7 +184,7 @@ def test_ngram_join(docs, none):
     assert ngram_join(none).count() == 0
 
 
-def test_ngram_join_on_crowds_of_near_copies(spark):
+def test_ngram_join_on_crowds_of_near_copies(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"t{i}" for i in range(120)]
     texts = []
@@ -196,7 +196,10 @@ def test_ngram_join_on_crowds_of_near_copies(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = [(i, *c) for (i, _), c in zip(rows, brute.components(list(range(90)), texts), strict=True)]
-    for pivots in (1, 2):
+    import barflow.llm.ngram_join as nj
+
+    for pivots, per_salt in ((1, 128), (2, 5)):  # also with shingles over many salts
+        monkeypatch.setattr(nj, "PER_SALT", per_salt)
         same(ngram_join(df, pivots=pivots), want, "doc_id", "n_shingles", "component_id")
     loose = brute.components(list(range(90)), texts, 5, 80, 100)
     kept = one_of_each(df, words=5, num=80, den=100)
