@@ -6,9 +6,12 @@ A linear hinge-loss model is fitted to them by dual coordinate descent. Its marg
 logistic curve fitted to margins of two halves, each from the model of the other half.
 
 Labels are used from rows whose crc32 of the id (as text) modulo `folds` is not 0. The model is fitted on at most SAMPLE of
-them, those of the least hash of the id; every document is scored on its whole text. Language, source, id and labels are never
+them, those of the least hash of the id, and on no more of these, in that order, than have SAMPLE_BYTES of indicators together (a
+single one beyond it is left to itself); every document is scored on its whole text. Language, source, id and labels are never
 inputs. NULL and empty texts have no n-gram; their score is that of the bias alone. Without labels of both classes the score is
-the share of label 1, or 0.5 without labels.
+the share of label 1, or 0.5 without labels. Labels other than 0 and 1, and labels without id, are left out. An id with labels 0
+and 1 counts as 0; an id with several texts is one training row, that of the least indicators. Repeated rows are scored each on
+its own, with equal scores; a long text is scored whole.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import batch, crc_mod, crc_mod_col, id_type, mapped, narrowed, space_words
+from barflow.llm.common import batch, crc_mod, crc_mod_col, id_type, mapped, narrowed, space_words, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 6000
+#: Bytes of their indicators (4 for each) that go to the driver, at most.
+SAMPLE_BYTES = 64 << 20
 #: One labelled row in so many is held out.
 FOLDS = 5
 #: Score from which a document is predicted good.
@@ -172,7 +177,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(ratio, w, bias, a, b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, sample: int, most: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
     """Indicators and labels of at most `sample` labelled rows outside the held-out fold, in the order of the id's hash."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     own = own.where(crc_mod_col("doc_id", folds) != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -187,8 +192,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     schema = f"doc_id {id_type(docs, id_col)},label int,x binary"
     found = mapped(text.select("doc_id", "label", "text"), kernel, schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
-    got = sorted(found.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), str(r["doc_id"])))
-    return [np.frombuffer(r["x"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], np.int64)
+    found = written(found, "training")
+    sizes = found.select("doc_id", F.octet_length("x").alias("n")).collect()  # at most `sample` rows
+    ids, total = [], 0
+    for r in sorted(sizes, key=_rank):
+        total += r["n"]
+        if ids and total > most:
+            break
+        ids.append((r["doc_id"],))
+    if not ids:
+        return [], np.zeros(0, np.int64)
+    own = docs.sparkSession.createDataFrame(ids, found.select("doc_id").schema)
+    got = sorted(found.join(F.broadcast(own), "doc_id").collect(), key=_rank)  # `most` bytes at most, or one row
+    return [np.frombuffer(r["x"], "<i4") for r in got], np.array([r["label"] for r in got], np.int64)
+
+
+def _rank(row) -> tuple[int, str]:
+    return xxhash.xxh64_intdigest(str(row["doc_id"])), str(row["doc_id"])
 
 
 def quality_classifier(

@@ -409,3 +409,82 @@ def test_quality_classifier_without_usable_labels(spark, docs, none):
     one = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     assert quality_classifier(docs, one).where("predicted = 1").count() == len(ROWS)
     assert quality_classifier(none, one).count() == 0
+
+
+def shape(word):
+    kind = lambda ch: "A" if "A" <= ch <= "Z" or "À" <= ch <= "Þ" and ch != "×" else "a" if "a" <= ch <= "z" or "ß" <= ch <= "ÿ" and ch != "÷" else "0" if "0" <= ch <= "9" else ch
+    out = ""
+    for ch in map(kind, word):
+        if not (out and ch == out[-1] and ch in "Aa0"):
+            out += ch
+    return out
+
+
+def test_indicators_against_a_loop():
+    """Two words share an indicator exactly where they agree on a word, a pair of words, or up to three shapes and repeats."""
+    from barflow.llm.quality_classifier import indicators
+
+    texts = ["The cat sat on the mat", "the the Cat", "", "12 dogs 345 Dogs!", "ÀÉ été x×y", "a", "The cat"]
+    doc, x = indicators([t.encode() for t in texts])
+    want = []
+    for t in texts:
+        w = t.split()
+        s = [(shape(a), k > 0 and w[k - 1] == a) for k, a in enumerate(w)]
+        want.append({("w", a) for a in w} | {("ww", *p) for p in zip(w, w[1:], strict=False)} | {("s", *s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)})
+    own = [set(x[doc == k].tolist()) for k in range(len(texts))]
+    assert [len(o) for o in own] == [len(g) for g in want]  # no two of these few share one of 2 ** 18 places
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(own[i] & own[j]) == len(want[i] & want[j])
+
+
+def test_log_count_ratios_against_counting():
+    from barflow.llm.quality_classifier import ALPHA, BITS, _ratio
+
+    rows, y = [np.array([1, 5, 9]), np.array([5, 7]), np.array([1, 9]), np.array([], np.int64)], np.array([1, -1, 1, -1])
+    counts = {c: Counter(int(v) for r, s in zip(rows, y, strict=True) if s == c for v in r) for c in (1, -1)}
+    total = {c: sum(counts[c].values()) + ALPHA * 2**BITS for c in (1, -1)}
+    ratio = _ratio(rows, y)
+    for v in (0, 1, 5, 7, 9):
+        assert math.isclose(ratio[v], math.log(((counts[1][v] + ALPHA) / total[1]) / ((counts[-1][v] + ALPHA) / total[-1])))
+
+
+def test_descent_reaches_the_minimum_of_the_hinge_loss():
+    """Against slow projected gradient steps on the same dual."""
+    from barflow.llm.quality_classifier import descend
+
+    rng = np.random.default_rng(1)
+    ratio = rng.normal(size=12)
+    rows = [np.flatnonzero(rng.random(12) < 0.5) for _ in range(25)]
+    y = np.where(rng.random(25) < 0.5, 1, -1)
+    w, bias = descend(rows, y, ratio, cost=1.0, passes=400)
+    x = np.zeros((25, 13))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-12)
+    x[:, 12] = 1
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    dual = np.zeros(25)
+    for _ in range(200_000):
+        dual = np.clip(dual - 0.02 * (q @ dual - 1), 0, 1)
+    plain = (dual * y) @ x
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    assert math.isclose(loss(np.append(w, bias)), loss(plain), rel_tol=1e-5)
+    assert np.allclose(np.append(w, bias), plain, atol=1e-2)
+
+
+def test_training_rows_are_bounded_and_defined(spark):
+    """Conflicting labels count as 0, an id with several texts is one row, and bytes are bounded in the order of the id's hash."""
+    from barflow.llm.quality_classifier import _rank, indicators, training_rows
+
+    docs = spark.createDataFrame([(i, f"some text {i} of words") for i in range(40)] + [(3, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (4, 1), (5, 7), (None, 1)], "doc_id long, quality int")
+    args = (docs, labels, "doc_id", "text", "quality", 5)
+    used = sorted((i for i in range(40) if zlib.crc32(str(i).encode()) % 5), key=lambda i: _rank({"doc_id": i}))
+    rows, y = training_rows(*args, 100)
+    assert y.tolist() == [0 if i == 3 else i % 2 for i in used]
+    sizes = [len(r) * 4 for r in rows]
+    some, _ = training_rows(*args, 100, sum(sizes[:7]))
+    assert [r.tolist() for r in some] == [r.tolist() for r in rows[:7]]
+    assert len(training_rows(*args, 100, 1)[0]) == 1
+    k = next(i for i in used if i != 3)
+    assert rows[used.index(k)].tolist() == indicators([f"some text {k} of words".encode()])[1].tolist()
