@@ -24,6 +24,8 @@ from barflow.llm.common import shared_dir, trim
 BLOCK_BYTES = 4 << 20
 #: What a row costs beside its columns.
 ROW_BYTES = 64
+#: Compression of a block, which is written once and sent to its answers.
+LEVEL = 5
 #: Block bytes that one task works on.
 TASK_BYTES = 16 << 20
 
@@ -31,7 +33,7 @@ TASK_BYTES = 16 << 20
 def _packed(parts: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(parts).combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
