@@ -252,6 +252,16 @@ _PANEL_DMI = f"""mv AS (
   FROM dm d JOIN atr USING (symbol, bar) JOIN sp USING (symbol, bar) JOIN sm USING (symbol, bar)), {DX}, {ewm("ax", "dx", "dx", 1 / 14, "bar")}, pd AS (
   SELECT d.symbol, d.bar, d.plus_di, d.minus_di, a.y FROM dx d JOIN ax a USING (symbol, bar))"""
 
+def cross(w: int, k: float) -> str:
+    """RSI of w bars through 30 and 70, outside bands of k deviations."""
+    return f"""WITH RECURSIVE {PANEL}, {OWN}, c AS (SELECT symbol, bar, k, close - lag(close) OVER v AS dc FROM own WINDOW v AS (PARTITION BY symbol ORDER BY k)),
+      d AS (SELECT symbol, bar, k, greatest(dc, 0) + 0 * dc AS up, greatest(-dc, 0) + 0 * dc AS dn FROM c), {ewm('g', 'd', 'up', 1 / w)}, {ewm('l', 'd', 'dn', 1 / w)},
+      rs AS (SELECT d.symbol, d.bar, coalesce(100 - 100 / (1 + g.y / nullif(l.y, 0)), 50) AS rsi FROM d JOIN g USING (symbol, k) JOIN l USING (symbol, k)),
+      x AS (SELECT q.symbol, q.bar, q.close, rs.rsi, {mean('close', 20)} AS mid, {dev('close', 20)} AS dev FROM grid q LEFT JOIN rs USING (symbol, bar)), y AS (SELECT *, lag(rsi) OVER (PARTITION BY symbol ORDER BY bar) AS before FROM x),
+      z AS (SELECT symbol, bar, CASE WHEN before <= 30 AND rsi > 30 AND close < mid - {k} * dev THEN 'buy' WHEN before >= 70 AND rsi < 70 AND close > mid + {k} * dev THEN 'sell' END AS side FROM y)
+      SELECT symbol, bar, side FROM z WHERE side IS NOT NULL"""
+
+
 ORACLE: dict[str, str] = {
     "panel_hourly_bars": f"WITH {BARS} SELECT symbol, ts, {rnd('open')}, {rnd('high')}, {rnd('low')}, {rnd('close')}, volume FROM bars",
     "panel_daily_complete": f"""WITH b AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) AS close FROM orders GROUP BY ALL)
@@ -283,12 +293,8 @@ ORACLE: dict[str, str] = {
     "dmi_intraday": f"""WITH RECURSIVE {PANEL}, {DMI_OWN}, {DMI_SUMS}, {DI}
       SELECT symbol, bar, {rnd('CASE WHEN k >= 14 THEN coalesce(plus_di, 0) END', 'plus_di')}, {rnd('CASE WHEN k >= 14 THEN coalesce(minus_di, 0) END', 'minus_di')} FROM di""",
     "topn_rank": f"WITH {rotation()}, q AS (SELECT bar, symbol, row_number() OVER (PARTITION BY bar ORDER BY roc DESC, symbol) AS rank, roc FROM sig WHERE ok AND roc IS NOT NULL) SELECT bar, symbol, rank, {rnd('roc')} FROM q WHERE rank <= 2",
-    "bollinger_rsi_cross": f"""WITH RECURSIVE {PANEL}, {OWN}, c AS (SELECT symbol, bar, k, close - lag(close) OVER v AS dc FROM own WINDOW v AS (PARTITION BY symbol ORDER BY k)),
-      d AS (SELECT symbol, bar, k, greatest(dc, 0) + 0 * dc AS up, greatest(-dc, 0) + 0 * dc AS dn FROM c), {ewm('g', 'd', 'up', 1 / 14)}, {ewm('l', 'd', 'dn', 1 / 14)},
-      rs AS (SELECT d.symbol, d.bar, coalesce(100 - 100 / (1 + g.y / nullif(l.y, 0)), 50) AS rsi FROM d JOIN g USING (symbol, k) JOIN l USING (symbol, k)),
-      x AS (SELECT q.symbol, q.bar, q.close, rs.rsi, {mean('close', 20)} AS mid FROM grid q LEFT JOIN rs USING (symbol, bar)), y AS (SELECT *, lag(rsi) OVER (PARTITION BY symbol ORDER BY bar) AS before FROM x),
-      z AS (SELECT symbol, bar, CASE WHEN before <= 30 AND rsi > 30 AND close < mid THEN 'buy' WHEN before >= 70 AND rsi < 70 AND close > mid THEN 'sell' END AS side FROM y)
-      SELECT symbol, bar, side FROM z WHERE side IS NOT NULL""",
+    "bollinger_rsi_cross": cross(14, 2.0),
+    "bollinger_rsi_cross_fast": cross(3, 1.0),
     "hedge_ratio": f"WITH {spreads(0)} SELECT a, b, count(*) AS n, {rnd('any_value(alpha)', 'alpha')}, {rnd('any_value(beta)', 'beta')} FROM spr GROUP BY a, b",
     "adf_screen": f"WITH {spreads()}, {df('spr', 'a, b', 'spread')} SELECT a, b, n, {rnd('gamma')}, {rnd('tau')} FROM adf",
     "ou_half_life": f"WITH {spreads()}, {df('spr', 'a, b', 'spread')} SELECT a, b, {rnd('hl', 'half_life')} FROM adf",
@@ -325,9 +331,10 @@ ORACLE: dict[str, str] = {
       spr AS (SELECT w.key, w.i, w.sess, w.la - f.beta * w.lb - f.alpha AS spread FROM win w JOIN ft f USING (key)), {df('spr', 'key', 'spread')}, {hurst('spr', ['key'], 'spread')}
       SELECT f.a, f.b, f.refit, f.c AS n, {rnd('f.beta', 'beta')}, {rnd('tau', 'adf_stat')}, {rnd('h')}, CAST(coalesce(least(greatest(round_even(3 * hl, 0), 10), 500), 500) AS BIGINT) AS zw,
         coalesce(tau < -2.86 AND h < 0.5 AND hl IS NOT NULL, FALSE) AS qualified FROM adf JOIN hu USING (key) JOIN ft f USING (key)""",
-    "beta_stability": f"""WITH {pairs()}, rf AS (SELECT DISTINCT a, b, sess AS refit FROM prs WHERE sess >= 5 AND (sess - 5) % 5 = 0),
-      ft AS (SELECT p.a, p.b, r.refit, regr_slope(la, lb) AS beta FROM rf r JOIN prs p ON p.a = r.a AND p.b = r.b AND p.sess >= r.refit - 5 AND p.sess < r.refit GROUP BY p.a, p.b, r.refit HAVING count(*) >= 50)
-      SELECT a, b, {rnd('min(beta)', 'lo')}, {rnd('max(beta)', 'hi')}, {rnd('stddev_pop(beta)', 'dev')}, max(beta) - min(beta) > 0.5 OR sign(min(beta)) <> sign(max(beta)) AS unstable FROM ft GROUP BY a, b""",
+    "beta_stability": f"""WITH {pairs()}, rf AS (SELECT DISTINCT a, b, sess AS refit FROM prs WHERE sess >= 5),
+      ft AS (SELECT p.a, p.b, r.refit, regr_slope(la, lb) AS beta FROM rf r JOIN prs p ON p.a = r.a AND p.b = r.b AND p.sess >= r.refit - 5 AND p.sess < r.refit GROUP BY p.a, p.b, r.refit HAVING count(*) >= 50),
+      se AS (SELECT DISTINCT a, b, sess FROM prs), bs AS (SELECT s.a, s.b, s.sess, f.beta FROM se s ASOF JOIN ft f ON s.a = f.a AND s.b = f.b AND s.sess >= f.refit)
+      SELECT a, b, {rnd('min(beta)', 'lo')}, {rnd('max(beta)', 'hi')}, {rnd('stddev_samp(beta)', 'dev')}, max(beta) - min(beta) > 0.5 OR sign(min(beta)) <> sign(max(beta)) AS unstable FROM bs GROUP BY a, b""",
     "state_machine_spread": f"{SPREAD_FOLD} SELECT a, b, i, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
     "state_machine_intraday": f"WITH RECURSIVE {SESSION_Z}, {INTRADAY_FOLD} SELECT a, b, i, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
     "state_machine_vol": f"WITH RECURSIVE {PANEL}, {DMI_OWN}, {DMI_SUMS}, {DI}, {RV}, {RVZ}, {VOL_SIDE}, {VOL_FOLD} SELECT symbol, bar, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
@@ -390,10 +397,10 @@ WALK = f"""{pairs()}, rf AS (SELECT DISTINCT a, b, sess AS refit FROM prs WHERE
   spr AS (SELECT w.key, w.i, w.sess, w.la - f.beta * w.lb - f.alpha AS spread FROM win w JOIN ft f USING (key)), {df('spr', 'key', 'spread')}, {hurst('spr', ['key'], 'spread')}, fits AS (
   SELECT f.a, f.b, f.refit, f.alpha, f.beta, CAST(coalesce(least(greatest(round_even(3 * hl, 0), 10), 500), 500) AS BIGINT) AS zw, coalesce(tau < -2.86 AND h < 0.5 AND hl IS NOT NULL, FALSE) AS qualified
   FROM adf JOIN hu USING (key) JOIN ft f USING (key)), hd AS (
-  SELECT p.a, p.b, p.ts, p.la, p.lb, p.sess, f.alpha, f.beta, f.zw, f.qualified AS ok, row_number() OVER (PARTITION BY p.a, p.b ORDER BY p.i) - 1 AS i
+  SELECT p.a, p.b, p.ts, p.la, p.lb, p.sess, f.alpha, f.beta, f.zw, f.qualified AS ok, p.i AS at, row_number() OVER (PARTITION BY p.a, p.b ORDER BY p.i) - 1 AS i
   FROM prs p ASOF JOIN fits f ON p.a = f.a AND p.b = f.b AND p.sess >= f.refit), wz AS (
   SELECT p.a, p.b, p.i, count(q.i) AS n, avg(q.la - p.beta * q.lb - p.alpha) AS m, stddev_pop(q.la - p.beta * q.lb - p.alpha) AS d
-  FROM hd p LEFT JOIN hd q ON q.a = p.a AND q.b = p.b AND q.i < p.i AND q.i >= p.i - p.zw GROUP BY p.a, p.b, p.i), zs AS (
+  FROM hd p LEFT JOIN prs q ON q.a = p.a AND q.b = p.b AND q.i < p.at AND q.i >= p.at - p.zw GROUP BY p.a, p.b, p.i), zs AS (
   SELECT p.*, p.la - p.beta * p.lb - p.alpha AS spread, p.la AS pa, p.lb AS pb, CASE WHEN w.n >= 10 AND w.d > 1e-9 THEN (p.la - p.beta * p.lb - p.alpha - w.m) / w.d ELSE 0.0 END AS z
   FROM hd p JOIN wz w USING (a, b, i)), {FOLD}, {BOOK}"""
 ORACLE |= {

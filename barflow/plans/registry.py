@@ -123,36 +123,36 @@ def trend_filter(spark, d):
 
 @query
 def ema(spark, d):
-    return ind.along(bars(spark, d), lambda p: ind.ema_frame(p, 12), ["ema"]).select("symbol", n("bar"), r("ema"))
+    return ind.ema(bars(spark, d), 12).select("symbol", n("bar"), r("ema"))
 
 
 @query
 def macd(spark, d):
-    return ind.along(bars(spark, d), lambda p: ind.macd_frame(p, 12, 26, 9), ["macd", "signal", "hist"]).select("symbol", n("bar"), r("macd"), r("signal"), r("hist"))
+    return ind.macd(bars(spark, d), 12, 26, 9).select("symbol", n("bar"), r("macd"), r("signal"), r("hist"))
 
 
 @query
 def rsi(spark, d):
-    return ind.along(bars(spark, d), lambda p: ind.rsi_frame(p, 14), ["rsi"]).select("symbol", n("bar"), r("rsi"))
+    return ind.rsi(bars(spark, d), 14).select("symbol", n("bar"), r("rsi"))
 
 
-def _dmi(spark, d, style, names, dense):
-    return ind.along(bars(spark, d), lambda p: ind.dmi_frame(p, 14, style), names, dense).select("symbol", n("bar"), *(r(c) for c in names))
+def _dmi(spark, d, style, names):
+    return ind.dmi(bars(spark, d), 14, style).select("symbol", n("bar"), *(r(c) for c in names))
 
 
 @query
 def dmi_dashboard(spark, d):
-    return _dmi(spark, d, "chart", ["plus_di", "minus_di", "adx"], False)
+    return _dmi(spark, d, "chart", ["plus_di", "minus_di", "adx"])
 
 
 @query
 def dmi_panel(spark, d):
-    return _dmi(spark, d, "panel", ["plus_di", "minus_di", "adx"], True)
+    return _dmi(spark, d, "panel", ["plus_di", "minus_di", "adx"])
 
 
 @query
 def dmi_intraday(spark, d):
-    return _dmi(spark, d, "warm", ["plus_di", "minus_di"], False)
+    return _dmi(spark, d, "warm", ["plus_di", "minus_di"])
 
 
 @query
@@ -165,10 +165,13 @@ def topn_rank(spark, d):
 @query
 def bollinger_rsi_cross(spark, d):
     """Crossing signals: RSI up through 30 under the lower band buys, down through 70 over the upper band sells."""
-    b = bars(spark, d)
-    x = b.join(ind.along(b, lambda p: ind.rsi_frame(p, 14), ["rsi"]), ["symbol", "bar"]).select("*", *ind.bollinger("close", 20, 2.0), panel.shifted("rsi", 1).alias("before"))
-    side = F.when((F.col("before") <= 30) & (F.col("rsi") > 30) & (F.col("close") < F.col("mid")), "buy").when((F.col("before") >= 70) & (F.col("rsi") < 70) & (F.col("close") > F.col("mid")), "sell")
-    return x.withColumn("side", side).where("side IS NOT NULL").select("symbol", n("bar"), "side")
+    return ind.band_cross(bars(spark, d)).select("symbol", n("bar"), "side")
+
+
+@query
+def bollinger_rsi_cross_fast(spark, d):
+    """The same with an RSI of 3 bars and bands of one deviation, which such noisy bars do cross."""
+    return ind.band_cross(bars(spark, d), w=3, k=1.0).select("symbol", n("bar"), "side")
 
 
 # --- statistics ------------------------------------------------------------------------------------------------------------
@@ -314,7 +317,7 @@ def _vol_rows(spark, d):
     b = bars(spark, d)
     x = ind.realized_vol(b, 12)
     x = pairs.session_z(x, "rv", ["symbol"], 60, 10, 20.0, "bar").withColumn("z", F.when(F.col("rv").isNull(), 0.0).otherwise(F.col("z")))
-    di = ind.along(b, lambda p: ind.dmi_frame(p, 14, "warm"), ["plus_di", "minus_di"])
+    di = ind.dmi(b, 14, "warm")
     x = x.join(di, ["symbol", "bar"])
     back = F.ln("close") - F.ln(panel.shifted("close", 6))
     side = F.when(F.col("plus_di").isNotNull() & ~F.isnan("plus_di"), F.when(F.col("minus_di") > F.col("plus_di"), 1.0).when(F.col("plus_di") > F.col("minus_di"), -1.0).otherwise(0.0)).otherwise(
@@ -384,9 +387,11 @@ def exit_reason_counts(spark, d):
 
 @query
 def beta_stability(spark, d):
-    """The hedge ratio of each refit: range, deviation, and whether it is unstable."""
-    fit = pairs.walk_forward(joint(spark, d), lookback=5, every=5, start=5)
-    return fit.groupBy(*PAIR).agg(F.min("beta").alias("lo"), F.max("beta").alias("hi"), F.stddev_pop("beta").alias("dev")).select(
+    """The hedge ratio in force at the start of each session, refitted every session: range, sample deviation, and whether it is unstable."""
+    rows = joint(spark, d)
+    held = pairs.held(rows, pairs.walk_forward(rows, lookback=5, every=1, start=5)).where("beta IS NOT NULL")
+    fit = held.groupBy(*PAIR, "sess").agg(F.min_by("beta", "i").alias("beta"))
+    return fit.groupBy(*PAIR).agg(F.min("beta").alias("lo"), F.max("beta").alias("hi"), F.stddev_samp("beta").alias("dev")).select(
         *PAIR, r("lo"), r("hi"), r("dev"), ((F.col("hi") - F.col("lo") > 0.5) | (F.signum("lo") != F.signum("hi"))).alias("unstable")
     )
 
@@ -504,7 +509,7 @@ def breakeven_cost(spark, d):
 
 
 def _features(rows, signal):
-    di = ind.along(rows, lambda p: ind.dmi_frame(p, 14, "panel"), ["plus_di", "minus_di", "adx"], True)
+    di = ind.dmi(rows, 14, "panel")
     vol = ind.realized_vol(rows, 12).select("symbol", "bar", F.col("rv").alias("vol"))
     out = signal.join(vol, ["symbol", "bar"]).join(di, ["symbol", "bar"])
     clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("plus_di", "minus_di", "adx")]
@@ -781,9 +786,10 @@ def _walked(spark, d):
     """Refits, the z of each bar under the fit in force, positions, scale and profit."""
     s = joint(spark, d).withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
     fits = pairs.walk_forward(joint(spark, d), lookback=5, every=5, start=5)
-    rows = pairs.held(s, fits).where("beta IS NOT NULL")
+    # windows reach back over the whole history; rows before the first refit are left out afterwards
+    rows = pairs.variable_z(pairs.held(s, fits)).where("beta IS NOT NULL")
     rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy(*PAIR).orderBy("i")) - 1).cast("long"))
-    rows = pairs.variable_z(rows).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha")).persist()
+    rows = rows.withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha")).persist()
     f = machine.positions(rows, PAIR, machine.Rule()).persist()
     sized = machine.vol_scale(machine.spread_vol(rows, "spread", PAIR), "sigma", PAIR)
     return machine.profit(sized.join(f, [*PAIR, "i"]), PAIR), f

@@ -72,15 +72,32 @@ def test_indicators_equal_pandas(spark):
     at, x = hourly_index(20), np.exp(walk(180, 0.01, 5)) * 100
     rows = panel.indexed(long(spark, at, A=x)).withColumn("high", F.col("close") * 1.01).withColumn("low", F.col("close") * 0.99)
     s = pd.Series(x)
-    got = indicators.along(rows, lambda p: indicators.macd_frame(p, 12, 26, 9), ["macd", "signal", "hist"]).orderBy("bar").toPandas()
+    got = indicators.macd(rows, 12, 26, 9).orderBy("bar").toPandas()
     line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
     assert np.allclose(got["macd"], line) and np.allclose(got["hist"], line - line.ewm(span=9, adjust=False).mean())
-    rsi = indicators.along(rows, lambda p: indicators.rsi_frame(p, 14), ["rsi"]).orderBy("bar").toPandas()["rsi"]
+    rsi = indicators.rsi(rows, 14).orderBy("bar").toPandas()["rsi"]
     assert rsi.between(0, 100).all() and rsi[0] == 50
-    dmi = indicators.along(rows, lambda p: indicators.dmi_frame(p, 14, "warm"), ["plus_di", "minus_di"]).orderBy("bar").toPandas()
+    dmi = indicators.dmi(rows, 14, "warm").orderBy("bar").toPandas()
     assert dmi["plus_di"][:14].isna().all() and (dmi["plus_di"][14:] >= 0).all()
     rising = panel.indexed(long(spark, at, A=np.arange(180) + 1.0))
-    assert set(indicators.along(rising, lambda p: indicators.rsi_frame(p, 14), ["rsi"]).toPandas()["rsi"]) == {50.0}
+    assert set(indicators.rsi(rising, 14).toPandas()["rsi"]) == {50.0}
+
+
+def test_recurrence_keeps_the_past_over_gaps():
+    rng = np.random.default_rng(3)
+    for alpha in (1 / 14, 0.2, 1.0):
+        x = rng.normal(size=200)
+        x[rng.random(200) < 0.3] = np.nan
+        assert np.allclose(indicators.recurrence(x, alpha), pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), equal_nan=True)
+    assert np.isnan(indicators.recurrence(np.full(3, np.nan), 0.5)).all() and not len(indicators.recurrence(np.zeros(0), 0.5))
+
+
+def test_band_cross_by_hand(spark):
+    """A fall that ends in a bar up, still far under the band: a buy; its mirror image: a sell; nothing without the cross."""
+    at = hourly_index(10)
+    x = np.r_[100 + np.tile([0.1, -0.1], 30), 100 - 3.0 * np.arange(1, 6), 100 - 12.0, np.full(24, 88.0)]
+    out = indicators.band_cross(panel.indexed(long(spark, at, A=x, B=200 - x)), w=3, k=1.0)
+    assert {(r["symbol"], r["bar"], r["side"]) for r in out.collect()} == {("A", 65, "buy"), ("B", 65, "sell")}
 
 
 def test_screen_finds_the_pair(spark, coint):
