@@ -67,6 +67,51 @@ def by_symbol(trades: DataFrame) -> DataFrame:
     )
 
 
+def summary(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Trades, share with profit, mean hold, best and worst profit; one row without keys."""
+    return trades.groupBy(*(keys or [])).agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("hold_bars").alias("avg_hold"),
+        F.max("pnl").alias("best"), F.min("pnl").alias("worst"),
+    )
+
+
+def by_ticker(legs: DataFrame) -> DataFrame:
+    """Legs, buys and sells, mean amount, mean move (signed by the side) and money won of each symbol. legs: symbol, side, amount, move_pct."""
+    side = lambda s: F.sum(F.when(F.col("side") == s, 1).otherwise(0))
+    return legs.groupBy("symbol").agg(
+        F.count("*").alias("legs"), side("buy").alias("longs"), side("sell").alias("shorts"), F.avg("amount").alias("mean_amount"), F.avg("move_pct").alias("mean_move"),
+        F.sum(F.col("amount") * F.col("move_pct") / 100).alias("won"),
+    )
+
+
+def numbered(trades: DataFrame, ties: list[str], at: str = "entry_ts") -> DataFrame:
+    """Adds number: 1, 2, 3 … in the order of entry, over all keys.
+
+    Trades are numbered within the day of their entry; only the list of days is ordered as a whole.
+    """
+    days = trades.withColumn("day", F.to_date(at))
+    size = days.groupBy("day").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("day").orderBy(at, *ties))
+    return days.withColumn("within", within).join(size.select("day", before.alias("before")), "day").withColumn("number", F.col("before") + F.col("within")).drop("day", "within", "before")
+
+
+def activity(rows: DataFrame, keys: list[str], per_year: float, order: str = "i") -> DataFrame:
+    """Share of bars that are not qualified, share without a position, and turnover a year. rows: position, qualified."""
+    t = position_turnover(rows, keys, order)
+    return t.groupBy(*keys).agg(
+        F.avg(F.when(F.col("qualified"), 0.0).otherwise(1.0)).alias("disqualified"), F.avg(F.when(F.col("position") == 0, 1.0).otherwise(0.0)).alias("idle"),
+        (F.sum("turnover") * F.lit(float(per_year)) / F.count("*")).alias("turnover_year"),
+    )
+
+
+def capital(rows: DataFrame, keys: list[str], units: DataFrame, start: float) -> DataFrame:
+    """Final equity and total return in per cent of a starting capital. units: keys, unit (money behind one unit of profit)."""
+    won = rows.groupBy(*keys).agg(F.sum(F.coalesce("pnl", F.lit(0.0))).alias("won")).join(units, keys)
+    final = F.lit(float(start)) + F.col("won") * F.col("unit")
+    return won.select(*keys, "unit", final.alias("final"), ((final / F.lit(float(start)) - 1) * 100).alias("total_return_pct"))
+
+
 def reasons(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return trades.groupBy(*(keys or []), "exit_reason").agg(F.count("*").alias("n"))
 

@@ -494,3 +494,18 @@ ORACLE |= {
       FROM spr WINDOW w AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)), {_NAIVE} SELECT a, b, i, {rnd('shown', 'position')} FROM m WHERE q > 0""",
     "rolling_hurst": f"WITH {_HURST} SELECT symbol, bar, {rnd('hurst')} FROM rh",
 }
+
+_LEGS = ORACLE["legs"][: ORACLE["legs"].rindex("SELECT")]
+ORACLE |= {
+    "trade_summary": f"""WITH RECURSIVE {WALK} SELECT a, b, count(*) AS n, {rnd('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate')}, {rnd('avg(exit - entry)', 'avg_hold')}, {rnd('max(pnl)', 'best')}, {rnd('min(pnl)', 'worst')}
+      FROM lg GROUP BY a, b""",
+    "trade_numbers": f"WITH RECURSIVE {WALK} SELECT row_number() OVER (ORDER BY entry_ts, exit_ts, a, b) AS number, a, b, entry, exit, direction FROM lg",
+    "pair_activity": f"""WITH RECURSIVE {WALK}, t AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY a, b ORDER BY i), 0.0)) AS turn FROM book)
+      SELECT a, b, {rnd('avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END)', 'disqualified')}, {rnd('avg(CASE WHEN position = 0 THEN 1.0 ELSE 0.0 END)', 'idle')}, {rnd('sum(turn) * 6048.0 / count(*)', 'turnover_year')} FROM t GROUP BY a, b""",
+    "capital_report": f"""WITH RECURSIVE {WALK}, u AS (SELECT a, b, 1000.0 / nullif(median(sigma), 0) AS unit, sum(coalesce(pnl, 0)) AS won FROM book GROUP BY a, b)
+      SELECT a, b, {rnd('unit')}, {rnd('100000.0 + won * unit', 'final')}, {rnd('((100000.0 + won * unit) / 100000.0 - 1) * 100', 'total_return_pct')} FROM u""",
+    "ticker_trades": f"""{_LEGS} SELECT symbol, count(*) AS legs, count(*) FILTER (side = 'buy') AS longs, count(*) FILTER (side = 'sell') AS shorts, {rnd('avg(amount)', 'mean_amount')},
+      {rnd("avg(CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (p1 / p0 - 1) * 100)", 'mean_move')}, {rnd("sum(amount * CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (p1 / p0 - 1))", 'won')}
+      FROM l GROUP BY symbol ORDER BY legs DESC, symbol LIMIT 8""",
+    "universe": "SELECT event_type AS symbol FROM events WHERE value > 0 UNION SELECT o_orderpriority FROM orders",
+}

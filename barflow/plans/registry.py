@@ -807,6 +807,53 @@ def meanrev_trades(spark, d):
     return log.select(*PAIR, n("entry"), n("exit"), "direction", n("hold_bars"), "exit_reason", r("pnl"))
 
 
+def _walk_log(spark, d):
+    book, f = _walked(spark, d)
+    return machine.trade_profit(machine.trades(f, book, PAIR), book, PAIR), book
+
+
+@query
+def trade_summary(spark, d):
+    """Each pair's walk-forward trades in one row."""
+    return results.summary(_walk_log(spark, d)[0], PAIR).select(*PAIR, n("n"), r("win_rate"), r("avg_hold"), r("best"), r("worst"))
+
+
+@query
+def trade_numbers(spark, d):
+    """The trades of all pairs merged and numbered by entry."""
+    log = results.numbered(_walk_log(spark, d)[0], ["exit_ts", *PAIR])
+    return log.select(n("number"), *PAIR, n("entry"), n("exit"), "direction")
+
+
+@query
+def pair_activity(spark, d):
+    """Share of bars disqualified and idle, turnover a year, of each walk-forward book."""
+    return results.activity(_walk_log(spark, d)[1], PAIR, PER_YEAR).select(*PAIR, r("disqualified"), r("idle"), r("turnover_year"))
+
+
+@query
+def capital_report(spark, d):
+    """100,000 behind each walk-forward book, one per cent of it at risk at the median deviation."""
+    book = _walk_log(spark, d)[1]
+    units = sizing.risk_unit(book, PAIR, "sigma", 100_000.0, 1.0)
+    return results.capital(book, PAIR, units, 100_000.0).select(*PAIR, r("unit"), r("final"), r("total_return_pct"))
+
+
+@query
+def ticker_trades(spark, d):
+    """The eight symbols with the most legs of pair trades: sides, amounts, moves, money."""
+    log, book = _log(spark, d)
+    log = log.join(book.select(*PAIR, F.col("i").alias("entry"), "beta"), [*PAIR, "entry"])
+    t = results.by_ticker(machine.legs(log, 10_000.0)).orderBy(F.desc("legs"), "symbol").limit(8)
+    return t.select("symbol", n("legs"), n("longs"), n("shorts"), r("mean_amount"), r("mean_move"), r("won"))
+
+
+@query
+def universe(spark, d):
+    """Symbols of both panels, each once."""
+    return hourly(spark, d).select("symbol").union(daily(spark, d).select("symbol")).distinct()
+
+
 @query
 def meanrev_universe(spark, d):
     """Statistics of every pair's walk-forward book, best first."""

@@ -47,10 +47,27 @@ def number(c: Column, decimal: str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def moment(c: Column, zone: str | None = None) -> Column:
-    """A time from any known form; with a zone, local wall-clock time of that zone."""
-    t = F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS))
-    return F.to_utc_timestamp(t, zone) if zone else t
+#: An offset at the end of a time: Z, or hours and minutes.
+OFFSET = r"\s*(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def moment(c: Column, zone: str | None = None, drop_offset: bool = False) -> Column:
+    """A time from any known form, as a UTC wall clock; NULL if it has none.
+
+    A time with an offset is an instant. One without is local to `zone` if given. drop_offset keeps the wall clock as it is
+    written and ignores offset and zone.
+    """
+    text = F.trim(c)
+    offset = F.regexp_extract(text, OFFSET, 1)
+    bare = F.regexp_replace(text, OFFSET, "")
+    has = (offset != "") & (F.instr(bare, ":") > 0)  # a date alone has no offset: its last digits are a year
+    wall = F.coalesce(*(F.try_to_timestamp(F.when(has, bare).otherwise(text), F.lit(f)) for f in FORMATS))
+    if drop_offset:
+        return wall
+    sign = F.when(offset.startswith("-"), -1).otherwise(1)
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    minutes = F.when(digits == "", 0).otherwise(sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")))
+    return F.when(has, wall - F.make_dt_interval(mins=minutes)).otherwise(F.to_utc_timestamp(wall, zone) if zone else wall)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
@@ -61,12 +78,14 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def load_panel(
-    spark: SparkSession, path: str, zone: str | None = None, date_col: str | None = None, ticker_col: str | None = None, close_col: str | None = None
+    spark: SparkSession, path: str, zone: str | None = None, date_col: str | None = None, ticker_col: str | None = None, close_col: str | None = None,
+    drop_offset: bool = False,
 ) -> DataFrame:
     """symbol, ts, close from a wide file (a column for each symbol), a long file, or a folder of files of one symbol each.
 
-    Files of a folder are named by their symbol and share one dialect. A second column may hold the time of day. The last quote
-    of a bar and symbol counts; rows without time, symbol or price are left out.
+    Files of a folder are named by their symbol and share one dialect. A second column may hold the time of day; offsets and
+    `zone` as in moment(). The last quote of a bar and symbol counts; rows without time, symbol or price are left out, and
+    unread() counts them. A file in which no time can be read is refused.
     """
     head = [r[0] for r in spark.read.text(path).limit(20).collect()]
     sep, decimal = dialect(head)
@@ -87,11 +106,30 @@ def load_panel(
         rows = raw.select(F.col(ticker).alias("symbol"), "__d", F.col(close).alias("p"), "__at")
     else:
         rows = raw.unpivot(["__d", "__at"], others, "symbol", "p")
-    rows = rows.select(F.upper(F.trim("symbol")).alias("symbol"), moment(F.col("__d"), zone).cast("timestamp_ntz").alias("ts"), number(F.col("p"), decimal).alias("close"), "__at")
+    rows = rows.select(F.upper(F.trim("symbol")).alias("symbol"), moment(F.col("__d"), zone, drop_offset).cast("timestamp_ntz").alias("ts"), number(F.col("p"), decimal).alias("close"), "__at")
+    if not rows.isEmpty() and rows.where("ts IS NOT NULL").isEmpty():
+        raise ValueError(f"no time can be read in column {date}")
     rows = rows.where("symbol IS NOT NULL AND ts IS NOT NULL AND close IS NOT NULL")
     return rows.groupBy("symbol", "ts").agg(F.max_by("close", "__at").alias("close"))
 
 
+def unread(spark: SparkSession, path: str, column: str, zone: str | None = None) -> DataFrame:
+    """file, rows, without_time of a file or folder with a header: rows whose `column` has no time that moment() knows."""
+    sep, _ = dialect([r[0] for r in spark.read.text(path).limit(20).collect()])
+    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    bad = F.sum(F.when(moment(F.col(column), zone).isNull(), 1).otherwise(0))
+    return raw.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), bad.alias("without_time"))
+
+
+def one_symbol(bars: DataFrame, symbol: str) -> DataFrame:
+    """The bars of one symbol in the order of time, without rows that have no price at all; a symbol without bars is refused."""
+    prices = [c for c in ("open", "high", "low", "close") if c in bars.columns]
+    out = bars.where(F.col("symbol") == symbol).where(F.coalesce(*prices).isNotNull())
+    if out.isEmpty():
+        raise ValueError(f"no bars of {symbol}")
+    return out.orderBy("ts")
+
+
 def check(bars: DataFrame, least: int = 300) -> dict[str, float]:
     """Bars, days and bars a day of a panel; too short a panel is refused."""
     n, days = bars.agg(F.countDistinct("ts"), F.countDistinct(F.to_date("ts"))).first()

@@ -402,3 +402,41 @@ def test_runs_are_deterministic(spark, small):
     for name in ("pair_screen_full", "momentum_trades", "ou_simulation"):
         a, b = (sorted(map(repr, registry.QUERIES[name](spark, small).collect())) for _ in range(2))
         assert a == b
+
+
+def test_times_with_offsets(spark):
+    from barflow.sources.importer import moment
+
+    texts = ["2024-03-01 10:00:00+03:00", "2024-03-01T10:00:00Z", "2024-03-01 10:00", "01.03.2024 10:00 -0530", "01.03.2024", "2024-03-01", "soon", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    shown = lambda c: [str(r[0]) if r[0] else None for r in df.select(c.cast("timestamp_ntz")).collect()]
+    c = F.col("t")
+    day = "2024-03-01 "
+    assert shown(moment(c)) == [day + "07:00:00", day + "10:00:00", day + "10:00:00", day + "15:30:00", day + "00:00:00", day + "00:00:00", None, None]
+    assert shown(moment(c, "Europe/Istanbul")) == [day + "07:00:00", day + "10:00:00", day + "07:00:00", day + "15:30:00", "2024-02-29 21:00:00", "2024-02-29 21:00:00", None, None]
+    assert shown(moment(c, drop_offset=True))[:4] == [day + "10:00:00"] * 4
+
+
+def test_files_without_times_are_refused(spark, tmp_path):
+    from barflow.sources.importer import load_panel, one_symbol, unread
+
+    (tmp_path / "bad.csv").write_text("date,AAA\nsoon,1.5\nlater,2.5\n")
+    with pytest.raises(ValueError, match="no time"):
+        load_panel(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "good.csv").write_text("date,AAA,BBB\n2024-01-01 10:00:00+03:00,1.5,\nsoon,2.5,3\n")
+    out = load_panel(spark, str(tmp_path / "good.csv"))
+    assert [(r["symbol"], str(r["ts"]), r["close"]) for r in out.collect()] == [("AAA", "2024-01-01 07:00:00", 1.5)]
+    assert [(r["rows"], r["without_time"]) for r in unread(spark, str(tmp_path / "good.csv"), "date").collect()] == [(2, 1)]
+    assert one_symbol(out, "AAA").count() == 1
+    with pytest.raises(ValueError):
+        one_symbol(out, "BBB")
+
+
+def test_trade_summary_and_numbers(spark):
+    from barflow.operators import results
+
+    rows = [("x", "2024-01-02 10:00:00", 3, 2.0), ("y", "2024-01-01 09:00:00", 1, -1.0), ("x", "2024-01-01 09:00:00", 2, 0.0), ("y", "2024-01-02 08:00:00", 4, 5.0)]
+    t = spark.createDataFrame(rows, "k string, entry_ts string, hold_bars int, pnl double").withColumn("entry_ts", F.col("entry_ts").cast("timestamp"))
+    assert tuple(results.summary(t).first()) == (4, 0.5, 2.5, 5.0, -1.0)
+    assert {(r["number"], r["k"], r["pnl"]) for r in results.numbered(t, ["k"]).collect()} == {(1, "x", 0.0), (2, "y", -1.0), (3, "y", 5.0), (4, "x", 2.0)}
+    assert results.summary(t.where("false")).first()["n"] == 0
