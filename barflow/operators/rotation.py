@@ -65,6 +65,37 @@ def variant_baskets(signal: DataFrame, rules: dict[str, tuple[Column, Column]],
     return rows.withColumn("weight", weight).select("variant", "phase", "t0", "symbol", "rank", "weight")
 
 
+#: Parameters of a grid cell.
+CELL = ("lookback", "top")
+
+
+def grid_baskets(signal: DataFrame, scores: dict[int, Column], mask: Column, tops: tuple[int, ...], start: int, every: int, bars: int, phases: int = 1) -> DataFrame:
+    """baskets() of every cell of a grid in one plan: lookback, top, phase, t0, symbol, rank, weight.
+
+    A signal row is unfolded to the lookbacks it has a score for and ranked once for each; a ranked row is unfolded to the tops
+    that hold it.
+    """
+    t0 = F.col("bar") + 1
+    choice = F.array(*(F.struct(F.lit(k).cast("long").alias("lookback"), c.cast("double").alias("score")) for k, c in scores.items()))
+    known = F.filter(choice, lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]))
+    rows = signal.where(mask).select("symbol", t0.alias("t0"), F.pmod(t0 - start, F.lit(every)).alias("phase"), F.explode(known).alias("c"))
+    rows = rows.where((F.col("phase") < phases) & (F.col("t0") >= start + F.col("phase")) & (F.col("t0") < bars)).select("c.lookback", "phase", "t0", "symbol", "c.score")
+    best = Window.partitionBy("lookback", "phase", "t0").orderBy(F.desc("score"), "symbol")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(tops))
+    held = F.filter(F.array(*(F.lit(t).cast("long") for t in tops)), lambda t: t >= F.col("rank"))
+    rows = rows.select("*", F.explode(held).alias("top"))
+    return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(*CELL, "phase", "t0"))).drop("score")
+
+
+def grid_profit(held: DataFrame, signal: DataFrame, clock: DataFrame, lookbacks: list[int], tops: tuple[int, ...], start: int, every: int, bars: int, phases: int = 1) -> DataFrame:
+    """profit() of every cell: lookback, top, phase, bar, pnl for every bar from the phase's start."""
+    keys = [*CELL, "phase", "bar"]
+    sums = contributions(held, signal, every, bars, (*CELL, "phase")).groupBy(*keys).agg(F.sum("part").alias("pnl"))
+    cells = F.array(*(F.struct(F.lit(x).cast("long").alias("lookback"), F.lit(t).cast("long").alias("top")) for x in lookbacks for t in tops))
+    at = clock.select("bar", F.explode(cells).alias("c")).select("bar", "c.*").withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(phases - 1)))).where(F.col("bar") >= start + F.col("phase"))
+    return at.join(sums, keys, "left").select(*keys, F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
+
+
 def contributions(held: DataFrame, signal: DataFrame, every: int, bars: int, keys: tuple[str, ...] = ("phase",)) -> DataFrame:
     """keys, bar, symbol, t0, part = weight * return; a missing return gives 0 but keeps its weight."""
     days = held.withColumn("bar", F.explode(F.sequence(F.col("t0"), F.least(F.col("t0") + every - 1, F.lit(bars - 1)))))

@@ -509,3 +509,13 @@ ORACLE |= {
       FROM l GROUP BY symbol ORDER BY legs DESC, symbol LIMIT 8""",
     "universe": "SELECT event_type AS symbol FROM events WHERE value > 0 UNION SELECT o_orderpriority FROM orders",
 }
+
+
+def _cell(x: int, t: int) -> str:
+    """A cell of the grid over all phases."""
+    mean = "SELECT bar, avg(pnl) AS pnl FROM pnl, prm WHERE bar >= start + 24 GROUP BY bar"
+    return f"SELECT * FROM (WITH {rotation(lookback=x, top=t, phases=24)}, mean_pnl AS ({mean}), {stat('mean_pnl', '')} SELECT CAST({x} AS BIGINT) AS lookback, CAST({t} AS BIGINT) AS top, {rnd('ann_return')}, {rnd('sharpe')} FROM perf)"
+
+
+ORACLE["parameter_grid_neutral"] = " UNION ALL ".join(_cell(x, t) for x in (10, 15, 20, 30, 40) for t in (1, 2, 3))
+ORACLE["neighborhood_stability"] = f"SELECT count(*) AS cells, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')}, min(sharpe) < 0 AS fragile FROM ({ORACLE['parameter_grid_neutral']})"

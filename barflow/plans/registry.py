@@ -545,15 +545,35 @@ def start_date_sweep_full(spark, d):
     return _sweep(x, rotation.sweep_starts(x.bars, LOOKBACK))
 
 
+def _grid(spark, d, lookbacks, tops, phases):
+    """Profit of all cells and phases in one plan, and the first bar of the clock."""
+    def scores(rows, signal):
+        return rows.select("symbol", "bar", ind.log_return().alias("ret"), ind.trend("close", FAST, SLOW).alias("ok"), *(ind.roc("close", k).alias(f"roc{k}") for k in lookbacks))
+
+    x = Rotation(spark, d, extra=scores, score=F.lit(0.0))
+    held = rotation.grid_baskets(x.signal, {k: F.col(f"roc{k}") for k in lookbacks}, F.col("ok"), tops, x.start, EVERY, x.bars, phases)
+    return rotation.grid_profit(held, x.signal, x.clock, lookbacks, tops, x.start, EVERY, x.bars, phases), x.start
+
+
 @query
 def parameter_grid(spark, d):
-    out = None
-    for lookback in (10, 20, 40):
-        for top in (1, 2):
-            x = results.performance(Rotation(spark, d, lookback=lookback, top=top).pnl(), ["phase"], PER_YEAR)
-            x = x.select(F.lit(lookback).cast("long").alias("lookback"), F.lit(top).cast("long").alias("top"), r("ann_return"), r("sharpe"))
-            out = x if out is None else out.unionByName(x)
-    return out
+    pnl, _ = _grid(spark, d, [10, 20, 40], (1, 2), 1)
+    return results.performance(pnl, ["lookback", "top"], PER_YEAR).select("lookback", "top", r("ann_return"), r("sharpe"))
+
+
+@query
+def parameter_grid_neutral(spark, d):
+    """Fifteen cells, each over all phases of the clock: statistics of the mean over the phases, from the bar on at which all have begun."""
+    pnl, start = _grid(spark, d, [10, 15, 20, 30, 40], (1, 2, 3), EVERY)
+    mean = pnl.where(F.col("bar") >= start + EVERY).groupBy("lookback", "top", "bar").agg(F.avg("pnl").alias("pnl"))
+    return results.performance(mean, ["lookback", "top"], PER_YEAR).select("lookback", "top", r("ann_return"), r("sharpe"))
+
+
+@query
+def neighborhood_stability(spark, d):
+    """Median and worst Sharpe ratio over the fifteen phase-neutral cells, and whether the rule is fragile (a cell loses)."""
+    g = QUERIES["parameter_grid_neutral"](spark, d)
+    return g.agg(F.count("*").alias("cells"), F.median("sharpe").alias("median"), F.min("sharpe").alias("worst")).select(n("cells"), r("median"), r("worst"), (F.col("worst") < 0).alias("fragile"))
 
 
 @query
