@@ -9,7 +9,7 @@ longest match, whatever else is in its slice, and the words under matches are ex
 The array is sparse: a suffix enters it only if the next words are all benchmark words, as many as the shortest window
 that starts with its word, since no test suffix can match elsewhere; and a test suffix is searched only in shards that have a
 place with its first two words. Training text is never shuffled. The benchmark's words, its suffix order and the windows' items
-are arrays built once on the driver, 16 bytes for each word or so, and broadcast; a benchmark over CHUNK_BYTES of text goes in
+are arrays built once on the driver, some 40 bytes for each word, and broadcast; a benchmark over CHUNK_BYTES of text goes in
 several chunks, and each further chunk is one more pass.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; told apart by 64-bit hashes. NULL and empty texts and items have no
