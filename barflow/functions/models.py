@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from barflow.session import ship
+
 #: Published response-surface coefficients for the p-value of a unit-root test with constant (fixed values).
 _TAU_MIN, _TAU_STAR, _TAU_MAX = -18.83, -1.61, 2.74
 _SMALL = (2.1659, 1.4412, 0.038269)
@@ -175,4 +177,5 @@ def by_key(rows: DataFrame, keys: list[str], value: str, f, columns: str, order:
         out = f(pdf.sort_values(order)[value].dropna().to_numpy(float))
         return pd.DataFrame([[*pdf[keys].iloc[0], *(out if out is not None else [None] * len(names))]], columns=[*keys, *names])
 
+    ship(rows.sparkSession)
     return rows.select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{kinds}, {columns}")

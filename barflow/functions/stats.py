@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.session import ship
+
 #: Euler's constant (fixed value).
 EULER_GAMMA = 0.5772156649015329
 
@@ -65,6 +67,7 @@ def hurst_by(rows: DataFrame, keys: list[str], value: str, order: str = "i", max
         h = hurst(x, at)
         return pd.DataFrame([[*pdf[keys].iloc[0], None if math.isnan(h) else h]], columns=[*keys, "h"])
 
+    ship(rows.sparkSession)
     return rows.select(*keys, order, value, *([maximum] if maximum else [])).groupBy(*keys).applyInPandas(run, f"{kinds}, h double")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.machine import Rule, positions
+from barflow.session import ship
 
 
 def loadings(returns: np.ndarray, k: int) -> np.ndarray:
@@ -50,6 +51,7 @@ def residuals(rows: DataFrame, start: int, window: int = 500, every: int = 45, f
         })
 
     kind = rows.schema["symbol"].dataType.simpleString()
+    ship(rows.sparkSession)
     return src.groupBy("refit").applyInPandas(run, f"symbol {kind}, bar long, refit long, resid double")
 
 

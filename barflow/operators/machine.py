@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.session import ship
 
 
 @dataclass(frozen=True)
@@ -26,9 +27,12 @@ class Rule:
     flat_at_end: bool = False
 
 
-def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule: Rule) -> tuple[np.ndarray, list, list]:
-    """Position of each row, and where a position closes the entry's row and the reason."""
+def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule: Rule, enter: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, list, list]:
+    """Position of each row, and where a position closes the entry's row and the reason. enter, stop: thresholds of each row, NaN for the rule's."""
     n = len(z)
+    limit = np.inf if rule.stop is None else rule.stop
+    enter = np.full(n, rule.entry) if enter is None else np.where(np.isnan(enter), rule.entry, enter)
+    stop = np.full(n, limit) if stop is None else np.where(np.isnan(stop), limit, stop)
     position, entered, reason = np.zeros(n), [None] * n, [None] * n
     pos, at = 0.0, None
     for t in range(n):
@@ -41,8 +45,8 @@ def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule
                 continue  # the row shows no position, the position itself goes on
         elif pos == 0.0:
             if rule.two_sided:
-                pos = -1.0 if x > rule.entry else 1.0 if x < -rule.entry else 0.0
-            elif x > rule.entry and not last[t]:
+                pos = -1.0 if x > enter[t] else 1.0 if x < -enter[t] else 0.0
+            elif x > enter[t] and not last[t]:
                 pos = float(side[t])
             if pos:
                 at = t
@@ -50,7 +54,7 @@ def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule
             why = "reversion"
         elif not rule.two_sided and x <= rule.leave:
             why = "vol normalized"
-        elif rule.stop is not None and (abs(x) if rule.two_sided else x) > rule.stop:
+        elif (abs(x) if rule.two_sided else x) > stop[t]:
             why = "hard stop" if rule.two_sided else "vol kept expanding"
         if why is None and rule.flat_at_end and last[t] and pos:
             why = "end of day"
@@ -62,18 +66,19 @@ def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule
 
 
 def positions(rows: DataFrame, keys: list[str], rule: Rule, order: str = "i") -> DataFrame:
-    """keys, order, position, entry (row at which a position that closes here began), reason. rows: z, and if there qualified, is_last, side."""
+    """keys, order, position, entry (row at which a position that closes here began), reason. rows: z, and if there qualified, is_last, side, entry_z, stop_z."""
     has = rows.columns
     src = rows.select(
         *keys, order, "z", (F.col("qualified") if "qualified" in has else F.lit(True)).alias("qualified"),
         (F.col("is_last") if "is_last" in has else F.lit(False)).alias("is_last"), (F.col("side") if "side" in has else F.lit(0)).cast("double").alias("side"),
+        *((F.col(c) if c in has else F.lit(None)).cast("double").alias(c) for c in ("entry_z", "stop_z")),
     )
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(order)
         ok = p["qualified"].fillna(False).to_numpy(bool)
-        pos, entered, reason = fold(p["z"].to_numpy(float), ok, p["is_last"].fillna(False).to_numpy(bool), p["side"].fillna(0).to_numpy(float), rule)
+        pos, entered, reason = fold(p["z"].to_numpy(float), ok, p["is_last"].fillna(False).to_numpy(bool), p["side"].fillna(0).to_numpy(float), rule, p["entry_z"].to_numpy(float), p["stop_z"].to_numpy(float))
         at = p[order].to_numpy()
         out = p[[*keys, order]].reset_index(drop=True)
         out["position"] = pos
@@ -81,6 +86,7 @@ def positions(rows: DataFrame, keys: list[str], rule: Rule, order: str = "i") ->
         out["reason"] = reason
         return out
 
+    ship(rows.sparkSession)
     return src.groupBy(*keys).applyInPandas(run, f"{kinds}, {order} long, position double, entry long, reason string")
 
 
@@ -171,4 +177,5 @@ def garch_sigma(rows: DataFrame, keys: list[str], change: str = "change", lookba
         out["sigma"] = sigma
         return out
 
+    ship(rows.sparkSession)
     return rows.select(*keys, order, "sess", change).groupBy(*keys).applyInPandas(run, f"{kinds}, {order} long, sigma double")

@@ -113,31 +113,41 @@ def window_length(half: Column, least: int = 10, most: int = 500) -> Column:
     return F.coalesce(F.least(F.greatest(F.bround(3 * half).cast("long"), F.lit(least)), F.lit(most)), F.lit(most)).cast("long")
 
 
-def walk_forward(rows: DataFrame, lookback: int = 20, every: int = 5, start: int = 0, critical: float = -2.86, cutoff: float = 0.5, least: int = 50, min_window: int = 10, max_window: int = 500) -> DataFrame:
-    """Refits of every pair, every `every` sessions from session `start`, on the `lookback` sessions before.
+def windows(rows: DataFrame, lookback: int, every: int, start: int | str = 0, least: int = 50) -> DataFrame:
+    """The rows behind each refit: those of the `lookback` sessions before it, with refit (session), rows (their number), alpha, beta, spread.
 
-    a, b, refit (session), n, alpha, beta, adf_stat, h, half_life, zw, qualified. Windows of sessions are unfolded to single
-    sessions so that the join is by equality. Refits with under `least` rows are left out: the fit before stays in force.
+    Refits come every `every` sessions from session `start` on, a number or a column of rows. Windows of sessions are unfolded to
+    single sessions so that the join is by equality. Refits with under `least` rows are left out.
     """
     s = rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
-    at = s.select(*KEY, F.col("sess").alias("refit")).distinct().where((F.col("refit") >= start) & ((F.col("refit") - start) % every == 0) & (F.col("refit") > 0))
+    first = F.col(start) if isinstance(start, str) else F.lit(start)
+    at = s.select(*KEY, F.col("sess").alias("refit"), first.alias("first")).distinct()
+    at = at.where((F.col("refit") >= F.col("first")) & ((F.col("refit") - F.col("first")) % every == 0) & (F.col("refit") > 0)).drop("first")
     need = at.withColumn("sess", F.explode(F.sequence(F.greatest(F.col("refit") - lookback, F.lit(0)), F.col("refit") - 1)))
     win = need.join(s, [*KEY, "sess"])
     key = [*KEY, "refit"]
     fit = win.groupBy(*key).agg(F.count("*").alias("rows"), *stats.hedge("la", "lb")).where(F.col("rows") >= least)
-    win = win.join(fit, key).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
+    return win.join(fit, key).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
+
+
+def walk_forward(rows: DataFrame, lookback: int = 20, every: int = 5, start: int | str = 0, critical: float = -2.86, cutoff: float = 0.5, least: int = 50, min_window: int = 10, max_window: int = 500) -> DataFrame:
+    """Refits of every pair, on windows(): a, b, refit (session), n, alpha, beta, adf_stat, h, half_life, zw, gamma, sigma, qualified.
+
+    Where a refit is left out, the fit before stays in force.
+    """
+    key = [*KEY, "refit"]
+    win = windows(rows, lookback, every, start, least)
     tests = stats.changes(win, key, "spread").groupBy(*key).agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.first("rows").alias("n_rows"), *stats.unit_root())
     out = tests.join(stats.hurst_by(win, key, "spread"), key).withColumn("half_life", stats.half_life())
     good = (F.col("tau") < critical) & (F.col("h") < cutoff) & F.col("half_life").isNotNull()
     return out.select(
         *key, F.col("n_rows").alias("n"), "alpha", "beta", F.col("tau").alias("adf_stat"), "h", "half_life",
-        window_length(F.col("half_life"), min_window, max_window).alias("zw"), F.coalesce(good, F.lit(False)).alias("qualified"),
+        window_length(F.col("half_life"), min_window, max_window).alias("zw"), "gamma", "sigma", F.coalesce(good, F.lit(False)).alias("qualified"),
     )
 
 
-def held(rows: DataFrame, fits: DataFrame) -> DataFrame:
-    """rows with the last refit at or before each row's session: alpha, beta, zw, qualified."""
-    names = ["alpha", "beta", "zw", "qualified"]
+def held(rows: DataFrame, fits: DataFrame, names: tuple[str, ...] = ("alpha", "beta", "zw", "qualified")) -> DataFrame:
+    """rows with `names` of the last refit at or before each row's session."""
     state = F.struct(*names)
     first = rows.groupBy(*KEY, "sess").agg(F.min("i").alias("i"))
     marks = first.join(fits.withColumnRenamed("refit", "sess").select(*KEY, "sess", state.alias("fit")), [*KEY, "sess"], "left")

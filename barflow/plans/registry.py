@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import factors, machine, pairs, panel, results, rotation, sizing
+from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import complete, daily, hourly, table
 from barflow.streaming.bars import bar_stream
@@ -1003,3 +1003,127 @@ def daily_walk_forward(spark, d):
     by = Window.partitionBy(*PAIR).orderBy("i")
     rows = rows.withColumn("change", F.coalesce(F.col("spread") - F.lag("spread").over(by), F.lit(0.0))).withColumn("scale", F.lit(1.0))
     return machine.profit(rows.join(f, [*PAIR, "i"]), PAIR).select(*PAIR, n("i"), r("beta"), r("position"), r("pnl"))
+
+
+# --- whole backtests -------------------------------------------------------------------------------------------------------
+
+
+_STATS = ("ann_return", "sharpe", "max_drawdown")
+
+
+def _report(b, keys=PAIR):
+    return b.stats(PER_YEAR).select(*keys, n("n"), *(r(c) for c in _STATS), n("n_trades"), n("n_stops"), n("n_breaks"), r("disqualified"))
+
+
+@query
+def backtest_pairs(spark, d):
+    """The fifteen best qualifying pairs of the screen in sample, each walked forward out of sample."""
+    return _report(backtests.mean_reversion(hourly(spark, d), backtests.PairParams()))
+
+
+@query
+def backtest_pairs_calibrated(spark, d):
+    """The same with entry and stop of each qualified refit from simulated paths at five basis points."""
+    return _report(backtests.mean_reversion(hourly(spark, d), backtests.PairParams(cost_bps=5.0)))
+
+
+@query
+def backtest_intraday(spark, d):
+    """Refitted every session, flat at its end, sized by the volatility forecast of each refit."""
+    return _report(backtests.intraday(hourly(spark, d)))
+
+
+@query
+def backtest_daily(spark, d):
+    """Daily hedge ratios; regime and volatility model checked again every 21 rows."""
+    return _report(backtests.daily(complete(daily(spark, d))))
+
+
+@query
+def backtest_costs(spark, d):
+    """Each traded pair's statistics at every cost of a switch."""
+    b = backtests.mean_reversion(hourly(spark, d), backtests.PairParams())
+    return b.costs(PER_YEAR).select(*PAIR, n("cost_bps"), r("ann_return"), r("sharpe"))
+
+
+@query
+def screen_by_p_value(spark, d):
+    """The daily screen in sample, ranked by p-value."""
+    rows = backtests.split_of(panel.pairs(complete(daily(spark, d))), FRACTION).where("sess < split").drop("split")
+    return backtests.screen_by_p(rows, backtests.DailyParams()).select("pair", r("beta"), r("adf_stat"), r("adf_p"), r("h"), "qualifies")
+
+
+@query
+def best_pair_elsewhere(spark, d):
+    """Whether the best pair of the first half of the sessions is the best of the second half."""
+    rows = backtests.split_of(joint(spark, d), 0.5)
+    one, two = (pairs.screen(rows.where(c).drop("split")) for c in ("sess < split", "sess >= split"))
+    return backtests.same_winner(one, two).select("pair", "other", r("adf_stat"), "qualifies", "same")
+
+
+def _vol_basket(spark, d):
+    rows = _vol_rows(spark, d)
+    picks = pairs.vol_screen(bars(spark, d)).where("qualifies").orderBy("adf_stat", "symbol").limit(3)
+    return backtests.basket(rows, picks, machine.Rule(entry=1.5, stop=3.5, leave=0.5, two_sided=False, flat_at_end=True))
+
+
+@query
+def vol_basket_top(spark, d):
+    """The three best symbols of the volatility screen, the capital split evenly: trades of each in the order of entry."""
+    b = _vol_basket(spark, d)
+    return results.numbered(b.trades, ["exit_ts", "symbol"]).select(n("number"), "symbol", n("entry"), n("exit"), "exit_reason", r("pnl"))
+
+
+@query
+def vol_basket_costs(spark, d):
+    """The basket's statistics at every cost, charged on each symbol's own turnover."""
+    return backtests.basket_costs(_vol_basket(spark, d), PER_YEAR).select(n("cost_bps"), r("ann_return"), r("sharpe"), r("max_drawdown"))
+
+
+@query
+def garch_report(spark, d):
+    """Each symbol's fitted model: persistence, long-run deviation, bars in which a shock halves."""
+    x = bars(spark, d).select("symbol", F.col("bar").alias("i"), ind.log_return().alias("x")).where("x IS NOT NULL")
+    g = models.by_key(x, ["symbol"], "x", backtests.garch_state, "omega double, persistence double, v1 double")
+    p = F.col("persistence")
+    level = F.sqrt(F.col("omega") / F.nullif(1 - p, F.lit(0.0)))
+    return g.select("symbol", r("persistence"), r(level, "long_run"), r(F.when((p > 0) & (p < 1), F.ln(F.lit(0.5)) / F.ln(p)), "half_life"))
+
+
+@query
+def variant_shortlist(spark, d):
+    """The four best selection rules whose Sharpe ratio exceeds 0.85 of holding all names."""
+    v = QUERIES["variant_summary"](spark, d)
+    hold = v.where("variant = 'buy_and_hold'").select(F.col("sharpe").alias("hold"))
+    x = v.where("variant <> 'buy_and_hold'").crossJoin(hold).where("sharpe > 0.85 * hold")  # hold is one row
+    return x.orderBy(F.desc("sharpe"), "variant").limit(4).select("variant", "sharpe")
+
+
+@query
+def variant_verdicts(spark, d):
+    """Every selection rule against holding all names, and whether the fifteen cells of the grid make the family fragile."""
+    v = QUERIES["variant_summary"](spark, d)
+    hold = v.where("variant = 'buy_and_hold'").select(F.col("sharpe").alias("hold"))
+    worst = QUERIES["neighborhood_stability"](spark, d).select("worst", "fragile")
+    x = v.where("variant <> 'buy_and_hold'").crossJoin(hold).crossJoin(worst)  # both are one row
+    return x.select("variant", "sharpe", (F.col("sharpe") > F.col("hold")).alias("beats"), "fragile")
+
+
+@query
+def leaderboard_full(spark, d):
+    """All three families by deflated Sharpe ratio: rotation, mean reversion out of sample, factor residuals."""
+    one = F.avg("pnl") / F.nullif(F.stddev_pop("pnl"), F.lit(0.0))
+    share = lambda c: (F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0)) * 100).alias("pct_profitable")
+    x = Rotation(spark, d)
+    rot = x.pnl().agg(F.count("*").alias("n"), one.alias("sharpe_bar")).crossJoin(x.trades().groupBy("symbol").agg(F.sum("pnl").alias("p")).agg(share("p")))
+    book = backtests.mean_reversion(hourly(spark, d), backtests.PairParams()).book
+    per = book.groupBy(*PAIR).agg(F.count("*").alias("n"), one.alias("sharpe_bar"))
+    rev = per.orderBy(F.desc_nulls_last("sharpe_bar"), *PAIR).limit(1).select("n", "sharpe_bar").crossJoin(per.agg(share("sharpe_bar")))
+    arb = factors.stat_arb(factors.residuals(_factor_rows(spark, d), 200, 100, 45, 2, 3))
+    pnl = arb.groupBy("bar").agg(F.sum("part").alias("pnl"))
+    fac = pnl.agg(F.count("*").alias("n"), one.alias("sharpe_bar")).crossJoin(arb.groupBy("symbol").agg(F.sum("part").alias("p")).agg(share("p")))
+    rows = None
+    for name, f in (("rotation", rot), ("mean reversion", rev), ("factor residuals", fac)):  # every side is one row
+        f = f.withColumn("family", F.lit(name))
+        rows = f if rows is None else rows.unionByName(f)
+    return results.leaderboard(results.deflated(rows, 14, 0.02)).select("family", n("n"), r("pct_profitable"), r("dsr"))

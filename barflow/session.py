@@ -1,8 +1,31 @@
-"""A session with the settings that the operators rely on."""
+"""A session with the settings that the operators rely on, and this package on its workers."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
+_stored: list[str] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once for each application, so that workers anywhere can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # an installed archive is on the workers' path already
+        path = Path(tempfile.mkdtemp(prefix="ship")) / f"{root.name}_src.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(Path(root.name) / p.relative_to(root)))
+        spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -15,3 +38,28 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df below spark.checkpoint.dir and reads it again: computed once, lineage cut, lost executors cost nothing of it.
+
+    Only where all runs on one host may the setting be absent: a folder of this host is then used. drop_stored() removes the tables.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/barflow-stored"
+    path = f"{folder.rstrip('/')}/stages/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes the tables that stored() wrote, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

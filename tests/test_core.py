@@ -327,7 +327,7 @@ def test_streams_close_bars_once(spark, tmp_path, small):
     assert session_stream(ticks, "event_type", "ts", "value").agg(F.sum("n")).first()[0] == ticks.count()
     orders = []
     bars = spark.readStream.schema(got.schema).parquet(out)
-    q = rotate(bars, Rotator(3, 2, 4, 5, 2, 1000.0, orders.extend))
+    q = rotate(bars, Rotator(3, 2, 4, 5, 2, 1000.0, orders.extend), str(tmp_path / "rotation"))
     q.processAllAvailable()
     q.stop()
     held = {}
