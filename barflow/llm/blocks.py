@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import shared_dir, trim
+from barflow.llm.common import shared_dir, ship, trim
 
 #: Bytes of text, other columns and ROW_BYTES a row in a block, about (a longer row is a block of its own).
 BLOCK_BYTES = 4 << 20
@@ -52,6 +52,7 @@ def blocked(df: DataFrame, text_col: str = "text", target: int = BLOCK_BYTES) ->
     import uuid
 
     spark = df.sparkSession
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()

@@ -14,16 +14,16 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.session import ship as ship_code
+
 #: Text bytes that a kernel works on at once, at most (a longer text is taken alone).
 SLICE_BYTES = 2 << 20
 
@@ -69,7 +69,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
 #: Bytes of an Arrow batch between Spark and Python, unless the session says otherwise than Spark's default.
 ARROW_BYTES = "8m"
 
@@ -81,17 +80,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():
-        path = Path(tempfile.mkdtemp(prefix="ship")) / f"{root.name}_src.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(Path(root.name) / p.relative_to(root)))
-        spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+    ship_code(spark)
 
 
 def trim() -> None:
@@ -149,6 +138,7 @@ def crc_mod_col(id_col: str, m: int) -> Column:
 
 def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns with fixed names: doc_id as it is, text as UTF-8 bytes without NULL."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("text")
     )
