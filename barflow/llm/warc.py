@@ -4,7 +4,7 @@ A revisit (a 304 answer) stores no body: it stands for the latest earlier full r
 resolution is an as-of join by canonical URL and time, in DataFrame operations alone:
 
 1. URLs are made canonical (canonical_url()).
-2. Time is cut into SPANS spans. Within (URL, span) a window finds the latest full response before each revisit; the last
+2. Time is cut into SPANS spans of about as many records each (a bad date far away costs no more than its own span). Within (URL, span) a window finds the latest full response before each revisit; the last
    response of each (URL, span) is a pre-aggregate, and a window over at most SPANS rows of a URL carries it to later spans. So
    a URL with a third of all records is dealt over many tasks.
 3. The validators decide: equal entity tags (compared weakly) if both have one, else equal Last-Modified if both have one, else
@@ -14,7 +14,8 @@ resolution is an as-of join by canonical URL and time, in DataFrame operations a
 
 Ties: of responses at one time the one of the largest id counts; a response at a revisit's own time is not earlier. Records
 without URL or time resolve nothing and stay unresolved. Repeated revisits give a row each; of repeated response rows of one
-id one counts.
+id the latest gives headers and body, then the one of the greatest validators, length and hash of the body. Bodies of any length are
+carried as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barflow.llm.common import ship
+
 #: Spans of time.
 SPANS = 256
+#: Partitions' worth of salts for unresolved revisits in the join with the bodies.
+SALTS = 1024
+#: Bytes of bodies in a batch of records read from files.
+READ_BYTES = 8 << 20
 #: Headers of the stored response that a 304 must not change (fixed values).
 PINNED = (
     "connection", "content-encoding", "content-length", "content-location", "content-range", "content-type", "keep-alive",
@@ -64,9 +71,10 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
         "id", "url", canonical_url(F.col("url")).alias("canonical"), F.col("time").cast("long").alias("time"), F.coalesce("revisit", F.lit(False)).alias("revisit"),
         _tag(F.col("etag")).alias("etag"), "last_modified", "digest", "headers",
     )
-    low, high = rows.agg(F.min("time"), F.max("time")).first()
-    width = max(1, ((high or 0) - (low or 0)) // spans + 1)
-    rows = rows.withColumn("span", F.floor((F.col("time") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    at = F.array(*(F.lit(k / spans) for k in range(1, spans)))
+    cuts = sorted(set(rows.agg(F.percentile_approx("time", at, 2000)).first()[0] or [])) if spans > 1 else []  # at most spans - 1 numbers
+    span = F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("time"))) if cuts else F.lit(0)
+    rows = rows.withColumn("span", F.when(F.col("time").isNotNull(), span))
     mark = F.struct("time", "id", "etag", "last_modified", "digest")
     usable = F.col("canonical").isNotNull() & F.col("time").isNotNull()
     full = rows.where(usable & ~F.col("revisit"))
@@ -90,9 +98,14 @@ def resolve_revisits(records: DataFrame, spans: int = SPANS) -> DataFrame:
         .otherwise("no validator")
     )
     found = found.withColumn("verdict", verdict).withColumn("response_id", F.when(F.col("verdict") == "resolved", r("id")))
-    bodies = records.where(~F.coalesce("revisit", F.lit(False))).select(F.col("id").alias("response_id"), F.col("headers").alias("stored"), "body").dropDuplicates(["response_id"])
-    # a response that many revisits stand for is a hot key on the left side only; adaptive execution splits it
-    out = found.join(bodies, "response_id", "left")
+    bodies = records.where(~F.coalesce("revisit", F.lit(False))).groupBy(F.col("id").alias("response_id")).agg(
+        F.max_by(F.struct("headers", "body"), F.struct("time", "etag", "last_modified", "digest", F.octet_length("body"), F.xxhash64("body"))).alias("full")
+    )
+    bodies = bodies.select("response_id", F.lit(0).alias("salt"), F.col("full.headers").alias("stored"), "full.body")
+    # a response that many revisits stand for is a hot key on the left side only, which adaptive execution splits; unresolved rows
+    # meet nothing and are dealt by a salt instead of meeting in one partition
+    found = found.withColumn("salt", F.when(F.col("response_id").isNull(), F.pmod(F.xxhash64("id", "url", "time"), F.lit(SALTS)).cast("int")).otherwise(0))
+    out = found.join(bodies, ["response_id", "salt"], "left")
     own = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*PINNED))
     kept = F.map_filter("stored", lambda k, v: ~F.map_contains_key(own, k))
     headers = F.when(F.col("response_id").isNotNull() & F.col("stored").isNotNull(), F.map_concat(kept, own)).otherwise(F.col("headers"))
@@ -120,9 +133,10 @@ def _head(f: io.BufferedIOBase) -> tuple[str, dict[str, str]]:
     return first, fields
 
 
-def parse_records(data: bytes) -> Iterator[tuple[str, str | None, str | None, int | None, dict[str, str], bytes]]:
-    """(type, url, date, status, headers, body) of the response and revisit records of a file, gzipped or not."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+def parse_records(data: bytes | pa.Buffer) -> Iterator[tuple[str, str | None, str | None, int | None, dict[str, str], bytes]]:
+    """(type, url, date, status, headers, body) of the response and revisit records of a file, gzipped or not, read as a stream."""
+    raw = pa.BufferReader(data)
+    f = io.BufferedReader(gzip.GzipFile(fileobj=raw) if bytes(memoryview(data)[:2]) == b"\x1f\x8b" else raw)
     while True:
         first, fields = _head(f)
         if not first and not fields:
@@ -140,22 +154,34 @@ def parse_records(data: bytes) -> Iterator[tuple[str, str | None, str | None, in
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: id (file and place), url, time (seconds), revisit, etag, last_modified, digest, headers, body."""
+    """Records of WARC files: id (file and place), url, time (seconds), revisit, etag, last_modified, digest, headers, body.
+
+    A file is one task's work: its compressed bytes (under 2 GB, as Spark reads binary files) and one batch of about READ_BYTES of
+    bodies are in memory at a time.
+    """
+    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = ["id", "url", "date", "revisit", "etag", "last_modified", "digest", "headers", "body"]
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for part in batches:
-            for name, data in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                rows = [
-                    (f"{name}#{k}", url, date, kind == "revisit", h.get("etag"), h.get("last-modified"), None if kind == "revisit" else hashlib.sha1(body).hexdigest(), list(h.items()), body)
-                    for k, (kind, url, date, _, h, body) in enumerate(parse_records(data))
-                ]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-                kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
-                names = ["id", "url", "date", "revisit", "etag", "last_modified", "digest", "headers", "body"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
+            for name, data in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
+                rows, size = [], 0
+                for k, (kind, url, date, _, h, body) in enumerate(parse_records(data.as_buffer())):
+                    digest = None if kind == "revisit" else hashlib.sha1(body).hexdigest()
+                    rows.append((f"{name}#{k}", url, date, kind == "revisit", h.get("etag"), h.get("last-modified"), digest, list(h.items()), body))
+                    size += len(body)
+                    if size >= READ_BYTES or len(rows) >= 10_000:
+                        yield pack(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield pack(rows)
+
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(run, "id string, url string, date string, revisit boolean, etag string, last_modified string, digest string, headers map<string,string>, body binary")
     return rows.withColumn("time", F.unix_timestamp(F.try_to_timestamp("date"))).drop("date")

@@ -39,6 +39,21 @@ def test_hot_url(spark):
     assert {(r["id"], r["response_id"]) for r in out.collect()} == {(f"v{i}", f"r{i}") for i in range(200)}
 
 
+def test_far_dates_and_unresolved_rows(spark):
+    rows = [row(f"r{i}", "h/x", 1000 + i, etag="e", headers={}, body=str(i)) for i in range(300)]
+    rows += [row("far", "h/y", 10**15, etag="e", headers={}, body="far"), row("early", "h/z", -(10**15), etag="e", body="early")]
+    rows += [row(f"v{i}", "h/x", 1000 + i, True, "e") for i in range(1, 300)] + [row(f"n{i}", "h/none", 5, True, "e") for i in range(50)] + [row("w", "h/z", 7, True, "e")]
+    got = {r["id"]: (r["response_id"], r["body"]) for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA), 64).collect()}
+    assert got == {f"v{i}": (f"r{i - 1}", str(i - 1)) for i in range(1, 300)} | {f"n{i}": (None, None) for i in range(50)} | {"w": ("early", "early")}
+
+
+def test_repeated_responses_of_one_id(spark):
+    rows = [row("r", "h/x", 1, etag="e", body="old", headers={"a": "1"}), row("r", "h/x", 2, etag="e", body="new", headers={"a": "2"}), row("v", "h/x", 3, True, "e")]
+    for order in (rows, rows[::-1]):
+        out = resolve_revisits(spark.createDataFrame(order, SCHEMA)).first()
+        assert out["body"] == "new" and out["headers"] == {"a": "2"}
+
+
 def test_canonical(spark):
     urls = ["http://H.com:80/p/?b=2&utm_source=x&a=1#f", "https://h.com/p?a=1&b=2", "h.com/p/", "HTTP://h.com/p?ref=1"]
     out = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u"))).collect()]
@@ -50,6 +65,12 @@ def test_files(spark, tmp_path):
     two = write_record("revisit", "http://h/x", "2024-01-02T00:00:00Z", {"ETag": 'W/"v"'}, b"", "304 Not Modified")
     assert [(k, s, b) for k, _, _, s, _, b in parse_records(one + two)] == [("response", 200, b"<p>\r\n\r\nhi"), ("revisit", 304, b"")]
     assert list(parse_records(gzip.decompress(one) + gzip.decompress(two))) == list(parse_records(one + two))
+    many = b"".join(write_record("response", f"http://h/{i}", "2024-01-01T00:00:00Z", {}, bytes(1 << 20)) for i in range(20))
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "b.warc.gz").write_bytes(many)
+    (tmp_path / "many" / "none.warc").write_bytes(b"")
+    big = read_warc(spark, str(tmp_path / "many"))
+    assert big.selectExpr("count(*)", "count(DISTINCT id)", "sum(octet_length(body))").first()[:] == (20, 20, 20 << 20)
     (tmp_path / "a.warc.gz").write_bytes(one + two)
     out = resolve_revisits(read_warc(spark, str(tmp_path / "*.warc.gz"))).first()
     assert out["verdict"] == "resolved" and bytes(out["body"]) == b"<p>\r\n\r\nhi" and out["headers"]["content-type"] == "text/html"
