@@ -74,6 +74,20 @@ def test_cascade_order_is_by_worth_and_stops_early(docs):
     assert cascade(rules, Doc(b"x")) == "first" and not hits
 
 
+def test_cascade_order_counts_what_earlier_rules_left(spark):
+    import time
+
+    from barflow.llm.quality_rules import Rule
+
+    rows = spark.createDataFrame([(i, f"{'a' if i < 10 else 'b' if i < 15 else 'c'} text") for i in range(30)], "doc_id long, text string")
+    one = Rule("one", lambda d: d.text.startswith(b"a"))
+    same = Rule("same", lambda d: time.sleep(1e-4) or d.text.startswith(b"a"))
+    other = Rule("other", lambda d: time.sleep(1e-3) or d.text.startswith(b"b"))
+    order = estimate(rows, (other, same, one))
+    assert [(e.rule, e.rejected) for e in order] == [("one", 10), ("other", 5), ("same", 0)]
+    assert estimate(rows.where("false"), (one, same))[0].seen == 0
+
+
 def test_license_scan(docs, none):
     out = license_scan(docs)
     same(out, [(i, *brute.licences(t)) for i, t in ROWS], "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
