@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import table
 from barflow.llm.decontamination import decontamination
+from barflow.llm.fill_in_middle import fill_in_middle, restored
+from barflow.llm.hard_negatives import hard_negatives
 from barflow.llm.license_scan import license_scan
 from barflow.llm.lm_scoring import lm_scoring
 from barflow.llm.ngram_join import ngram_join
-from barflow.llm.oracle import OP5, OP8, OP10
+from barflow.llm.oracle import OP5, OP8, OP10, OP11, OP13
 from barflow.llm.packing import packing
 from barflow.llm.quality_classifier import quality_classifier
 from barflow.llm.quality_rules import quality_rules
+from barflow.llm.secret_scan import secret_scan
 from barflow.llm.suffix_dedup import suffix_dedup
 from barflow.llm.token_counts import token_counts
 from barflow.llm.warc import crawl, resolve_revisits
@@ -70,8 +73,36 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the fixed forms, their digest, and all spans as text."""
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    n = lambda kind: F.size(of(kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, the output's digest, and that of the text rebuilt from the output and its form."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op4_quality_classifier, op5_ngram_join, op6_warc_revisits, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_lm_scoring, op4_quality_classifier, op5_ngram_join, op6_warc_revisits, op7_license_scan, op8_decontamination, op9_suffix_dedup, op10_quality_rules, op11_hard_negatives, op12_secret_scan, op13_fill_in_middle)
 }
 
 #: The crawl of op6, by an as-of join.
@@ -103,4 +134,4 @@ SELECT page_id, canonical, CASE WHEN tag = rtag THEN rid END AS response_id,
 FROM j
 """
 
-ORACLE: dict[str, str] = {"op5_ngram_join": OP5, "op6_warc_revisits": _OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10}
+ORACLE: dict[str, str] = {"op5_ngram_join": OP5, "op6_warc_revisits": _OP6, "op8_decontamination": OP8, "op10_quality_rules": OP10, "op11_hard_negatives": OP11, "op13_fill_in_middle": OP13}
