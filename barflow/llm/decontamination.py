@@ -9,8 +9,9 @@ longest match, whatever else is in its slice, and the words under matches are ex
 The array is sparse: a suffix enters it only if the next words are all benchmark words, as many as the shortest window
 that starts with its word, since no test suffix can match elsewhere; and a test suffix is searched only in shards that have a
 place with its first two words. Training text is never shuffled. The benchmark's words, its suffix order and the windows' items
-are arrays built once on the driver, some 40 bytes for each word, and broadcast; a benchmark over CHUNK_BYTES of text goes in
-several chunks, and each further chunk is one more pass.
+are arrays built on the driver, some 40 bytes for each word, and broadcast; a benchmark over CHUNK_BYTES of text goes in several
+chunks, one after another: a chunk's matches are written and its broadcast is destroyed before the next is fetched, so neither the
+driver nor a worker ever holds two. Equal items with fewer words than a window are searched once.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; told apart by 64-bit hashes. NULL and empty texts and items have no
 words: such an item has no window, such a document is clean. An item without id marks words, but is neither counted nor named.
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +109,12 @@ class TestSuffixes:
         long = spot[own & (least == window)]
         #: places of suffixes with a window of full length, in suffix order; then whole items with fewer words
         self.order = suffix_order(self.flat, run, long)
-        self.short = first[sizes < window]
+        equal: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero(sizes < window).tolist():
+            equal.setdefault(self.flat[first[k] : first[k] + sizes[k]].tobytes(), []).append(k)
+        #: equal items with fewer words are one group, so that a place meets each length once; the groups' items, and the place of one
+        self.short_items = list(equal.values())
+        self.short = first[[own[0] for own in self.short_items]] if self.short_items else first[:0]
         self.head, self.short_head = _heads(self.flat, self.order), _heads(self.flat, self.short)
         #: suffixes in a row that begin with one window are one group
         new = np.ones(len(self.order), bool)
@@ -172,7 +180,7 @@ class Shard:
         return lo
 
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Longest matches: place, words, place in the tests, and group of the window (-1 - item for an item with fewer words)."""
+        """Longest matches: place, words, place in the tests, and group of the window (-1 - group for items with fewer words)."""
         t, none = self.tests, np.zeros(0, np.int64)
         out = [(none, none, none, none)]
         if not len(self.places):
@@ -190,12 +198,11 @@ class Shard:
             out.append((self.places[hit], words[hit], t.order[best[hit]], t.group[best[hit]]))
         pick = np.flatnonzero(np.isin(t.short_head >> 32, heads >> 32))
         if len(pick):
-            item = np.searchsorted(t.first, t.short[pick], "right") - 1
             depth = _runs(t.flat)[t.short[pick]]
             lo, hi = (self.insertion(t.short[pick], t.short_head[pick], depth, x) for x in (False, True))
             n = hi - lo
             at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out.append((self.places[at], np.repeat(depth, n), np.repeat(t.short[pick], n), -1 - np.repeat(item, n)))
+            out.append((self.places[at], np.repeat(depth, n), np.repeat(t.short[pick], n), -1 - np.repeat(pick, n)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def documents(self) -> dict[int, tuple[list[str], list[dict]]]:
@@ -208,7 +215,7 @@ class Shard:
         for d, g in np.unique(np.stack((doc, group), 1), axis=0).tolist():
             if g >= 0 and g not in held:
                 held[g] = t.of_group(g)
-            items.setdefault(d, set()).update(held[g] if g >= 0 else (-1 - g,))
+            items.setdefault(d, set()).update(held[g] if g >= 0 else t.short_items[-1 - g])
         order = np.lexsort((-words, place))
         place, words, test, doc = place[order], words[order], test[order], doc[order]
         end = place + words
@@ -237,15 +244,13 @@ def _chunks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, row_col: str | None = None,
-) -> list[DataFrame]:
-    """For each chunk of the benchmark a row per document: doc_id, n_words, items (names), found, and row_col as `row` if given.
+    docs: DataFrame, items: list, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, row_col: str | None = None,
+) -> tuple[DataFrame, Broadcast]:
+    """For one chunk of items a row per document: doc_id, n_words, items (names), found, and row_col as `row` if given; and what was broadcast.
 
     `found` is an array of (item, doc_word, item_word, words): the longest matches from left to right, each with one item that
     has it; items are named as text. Rows are those of docs, none is left out.
     """
-    spark = docs.sparkSession
     cols = narrowed(docs, id_col, text_col) if row_col is None else docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("text"), F.col(row_col).alias("row")
     )
@@ -255,22 +260,19 @@ def matches(
         T.StructField("found", T.ArrayType(T.StructType([T.StructField("item", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("doc_word", "item_word", "words"))]))),
         *([T.StructField("row", T.LongType())] if row_col else []),
     ])
-    out = []
-    for items in [*_chunks(benchmark, item_col, item_text_col, chunk_bytes)] or [[]]:  # without items every document is clean
-        held = spark.sparkContext.broadcast(TestSuffixes(items, window))  # built from at most chunk_bytes of text
+    held = docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                words = [alnum_words(t) for t in part.column("text").to_pylist()]
-                own = Shard(words, held.value).documents()
-                none = ([], [])
-                items, found = zip(*(own.get(k, none) for k in range(len(words))), strict=True)
-                arrays = [part.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(found, found_type)]
-                yield pa.RecordBatch.from_arrays(arrays + ([part.column("row")] if row_col else []), names=schema.fieldNames())
-            trim()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            words = [alnum_words(t) for t in part.column("text").to_pylist()]
+            own = Shard(words, held.value).documents()
+            none = ([], [])
+            items, found = zip(*(own.get(k, none) for k in range(len(words))), strict=True)
+            arrays = [part.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(found, found_type)]
+            yield pa.RecordBatch.from_arrays(arrays + ([part.column("row")] if row_col else []), names=schema.fieldNames())
+        trim()
 
-        out.append(cols.mapInArrow(run, schema))
-    return out
+    return cols.mapInArrow(run, schema), held
 
 
 def _digest(found: list[dict], items: list[str], n_words: int) -> tuple[int, int, str]:
@@ -291,15 +293,18 @@ def decontamination(
     if size > chunk_bytes:
         # several passes: rows get a number that stays with them
         docs = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "decontamination")
-        parts = matches(docs, benchmark, "__id", "__text", item_col, item_text_col, window, chunk_bytes, "__row")
-        one = parts[0]
-        for p in parts[1:]:
-            one = one.unionByName(p)
+        parts = []
+        for items in _chunks(benchmark, item_col, item_text_col, chunk_bytes):  # one at a time: its matches are written before the next is fetched
+            part, held = matches(docs, items, "__id", "__text", window, "__row")
+            parts.append(written(part, "matches"))
+            held.destroy()
+        one = reduce(DataFrame.unionByName, parts)
         one = one.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("found")).alias("found")
         ).drop("row")
     else:
-        one = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, window, chunk_bytes)[0]
+        items = [x for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes) for x in chunk]  # one chunk, or none: then every document is clean
+        one, _ = matches(docs, items, id_col, text_col, window)
     kind = one.schema["doc_id"].dataType.simpleString()
     found_kind = one.schema["found"].dataType.simpleString()
 
@@ -322,8 +327,11 @@ def decontamination(
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no window of the benchmark stands."""
     spark = docs.sparkSession
-    out = docs
+    out, held = docs, None
     for items in _chunks(benchmark, item_col, item_text_col, chunk_bytes):
+        if held:  # what the last chunk left is written, so that one stage never holds two
+            out = written(out, "clean")
+            held.destroy()
         held = spark.sparkContext.broadcast(TestSuffixes(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,7 @@ def test_decontamination(spark, docs, none):
     same(decontamination(docs, bench), want, *names)
     same(decontamination(docs, bench, chunk_bytes=40), want, *names)  # several passes over a benchmark beyond the bound
     same(keep_clean(docs, bench), [(i,) for i, *_, bad in want if not bad], "doc_id")
+    same(keep_clean(docs, bench, chunk_bytes=40), [(i,) for i, *_, bad in want if not bad], "doc_id")
     assert not decontamination(docs, bench.where("false")).where("contaminated").count()
     assert decontamination(none, bench).count() == 0
 
@@ -146,6 +147,30 @@ def test_longest_matches(spark, docs):
     assert [(f["item"], f["doc_word"], f["item_word"], f["words"]) for f in found] == [("1", 5, 0, 11), (None, 20, 0, 2)]
 
 
+def test_chunks_come_one_at_a_time(spark, monkeypatch):
+    """A chunk's suffixes are built only after the one before has been searched and written."""
+    from barflow.llm import decontamination as de
+
+    alive, most = [], []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: (alive.append(x), most.append(len(alive)), broadcast(sc, x))[2])
+    monkeypatch.setattr(de.Broadcast, "destroy", lambda self, blocking=False: alive.pop())
+    docs = spark.createDataFrame([(1, "tale5 tale6"), (2, "word")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"tale{k} tale{k + 1}") for k in range(12)], "item_id long, text string")
+    same(decontamination(docs, bench, chunk_bytes=30), [(1, 1), (2, 0)], "doc_id", "n_items")
+    same(keep_clean(docs, bench, chunk_bytes=30), [(2,)], "doc_id")
+    assert max(most) <= 2 and len(most) > 8  # the last one of keep_clean stays for its reader
+
+
+def test_equal_short_items_are_searched_once():
+    from barflow.llm.decontamination import Shard, TestSuffixes
+
+    shard = Shard([[b"yes"] * 20000], TestSuffixes([(i, b"Yes") for i in range(2000)] + [(5000, b"yes yes")], 10))
+    assert len(shard.search()[0]) == 20000 + 19999
+    names, found = shard.documents()[0]
+    assert len(names) == 2001 and sum(f["words"] for f in found) >= 20000
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_matches_of_a_shard_against_plain_search(seed):
     """Words hit, items, and each place's longest match, on small alphabets with long repeats, short items, ties and nulls."""
