@@ -52,33 +52,63 @@ def subsequence(a, b):
     return best[-1]
 
 
-def licence_labels(texts, templates, rare, band, share):
+def edits(a, b):
+    """Words put in, left out, changed or swapped with their neighbour."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def licence_labels(texts, templates, stretch, top, votes, band, edit, share):
     """Labels and score of each text, with every template tried at every word."""
     each = [ALNUM.findall(low(t)) for t in texts]
     df = Counter(w for words in each for w in set(words))
+    owns = [ALNUM.findall(low(t.text)) for t in templates]
+    vocab = {w for own in owns for w in own}
     out = []
     for words in each:
-        labels, score = set(), 0.0
-        for t in templates:
-            own = ALNUM.findall(low(t.text))
-            keys = [ALNUM.findall(k) for k in t.key]
-            at = [next(i for i in range(len(own)) if own[i : i + len(k)] == k) for k in keys]
-            few = sorted(range(len(own)), key=lambda j: (df[own[j]], j))[:rare]
-            for s in range(len(words)):
-                if words[s : s + len(keys[0])] != keys[0]:
-                    continue
-                d, fit = s - at[0], 1.0
-                around = lambda j: words[max(0, d + j - band) : max(0, d + j + band + 1)]  # noqa: B023, E731
-                if not t.base:
-                    if 2 * sum(own[j] in around(j) for j in few) < len(few):
+        labels, score, seen = set(), 0.0, []
+        for s in range(0, len(words), stretch):
+            some = words[s : s + stretch]
+            best = sorted(vocab & set(some), key=lambda w: (df[w], w.encode()))[:top]
+            seen += [w if w in best else None for w in some]
+        for t, own in zip(templates, owns, strict=True):
+            n, half = len(own), (len(own) + 1) // 2
+            if t.base:
+                if any(words[s : s + n] == own for s in range(len(words))):
+                    labels.add(t.label)
+                    score = 1.0
+                continue
+            rare = sorted(range(n), key=lambda j: (df[own[j]], j))[:half]
+            wide, d = max(band, n // 8), -n
+            at = lambda d: {j for j in range(n) if 0 <= d + j < len(seen) and seen[d + j] == own[j]}  # noqa: B023, E731
+            while d < len(words):
+                agree = set().union(*(at(x) for x in range(d, d + wide + 1))) if at(d) else set()
+                fit = None
+                if len(agree) >= min(votes, half) and agree & set(rare):
+                    region = lambda p, more: [(own.index(p[0], k), k) for k in range(n) if own[k : k + len(p)] == p][0][1] + d - wide  # noqa: B023, E731
+                    fit = subsequence(own, words[max(0, d - wide) : max(0, d + n + 2 * wide)]) / n
+                    for name in t.names:
+                        p = ALNUM.findall(name)
+                        lo = region(p, 0)
+                        if not any(words[x : x + len(p)] == p for x in range(max(0, lo), max(0, lo + 3 * wide + 1))):
+                            fit = None
+                    for sentence in t.key:
+                        p = ALNUM.findall(sentence)
+                        lo, most = region(p, 0), len(p) // edit
+                        part = words[max(0, lo) : max(0, lo + 3 * wide + len(p) + most)]
+                        if not any(edits(part[x:y], p) <= most for x in range(len(part)) for y in range(x, min(len(part), x + len(p) + most) + 1)):
+                            fit = None
+                    if fit is not None and fit >= share:
+                        labels.add(t.label)
+                        score = max(score, fit)
+                        d += wide + 1
                         continue
-                    if not all(any(words[x : x + len(k)] == k for x in range(max(0, d + j - band), max(0, d + j + band + 1))) for j, k in zip(at, keys, strict=True)):
-                        continue
-                    fit = subsequence(own, words[max(0, d - band) : d + len(own) + band]) / len(own)
-                    if fit < share:
-                        continue
-                labels.add(t.label)
-                score = max(score, fit)
+                d += 1
         out.append((",".join(sorted(labels)), score))
     return out
 

@@ -108,6 +108,8 @@ def test_license_labels_and_scores_against_plain_search(spark):
         for w in words:
             x = rng.random()
             out += [] if x < 0.04 else [w, rng.choice(prose)] if x < 0.08 else [rng.choice(prose)] if x < 0.11 else [w]
+            if x > 0.97 and len(out) > 1:
+                out[-2:] = out[:-3:-1]
         return out
 
     texts = []
@@ -118,13 +120,16 @@ def test_license_labels_and_scores_against_plain_search(spark):
     texts += [
         "Licensed under the Apache Software License, Version 2.0", "Permission is hereby granted, free of any charge, to any person obtaining a copy", None, "",
         "Redistribution and use in source and binary forms", "the mit license",
+        ls.TEMPLATES[6].text.replace("is hereby granted", "is hereby freely granted"), ls.TEMPLATES[6].text.replace("obtaining a copy", "obtaining a verbatim copy"),
+        ls.TEMPLATES[6].text.replace("hereby", "", 1).replace("person obtaining", "obtaining person"), "// SPDX-License-Identifier: Apache-2.0", "MIT License Copyright (c) 2020 N N", "used under the Apache-2.0 license",
     ]
     out = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     found = Counter()
-    for i, (labels, score) in enumerate(brute.licence_labels(texts, ls.TEMPLATES, ls.RARE, ls.BAND, ls.SHARE)):
+    for i, (labels, score) in enumerate(brute.licence_labels(texts, ls.TEMPLATES, ls.STRETCH, ls.TOP, ls.VOTES, ls.BAND, ls.EDIT, ls.SHARE)):
         assert (out[i]["labels"], round(out[i]["score"], 9)) == (labels, round(score, 9)), texts[i]
         found.update(labels.split(","))
     assert len(found) > 15 and out[240]["labels"] == "apache-2.0" and out[241]["labels"] == "mit" and out[244]["labels"] == ""
+    assert [out[k]["labels"] for k in range(246, 252)] == ["mit", "mit", "mit", "apache-2.0", "mit", "apache-2.0"]
 
 
 def test_decontamination(spark, docs, none):
