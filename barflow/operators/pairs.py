@@ -23,7 +23,12 @@ def screen(rows: DataFrame, critical: float = -2.86, cutoff: float = 0.45, bars_
     """A row for each pair: beta, n_bars, gamma, adf_stat, sigma, h, half_life_bars, half_life_days, qualifies."""
     s = spreads(rows)
     tests = stats.changes(s, KEY, "spread").groupBy(*KEY).agg(F.first("beta").alias("beta"), F.count("*").alias("n_bars"), *stats.unit_root())
-    out = tests.join(stats.hurst_by(s, KEY, "spread"), KEY).withColumn("half_life_bars", stats.half_life())
+    return ranked(tests.join(stats.hurst_by(s, KEY, "spread"), KEY), critical, cutoff, bars_per_day, beta_range)
+
+
+def ranked(tests: DataFrame, critical: float, cutoff: float, bars_per_day: float | None = None, beta_range: tuple[float, float] | None = None) -> DataFrame:
+    """The verdict on each pair's a, b, beta, n_bars, gamma, tau, sigma, h, best unit-root statistic first."""
+    out = tests.withColumn("half_life_bars", stats.half_life())
     good = (F.col("tau") < critical) & (F.col("h") < cutoff) & F.col("half_life_bars").isNotNull()
     if beta_range:
         good &= (F.col("beta") > beta_range[0]) & (F.col("beta") < beta_range[1])

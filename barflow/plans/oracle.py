@@ -8,6 +8,10 @@ BARS = """bars AS (
   SELECT e.event_type AS symbol, date_trunc('hour', e.ts) AS ts, arg_min(e.value, e.ts) AS open, max(e.value) AS high,
     min(e.value) AS low, arg_max(e.value, e.ts) AS close, count(*) AS volume
   FROM events e WHERE e.value > 0 GROUP BY e.event_type, date_trunc('hour', e.ts))"""
+#: The same columns for users, in steps of six hours.
+USERS = """bars AS (
+  SELECT CAST(user_id AS VARCHAR) AS symbol, time_bucket(INTERVAL 6 HOURS, ts) AS ts, arg_max(value, (ts, event_id)) AS close
+  FROM events WHERE value > 0 GROUP BY ALL)"""
 CAL = """cal AS (
   SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS sess,
     row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS size
@@ -307,6 +311,9 @@ ORACLE: dict[str, str] = {
     "pair_screen_full": f"""WITH {spreads()}, {df('spr', 'a, b', 'spread')}, {hurst('spr', ['a', 'b'], 'spread')}
       SELECT a || '/' || b AS pair, {rnd('f.beta', 'beta')}, {rnd('tau', 'adf_stat')}, {rnd('h')}, {rnd('hl', 'half_life_bars')}, {rnd('hl / 24', 'half_life_days')}, (SELECT count(*) FROM spr s WHERE s.a = adf.a AND s.b = adf.b) AS n_bars,
         coalesce(tau < -2.86 AND h < 0.45 AND hl IS NOT NULL, FALSE) AS qualifies FROM adf JOIN hu USING (a, b) JOIN fit f USING (a, b)""",
+    "pair_screen_wide": f"""WITH {spreads(12).replace(BARS, USERS)}, {df('spr', 'a, b', 'spread')}, {hurst('spr', ['a', 'b'], 'spread')}, cnt AS (SELECT a, b, count(*) AS n_bars FROM spr GROUP BY a, b)
+      SELECT a || '/' || b AS pair, round(f.beta, 4) + 0.0 AS beta, round(tau, 4) + 0.0 AS adf_stat, round(h, 4) + 0.0 AS h, n_bars, coalesce(tau < -2.86 AND h < 0.45 AND hl IS NOT NULL, FALSE) AS qualifies
+      FROM cnt JOIN fit f USING (a, b) JOIN adf USING (a, b) LEFT JOIN hu USING (a, b)""",
     "pair_screen_intraday": f"""WITH {spreads(200, 'sess < 18')}, {df('spr', 'a, b', 'spread')}, {hurst('spr', ['a', 'b'], 'spread')}
       SELECT a || '/' || b AS pair, {rnd('f.beta', 'beta')}, {rnd('tau', 'adf_stat')}, {rnd('h')}, coalesce(tau < -2.86 AND h < 0.45 AND hl IS NOT NULL AND beta > 0 AND beta < 3, FALSE) AS qualifies FROM adf JOIN hu USING (a, b) JOIN fit f USING (a, b)""",
     "selected_pair": f"""WITH {spreads()}, {df('spr', 'a, b', 'spread')}, {hurst('spr', ['a', 'b'], 'spread')}, q AS (
@@ -519,3 +526,5 @@ def _cell(x: int, t: int) -> str:
 
 ORACLE["parameter_grid_neutral"] = " UNION ALL ".join(_cell(x, t) for x in (10, 15, 20, 30, 40) for t in (1, 2, 3))
 ORACLE["neighborhood_stability"] = f"SELECT count(*) AS cells, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')}, min(sharpe) < 0 AS fragile FROM ({ORACLE['parameter_grid_neutral']})"
+
+ORACLE["pair_screen_tiles"] = ORACLE["pair_screen_full"]

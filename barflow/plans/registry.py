@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing
+from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing, tiles
 from barflow.plans.oracle import ORACLE  # noqa: F401
-from barflow.sources.bars import complete, daily, hourly, table
+from barflow.sources.bars import by_user, complete, daily, hourly, table
 from barflow.streaming.bars import bar_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,6 +231,20 @@ def pair_screen_full(spark, d):
     return screened(spark, d)
 
 
+@query
+def pair_screen_tiles(spark, d):
+    """The same screen from tiles of symbols, without joint rows."""
+    s = tiles.screen(hourly(spark, d), 200, bars_per_day=24.0)
+    return s.select("pair", r("beta"), r("adf_stat"), r("h"), r("half_life_bars"), r("half_life_days"), n("n_bars"), "qualifies")
+
+
+@query
+def pair_screen_wide(spark, d):
+    """Every two users with 12 joint bars of six hours: a panel of thousands of symbols, full of gaps."""
+    short = lambda c: F.round(c, 4) + F.lit(0.0)
+    return tiles.screen(by_user(spark, d), 12).select("pair", short("beta").alias("beta"), short("adf_stat").alias("adf_stat"), short("h").alias("h"), n("n_bars"), "qualifies")
+
+
 @query
 def pair_screen_intraday(spark, d):
     """In-sample sessions only, with sane hedge ratios."""
