@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm.common import shared_dir, ship, trim
@@ -102,8 +102,10 @@ def volume(blocks: DataFrame) -> int:
 
 
 def shards(size: int, per_shard: int) -> int:
-    """Number of shards for so many text bytes."""
-    return max(1, -(-size // per_shard))
+    """Number of shards or tasks for so many text bytes: one for `per_shard` of them, and as many as there are cores while blocks are as many."""
+    session = SparkSession.getActiveSession()
+    cores = session.sparkContext.defaultParallelism if session else 1
+    return max(1, -(-size // per_shard), min(cores, -(-size // BLOCK_BYTES)))
 
 
 def shard_slices(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
