@@ -156,6 +156,21 @@ VOL_FOLD = machine(
     "bar",
 )
 
+#: Regimes of volatility: every session's window of five sessions unfolded.
+REGIME = f"""wn AS (
+  SELECT s.symbol, s.sess AS refit, r.bar AS i, r.sess, r.rv
+  FROM (SELECT DISTINCT symbol, sess FROM rv WHERE close IS NOT NULL) s JOIN rv r ON r.symbol = s.symbol AND r.sess BETWEEN s.sess - 5 AND s.sess - 1 WHERE r.rv IS NOT NULL),
+  {df('wn', 'symbol, refit', 'rv')}, {hurst('wn', ['symbol', 'refit'], 'rv')}, reg AS (
+  SELECT s.symbol, s.sess, coalesce(a.n, 0) AS n, a.tau, CASE WHEN NOT isnan(hu.h) THEN hu.h END AS h, coalesce(a.tau < -2.86 AND hu.h < 0.5, FALSE) AS ok
+  FROM (SELECT DISTINCT symbol, sess FROM rv WHERE close IS NOT NULL) s LEFT JOIN adf a ON a.symbol = s.symbol AND a.refit = s.sess LEFT JOIN hu ON hu.symbol = s.symbol AND hu.refit = s.sess)"""
+OOS = "(SELECT floor((max(sess) + 1) * 0.6) FROM cal)"
+VOL_FOLD_OK = machine(
+    "so", "symbol",
+    "CASE WHEN NOT s.ok THEN 0.0 WHEN m.pos = 0 THEN CASE WHEN s.z > 1.5 AND NOT s.fin THEN s.side ELSE 0.0 END WHEN s.z <= 0.5 THEN 0.0 WHEN s.z > 3.5 THEN 0.0 ELSE m.pos END",
+    "CASE WHEN s.fin THEN 0.0 ELSE u.nxt0 END, CASE WHEN m.pos <> 0 AND NOT s.ok THEN 'regime break' WHEN m.pos <> 0 AND u.nxt0 = 0 THEN CASE WHEN s.z <= 0.5 THEN 'vol normalized' ELSE 'vol kept expanding' END WHEN s.fin AND u.nxt0 <> 0 THEN 'end of day' END, FALSE",
+    "bar",
+)
+
 BOOK = """sc0 AS (SELECT *, coalesce(spread - lag(spread) OVER (PARTITION BY a, b ORDER BY i), 0.0) AS change FROM zs), sc1 AS (
   SELECT *, CASE WHEN count(change) OVER w >= 5 THEN stddev_samp(change) OVER w END AS sigma FROM sc0
   WINDOW w AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)), tgt AS (
@@ -345,6 +360,11 @@ ORACLE: dict[str, str] = {
     "state_machine_spread": f"{SPREAD_FOLD} SELECT a, b, i, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
     "state_machine_intraday": f"WITH RECURSIVE {SESSION_Z}, {INTRADAY_FOLD} SELECT a, b, i, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
     "state_machine_vol": f"WITH RECURSIVE {PANEL}, {DMI_OWN}, {DMI_SUMS}, {DI}, {RV}, {RVZ}, {VOL_SIDE}, {VOL_FOLD} SELECT symbol, bar, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0",
+    "vol_regimes": f"WITH {PANEL}, {RV}, {REGIME} SELECT symbol, sess, n, {rnd('tau')}, {rnd('h')}, ok AS qualified FROM reg",
+    "vol_walk_forward": f"WITH {PANEL}, {RV}, {RVZ}, {REGIME} SELECT zs.symbol, zs.bar, {rnd('zs.z', 'z')}, reg.ok AS qualified FROM zs JOIN reg USING (symbol, sess) WHERE zs.sess >= {OOS}",
+    "vol_walk_forward_positions": f"""WITH RECURSIVE {PANEL}, {DMI_OWN}, {DMI_SUMS}, {DI}, {RV}, {RVZ}, {VOL_SIDE}, {REGIME}, so AS (
+      SELECT sd.*, reg.ok FROM sd JOIN cal USING (bar) JOIN reg ON reg.symbol = sd.symbol AND reg.sess = cal.sess WHERE cal.sess >= {OOS}), {VOL_FOLD_OK}
+      SELECT symbol, bar, {rnd('shown', 'position')}, closed AS entry, reason FROM m WHERE q > 0""",
     "vol_target_scale": f"{SPREAD_BOOK} SELECT a, b, i, {rnd('sigma')}, {rnd('scale')} FROM sc",
     "spread_pnl": f"{SPREAD_BOOK} SELECT a, b, i, {rnd('pnl')} FROM book",
     "trade_log": f"""{SPREAD_BOOK} SELECT a, b, entry_ts, exit_ts, direction, CASE WHEN direction = 'long' THEN 'buy ' || a || ' / sell ' || b ELSE 'sell ' || a || ' / buy ' || b END AS label,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing, tiles
+from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing, tiles, volatility
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import by_user, complete, daily, hourly, table
 from barflow.streaming.bars import bar_stream
@@ -328,16 +328,7 @@ def state_machine_intraday(spark, d):
 
 
 def _vol_rows(spark, d):
-    b = bars(spark, d)
-    x = ind.realized_vol(b, 12)
-    x = pairs.session_z(x, "rv", ["symbol"], 60, 10, 20.0, "bar").withColumn("z", F.when(F.col("rv").isNull(), 0.0).otherwise(F.col("z")))
-    di = ind.dmi(b, 14, "warm")
-    x = x.join(di, ["symbol", "bar"])
-    back = F.ln("close") - F.ln(panel.shifted("close", 6))
-    side = F.when(F.col("plus_di").isNotNull() & ~F.isnan("plus_di"), F.when(F.col("minus_di") > F.col("plus_di"), 1.0).when(F.col("plus_di") > F.col("minus_di"), -1.0).otherwise(0.0)).otherwise(
-        F.when(back < 0, 1.0).when(back > 0, -1.0).otherwise(0.0)
-    )
-    return x.withColumn("side", side)
+    return volatility.signals(bars(spark, d), volatility.VolParams())
 
 
 @query
@@ -912,6 +903,42 @@ def vol_basket(spark, d):
     return x.groupBy("bar").agg(F.sum("pnl").alias("s")).crossJoin(names).select(n("bar"), r(F.col("s") * 100_000.0 / F.col("k"), "won"))  # names is one row
 
 
+#: The volatility book on this panel of 30 sessions: regimes over five sessions.
+VOL = volatility.VolParams(lookback=5)
+
+
+@query
+def vol_regimes(spark, d):
+    """Each session's regime of each symbol over the five sessions before it."""
+    rows = ind.realized_vol(bars(spark, d), VOL.window)
+    return volatility.regimes(rows, VOL).select("symbol", n("sess"), n("n"), r("tau"), r("h"), "qualified")
+
+
+@query
+def vol_walk_forward(spark, d):
+    """Bars out of sample: z within the session, and the session's regime."""
+    return volatility.walk_forward(bars(spark, d), VOL).select("symbol", n("bar"), r("z"), "qualified")
+
+
+@query
+def vol_walk_forward_positions(spark, d):
+    """Positions under the regime check of each session; reason tells why one closes."""
+    f = machine.positions(volatility.walk_forward(bars(spark, d), VOL), ["symbol"], volatility.machine_rule(VOL), "bar")
+    return f.select("symbol", n("bar"), r("position"), n("entry"), "reason")
+
+
+@query
+def vol_book(spark, d):
+    """The whole book sized by each session's volatility forecast: every bar's scale and profit."""
+    return volatility.book(hourly(spark, d), VOL).book.select("symbol", n("bar"), "qualified", r("sigma"), r("scale"), r("position"), r("pnl"))
+
+
+@query
+def vol_book_stats(spark, d):
+    b = volatility.book(hourly(spark, d), VOL)
+    return b.stats(PER_YEAR).select("symbol", r("ann_return"), r("sharpe"), r("max_drawdown"), n("n_trades"), n("n_stops"), n("n_breaks"), r("disqualified"))
+
+
 @query
 def trade_amounts(spark, d):
     x = Rotation(spark, d)
