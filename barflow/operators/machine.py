@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow.operators import scans
 from barflow.session import ship
 
 
@@ -29,12 +30,18 @@ class Rule:
 
 def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule: Rule, enter: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, list, list]:
     """Position of each row, and where a position closes the entry's row and the reason. enter, stop: thresholds of each row, NaN for the rule's."""
+    return fold_from(z, ok, last, side, enter, stop, rule)[:3]
+
+
+def fold_from(
+    z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, enter: np.ndarray | None, stop: np.ndarray | None, rule: Rule, pos: float = 0.0, at: int | None = None
+) -> tuple[np.ndarray, list, list, float, int | None]:
+    """fold() from a position `pos` that began at row `at`, and the position and its row after the last row."""
     n = len(z)
     limit = np.inf if rule.stop is None else rule.stop
     enter = np.full(n, rule.entry) if enter is None else np.where(np.isnan(enter), rule.entry, enter)
     stop = np.full(n, limit) if stop is None else np.where(np.isnan(stop), limit, stop)
     position, entered, reason = np.zeros(n), [None] * n, [None] * n
-    pos, at = 0.0, None
     for t in range(n):
         why = None
         x = z[t]
@@ -62,23 +69,33 @@ def fold(z: np.ndarray, ok: np.ndarray, last: np.ndarray, side: np.ndarray, rule
             entered[t], reason[t] = at, why
             pos, at = 0.0, None
         position[t] = pos
-    return position, entered, reason
+    return position, entered, reason, pos, at
+
 
+def arrays(p: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """What fold_from() reads, of rows in order."""
+    flag = lambda c: p[c].fillna(False).to_numpy(bool)
+    return p["z"].to_numpy(float), flag("qualified"), flag("is_last"), p["side"].fillna(0).to_numpy(float), p["entry_z"].to_numpy(float), p["stop_z"].to_numpy(float)
 
-def positions(rows: DataFrame, keys: list[str], rule: Rule, order: str = "i") -> DataFrame:
-    """keys, order, position, entry (row at which a position that closes here began), reason. rows: z, and if there qualified, is_last, side, entry_z, stop_z."""
+
+def positions(rows: DataFrame, keys: list[str], rule: Rule, order: str = "i", block: int | None = None) -> DataFrame:
+    """keys, order, position, entry (row at which a position that closes here began), reason. rows: z, and if there qualified, is_last, side, entry_z, stop_z.
+
+    block: order numbers of a stretch that one task folds; a series is then many tasks (see `scans`). None: a series is one.
+    """
     has = rows.columns
     src = rows.select(
         *keys, order, "z", (F.col("qualified") if "qualified" in has else F.lit(True)).alias("qualified"),
         (F.col("is_last") if "is_last" in has else F.lit(False)).alias("is_last"), (F.col("side") if "side" in has else F.lit(0)).cast("double").alias("side"),
         *((F.col(c) if c in has else F.lit(None)).cast("double").alias(c) for c in ("entry_z", "stop_z")),
     )
+    if block:
+        return scans.positions(src, keys, rule, order, block)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(order)
-        ok = p["qualified"].fillna(False).to_numpy(bool)
-        pos, entered, reason = fold(p["z"].to_numpy(float), ok, p["is_last"].fillna(False).to_numpy(bool), p["side"].fillna(0).to_numpy(float), rule, p["entry_z"].to_numpy(float), p["stop_z"].to_numpy(float))
+        pos, entered, reason, *_ = fold_from(*arrays(p), rule)
         at = p[order].to_numpy()
         out = p[[*keys, order]].reset_index(drop=True)
         out["position"] = pos

@@ -548,3 +548,4 @@ ORACLE["parameter_grid_neutral"] = " UNION ALL ".join(_cell(x, t) for x in (10,
 ORACLE["neighborhood_stability"] = f"SELECT count(*) AS cells, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')}, min(sharpe) < 0 AS fragile FROM ({ORACLE['parameter_grid_neutral']})"
 
 ORACLE["pair_screen_tiles"] = ORACLE["pair_screen_full"]
+ORACLE |= {f"{name}_scan": ORACLE[same] for name, same in (("macd", "macd"), ("rsi", "rsi"), ("dmi", "dmi_panel"), ("state_machine", "state_machine_spread"))}

@@ -155,6 +155,27 @@ def dmi_intraday(spark, d):
     return _dmi(spark, d, "warm", ["plus_di", "minus_di"])
 
 
+#: Bars of a block in the queries that scan: a symbol's month is some thirty tasks.
+BARS = 24
+
+
+@query
+def macd_scan(spark, d):
+    """The same as macd, each symbol in blocks of a day."""
+    return ind.macd(bars(spark, d), 12, 26, 9, BARS).select("symbol", n("bar"), r("macd"), r("signal"), r("hist"))
+
+
+@query
+def rsi_scan(spark, d):
+    return ind.rsi(bars(spark, d), 14, BARS).select("symbol", n("bar"), r("rsi"))
+
+
+@query
+def dmi_scan(spark, d):
+    """The same as dmi_panel, absent bars included."""
+    return ind.dmi(bars(spark, d), 14, "panel", BARS).select("symbol", n("bar"), r("plus_di"), r("minus_di"), r("adx"))
+
+
 @query
 def topn_rank(spark, d):
     s = rotation.signals(bars(spark, d), LOOKBACK, FAST, SLOW).where("ok AND roc IS NOT NULL")
@@ -318,6 +339,13 @@ def state_machine_spread(spark, d):
     return f.select(*PAIR, n("i"), r("position"), n("entry"), "reason")
 
 
+@query
+def state_machine_scan(spark, d):
+    """The same as state_machine_spread, each pair in blocks of 50 rows."""
+    f = machine.positions(_spread_rows(spark, d), PAIR, machine.Rule(), block=50)
+    return f.select(*PAIR, n("i"), r("position"), n("entry"), "reason")
+
+
 @query
 def state_machine_intraday(spark, d):
     rows = pairs.session_z(pairs.spreads(joint(spark, d)), "spread", PAIR)
