@@ -7,6 +7,8 @@ clock are one plan: each signal row is a decision of exactly one phase.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,13 +142,104 @@ def buy_and_hold(signal: DataFrame, start: int) -> DataFrame:
     return signal.where(F.col("bar") >= start).groupBy("bar").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("pnl"))
 
 
-#: Selection rules: name -> (mask, score), over signal columns roc, ok, plus_di, minus_di, adx, vol, hurst.
-def variants(adx_min: float = 20.0, hurst_min: float = 0.5) -> dict[str, tuple[Column, Column]]:
+def rules(di: str = "", hurst: str = "") -> dict[str, tuple[Column, Column, Column | None]]:
+    """Selection rules: name -> (mask, score, what a threshold is held against, if any), over signal columns roc, ok, vol, plus_di,
+    minus_di, adx (these with the suffix `di`) and hurst (with the suffix `hurst`)."""
     c, yes = F.col, F.col("ok") & F.col("roc").isNotNull()
-    up, strong, lasting = c("plus_di") > c("minus_di"), c("adx") >= adx_min, c("hurst") >= hurst_min
-    risk = F.when(c("vol") > 0, c("roc") / c("vol"))
+    plus, minus, adx, lasting = c(f"plus_di{di}"), c(f"minus_di{di}"), c(f"adx{di}"), c(f"hurst{hurst}")
+    up, risk = plus > minus, F.when(c("vol") > 0, c("roc") / c("vol"))
     return {
-        "baseline": (yes, c("roc")), "di_gate": (up, c("roc")), "ma_and_di": (yes & up, c("roc")), "ma_and_adx": (yes & strong, c("roc")),
-        "ma_di_adx": (yes & up & strong, c("roc")), "rank_by_di": (yes & up, c("plus_di") - c("minus_di")), "rank_by_adx_weighted": (yes & strong, c("roc") * c("adx") / 100),
-        "risk_adjusted": (yes, risk), "ma_and_hurst": (yes & lasting, c("roc")), "hurst_and_di": (lasting & up, c("roc")), "risk_adjusted_di": (yes & up, risk),
+        "baseline": (yes, c("roc"), None), "di_gate": (up, c("roc"), None), "ma_and_di": (yes & up, c("roc"), None), "ma_and_adx": (yes, c("roc"), adx),
+        "ma_di_adx": (yes & up, c("roc"), adx), "rank_by_di": (yes & up, plus - minus, None), "rank_by_adx_weighted": (yes, c("roc") * adx / 100, adx),
+        "risk_adjusted": (yes, risk, None), "ma_and_hurst": (yes, c("roc"), lasting), "hurst_and_di": (up, c("roc"), lasting), "risk_adjusted_di": (yes & up, risk, None),
     }
+
+
+def variants(adx_min: float = 20.0, hurst_min: float = 0.5) -> dict[str, tuple[Column, Column]]:
+    """The rules at one setting: name -> (mask, score)."""
+    return {k: (mask if gate is None else mask & (gate >= (hurst_min if "hurst" in k else adx_min)), score) for k, (mask, score, gate) in rules().items()}
+
+
+#: Rules by what they depend on.
+BY_ADX, BY_HURST = ("ma_and_adx", "ma_di_adx", "rank_by_adx_weighted"), ("ma_and_hurst", "hurst_and_di")
+BY_DI = ("di_gate", "ma_and_di", "rank_by_di", "risk_adjusted_di", "hurst_and_di", *BY_ADX)
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Windows and thresholds around each rule's own setting, and that setting."""
+
+    di: tuple[int, ...] = (14, 45, 126)
+    adx: tuple[float, ...] = (10.0, 15.0, 20.0, 25.0, 30.0)
+    near_adx: tuple[float, ...] = (15.0, 20.0, 25.0, 30.0)
+    hurst: tuple[int, ...] = (150, 250, 400)
+    level: tuple[float, ...] = (0.45, 0.50, 0.55, 0.60)
+    base: tuple[int, int, float, float] = (45, 250, 20.0, 0.5)
+
+
+@dataclass(frozen=True)
+class Cell:
+    """A rule at one setting; in its grid (the plateau view), in its neighbourhood (median and worst), its own setting."""
+
+    variant: str
+    di: int | None
+    hurst: int | None
+    level: float | None
+    grid: bool
+    near: bool
+    own: bool
+
+
+def cells(a: Axes = Axes()) -> list[Cell]:
+    """Every setting that grid, neighbourhood or summary of a rule needs, each once."""
+    di, window, adx, level = a.base
+    out = []
+    for v in rules():
+        if v in BY_HURST:
+            for d in a.di if v in BY_DI else (di,):
+                for w in a.hurst:
+                    if d == di or w == window:
+                        out += [Cell(v, d, w, x, d == di, w == window, (d, w, x) == (di, window, level)) for x in a.level]
+        elif v in BY_DI:
+            for d in a.di:
+                out += [Cell(v, d, None, x, True, x in (None, *a.near_adx), d == di and x in (None, adx)) for x in (a.adx if v in BY_ADX else (None,))]
+        else:
+            out.append(Cell(v, None, None, None, False, True, True))
+    return out
+
+
+def _reaches(gate: Column):
+    return lambda x: F.coalesce(gate >= x["level"], F.lit(False))
+
+
+def cell_baskets(signal: DataFrame, of: list[Cell], start: int, every: int, top: int, bars: int) -> DataFrame:
+    """cell (place in `of`), phase, t0, symbol, weight of every setting and phase in one plan.
+
+    Rows are dealt by time once and unfolded afterwards: to the rules and windows that admit them, then to the thresholds that they
+    reach; ranking needs no further shuffle.
+    """
+    t0 = F.col("bar") + 1
+    rows = signal.where((t0 >= start) & (t0 < bars)).withColumn("t0", t0).repartition("t0")
+    groups: dict[tuple, list[int]] = {}
+    for k, c in enumerate(of):
+        groups.setdefault((c.variant, c.di, c.hurst), []).append(k)
+    choice = []
+    for (v, d, w), own in groups.items():
+        mask, score, gate = rules(f"_{d}" if d else "", f"_{w}" if w else "")[v]
+        reached = F.array(*(F.struct(F.lit(k).alias("cell"), F.lit(of[k].level).cast("double").alias("level")) for k in own))
+        if gate is not None:
+            reached = F.filter(reached, _reaches(gate))
+        choice.append(F.struct(F.when(F.coalesce(mask, F.lit(False)), score).cast("double").alias("score"), F.transform(reached, lambda x: x["cell"]).alias("at")))
+    rows = rows.select("symbol", "t0", F.explode(F.filter(F.array(*choice), lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]))).alias("c"))
+    rows = rows.select("symbol", "t0", "c.score", F.explode("c.at").alias("cell"))
+    best = Window.partitionBy("t0", "cell").orderBy(F.desc("score"), "symbol")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    weight = 1 / F.count("*").over(Window.partitionBy("t0", "cell"))
+    return rows.select("cell", F.pmod(F.col("t0") - start, F.lit(every)).alias("phase"), "t0", "symbol", weight.alias("weight"))
+
+
+def neutral_profit(held: DataFrame, signal: DataFrame, clock: DataFrame, count: int, start: int, every: int, bars: int) -> DataFrame:
+    """cell, bar, pnl: the mean over all phases at each bar from which on all have begun; 0 where nothing is held."""
+    sums = contributions(held, signal, every, bars, ("cell",)).groupBy("cell", "bar").agg((F.sum("part") / every).alias("pnl"))
+    at = clock.where(F.col("bar") >= start + every).select("bar", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("cell"))
+    return at.join(sums, ["cell", "bar"], "left").select("cell", "bar", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))

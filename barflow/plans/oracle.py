@@ -544,8 +544,85 @@ def _cell(x: int, t: int) -> str:
     return f"SELECT * FROM (WITH {rotation(lookback=x, top=t, phases=24)}, mean_pnl AS ({mean}), {stat('mean_pnl', '')} SELECT CAST({x} AS BIGINT) AS lookback, CAST({t} AS BIGINT) AS top, {rnd('ann_return')}, {rnd('sharpe')} FROM perf)"
 
 
-ORACLE["parameter_grid_neutral"] = " UNION ALL ".join(_cell(x, t) for x in (10, 15, 20, 30, 40) for t in (1, 2, 3))
-ORACLE["neighborhood_stability"] = f"SELECT count(*) AS cells, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')}, min(sharpe) < 0 AS fragile FROM ({ORACLE['parameter_grid_neutral']})"
+ORACLE["lookback_top_grid"] = " UNION ALL ".join(_cell(x, t) for x in (10, 15, 20, 30, 40) for t in (1, 2, 3))
+ORACLE["grid_stability"] = f"SELECT count(*) AS cells, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')}, min(sharpe) < 0 AS fragile FROM ({ORACLE['lookback_top_grid']})"
+
+#: Bars that wander: running sums of the deviations of the hours at which every symbol has a bar.
+WALKS = BARS.replace("bars AS", "raw AS", 1) + """, w0 AS (
+  SELECT r.*, 0.05 * (ln(close) - avg(ln(close)) OVER (PARTITION BY symbol)) AS x FROM raw r
+  WHERE ts IN (SELECT ts FROM raw GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM raw))), w1 AS (
+  SELECT symbol, ts, volume, exp(sum(x) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS close FROM w0), w2 AS (
+  SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY ts), close) AS open FROM w1), bars AS (
+  SELECT symbol, ts, open, greatest(open, close) AS high, least(open, close) AS low, close, volume FROM w2)"""
+
+
+def _dmi_of(w: int) -> str:
+    """The directional indices of one window on the dense grid, as pd<w>; needs dm."""
+    means = ", ".join(ewm(f"{a}{w}", "dm", x, 1 / w, "bar") for a, x in (("atr", "tr"), ("sp", "pdm"), ("sm", "mdm")))
+    return f"""{means}, di{w} AS (
+  SELECT d.symbol, d.bar, 100 * p.y / nullif(a.y, 0) AS plus_di, 100 * m.y / nullif(a.y, 0) AS minus_di
+  FROM dm d JOIN atr{w} a USING (symbol, bar) JOIN sp{w} p USING (symbol, bar) JOIN sm{w} m USING (symbol, bar)),
+  {DX.replace("dx AS (", f"dx{w} AS (", 1).replace("FROM di", f"FROM di{w}")}, {ewm(f"ax{w}", f"dx{w}", "dx", 1 / w, "bar")}, pd{w} AS (
+  SELECT d.symbol, d.bar, d.plus_di AS plus_di_{w}, d.minus_di AS minus_di_{w}, a.y AS adx_{w} FROM dx{w} d JOIN ax{w} a USING (symbol, bar))"""
+
+
+def _hurst_of(w: int) -> str:
+    body = f"""an AS (SELECT bar AS t FROM cal WHERE bar >= {w - 1} AND (bar - {w - 1}) % 9 = 0), wn AS (
+      SELECT g.symbol, a.t, g.bar AS i, ln(g.close) AS x, count(g.close) OVER (PARTITION BY g.symbol, a.t) AS known FROM an a JOIN grid g ON g.bar > a.t - {w} AND g.bar <= a.t), wf AS (
+      SELECT * FROM wn WHERE known = {w}), {hurst('wf', ['symbol', 't'], 'x')}"""
+    return f"""rh{w} AS (SELECT g.symbol, g.bar, last_value(h.h IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar) AS hurst_{w}
+      FROM grid g LEFT JOIN (WITH {body} SELECT * FROM hu) h ON h.symbol = g.symbol AND h.t = g.bar)"""
+
+
+def _rule(v: str, d: int, w: int) -> tuple[str, str, str | None]:
+    """Mask, score and what a threshold is held against."""
+    yes, up, risk = "ok AND roc IS NOT NULL", f"plus_di_{d} > minus_di_{d}", "CASE WHEN vol > 0 THEN roc / vol END"
+    return {
+        "baseline": (yes, "roc", None), "di_gate": (up, "roc", None), "ma_and_di": (f"{yes} AND {up}", "roc", None), "ma_and_adx": (yes, "roc", f"adx_{d}"),
+        "ma_di_adx": (f"{yes} AND {up}", "roc", f"adx_{d}"), "rank_by_di": (f"{yes} AND {up}", f"plus_di_{d} - minus_di_{d}", None),
+        "rank_by_adx_weighted": (yes, f"roc * adx_{d} / 100", f"adx_{d}"), "risk_adjusted": (yes, risk, None), "ma_and_hurst": (yes, "roc", f"hurst_{w}"),
+        "hurst_and_di": (up, "roc", f"hurst_{w}"), "risk_adjusted_di": (f"{yes} AND {up}", risk, None),
+    }[v]
+
+
+def _settings() -> list[tuple]:
+    """variant, DMI window, Hurst window, threshold, in the grid, in the neighbourhood, own setting; written out rule by rule."""
+    out = [(v, None, None, None, False, True, True) for v in ("baseline", "risk_adjusted")]
+    out += [(v, d, None, None, True, True, d == 45) for v in ("di_gate", "ma_and_di", "rank_by_di", "risk_adjusted_di") for d in (14, 45, 126)]
+    out += [(v, d, None, x, True, x >= 15, (d, x) == (45, 20)) for v in ("ma_and_adx", "ma_di_adx", "rank_by_adx_weighted") for d in (14, 45, 126) for x in (10, 15, 20, 25, 30)]
+    out += [(v, 45, w, x, True, w == 250, (w, x) == (250, 0.5)) for v in ("ma_and_hurst", "hurst_and_di") for w in (150, 250, 400) for x in (0.45, 0.5, 0.55, 0.6)]
+    return out + [("hurst_and_di", d, 250, x, False, True, False) for d in (14, 126) for x in (0.45, 0.5, 0.55, 0.6)]
+
+
+def _rule_cells() -> str:
+    cands = []
+    for k, (v, d, w, x, *_) in enumerate(_settings()):
+        mask, score, gate = _rule(v, d or 45, w or 250)
+        cands.append(f"SELECT {k} AS cell, symbol, bar + 1 AS t0, {score} AS score FROM ft WHERE {mask}" + (f" AND {gate} >= {x}" if gate else ""))
+    null = lambda x, kind: f"CAST({'NULL' if x is None else x} AS {kind})"
+    names = ", ".join(f"({k}, '{v}', {null(d, 'BIGINT')}, {null(w, 'BIGINT')}, {null(x, 'DOUBLE')}, {g}, {m}, {o})" for k, (v, d, w, x, g, m, o) in enumerate(_settings()))
+    moves = _PANEL_DMI[: _PANEL_DMI.index(ewm("atr", "dm", "tr", 1 / 14, "bar"))].rstrip(" ,\n")
+    return f"""WITH RECURSIVE {PANEL.replace(BARS, WALKS)}, {moves}, {", ".join(_dmi_of(w) for w in (14, 45, 126))}, {", ".join(_hurst_of(w) for w in (150, 250, 400))}, sig AS (
+  SELECT symbol, bar, close, ln(close) - lag(ln(close)) OVER w AS ret, close / lag(close, 20) OVER w - 1 AS roc, coalesce(({mean("close", 10)}) > ({mean("close", 30)}), FALSE) AS ok FROM grid {W}), {RV}, ft AS MATERIALIZED (
+  SELECT s.*, v.rv AS vol, {", ".join(f"plus_di_{w}, minus_di_{w}, adx_{w}" for w in (14, 45, 126))}, {", ".join(f"hurst_{w}" for w in (150, 250, 400))}
+  FROM sig s JOIN rv v USING (symbol, bar) {" ".join(f"JOIN pd{w} USING (symbol, bar)" for w in (14, 45, 126))} {" ".join(f"JOIN rh{w} USING (symbol, bar)" for w in (150, 250, 400))}), prm AS (
+  SELECT (SELECT min(bar) FROM cal WHERE sess = floor((SELECT max(sess) + 1 FROM cal) * 0.6)) AS start, (SELECT count(*) FROM cal) AS bars), cand AS ({" UNION ALL ".join(cands)}), dec AS (
+  SELECT c.*, row_number() OVER (PARTITION BY cell, t0 ORDER BY score DESC, symbol) AS rank FROM cand c, prm WHERE score IS NOT NULL AND t0 >= start AND t0 < bars), held AS (
+  SELECT cell, t0, symbol, 1.0 / count(*) OVER (PARTITION BY cell, t0) AS weight FROM dec WHERE rank <= 2), sums AS (
+  SELECT h.cell, g.bar, sum(h.weight * coalesce(g.ret, 0)) / 24 AS pnl FROM held h JOIN sig g ON g.symbol = h.symbol AND g.bar >= h.t0 AND g.bar < h.t0 + 24 GROUP BY ALL), nm AS (
+  SELECT * FROM (VALUES {names}) t(cell, variant, di_window, hurst_window, level, grid, near, own)), neutral AS (
+  SELECT nm.cell, c.bar, coalesce(s.pnl, 0) AS pnl FROM nm CROSS JOIN cal c CROSS JOIN prm LEFT JOIN sums s ON s.cell = nm.cell AND s.bar = c.bar WHERE c.bar >= start + 24), {stat('neutral', 'cell')}, rc AS (
+  SELECT * FROM nm JOIN perf USING (cell))"""
+
+
+_CELLS = _rule_cells()
+ORACLE |= {
+    "parameter_grid_neutral": f"{_CELLS} SELECT variant, di_window, hurst_window, level, {rnd('ann_return')}, {rnd('sharpe')} FROM rc WHERE grid",
+    "neighborhood_stability": f"{_CELLS} SELECT variant, count(sharpe) AS settings, {rnd('median(sharpe)', 'median')}, {rnd('min(sharpe)', 'worst')} FROM rc WHERE near GROUP BY variant",
+    "variant_verdicts": f"""{_CELLS}, hold AS (SELECT avg(p) * 6048 / nullif(stddev_pop(p) * sqrt(6048), 0) AS hold FROM (SELECT bar, coalesce(avg(ret), 0) AS p FROM sig, prm WHERE bar >= start GROUP BY bar)), v AS (
+      SELECT variant, max(CASE WHEN own THEN sharpe END) AS sharpe, median(CASE WHEN grid THEN sharpe END) AS median, min(CASE WHEN grid THEN sharpe END) AS worst FROM rc GROUP BY variant)
+      SELECT variant, {rnd('sharpe')}, {rnd('hold')}, coalesce(sharpe > hold, FALSE) AS beats, {rnd('median')}, {rnd('worst')}, coalesce(worst < 0, FALSE) AS fragile FROM v, hold""",
+}
 
 ORACLE["pair_screen_tiles"] = ORACLE["pair_screen_full"]
 ORACLE |= {f"{name}_scan": ORACLE[same] for name, same in (("macd", "macd"), ("rsi", "rsi"), ("dmi", "dmi_panel"), ("state_machine", "state_machine_spread"))}

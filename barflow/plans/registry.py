@@ -11,7 +11,7 @@ from barflow.functions import models, stats
 from barflow.operators import indicators as ind
 from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing, tiles, volatility
 from barflow.plans.oracle import ORACLE  # noqa: F401
-from barflow.sources.bars import by_user, complete, daily, hourly, table
+from barflow.sources.bars import by_user, complete, daily, hourly, table, walks
 from barflow.streaming.bars import bar_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,8 +435,8 @@ def beta_stability(spark, d):
 class Rotation:
     """The rotation of one panel, with its calendar's size and split taken first (two small aggregates)."""
 
-    def __init__(self, spark, d, lookback=LOOKBACK, every=EVERY, top=TOP, phases=1, start=None, score=None, mask=None, extra=None):
-        raw = hourly(spark, d)
+    def __init__(self, spark, d, lookback=LOOKBACK, every=EVERY, top=TOP, phases=1, start=None, score=None, mask=None, extra=None, raw=None):
+        raw = hourly(spark, d) if raw is None else raw
         self.clock = panel.calendar(raw)
         self.bars = (self.clock.agg(F.max("bar")).first()[0] or -1) + 1
         found = panel.split(raw, FRACTION).first()
@@ -595,20 +595,64 @@ def parameter_grid(spark, d):
 
 
 @query
-def parameter_grid_neutral(spark, d):
-    """Fifteen cells, each over all phases of the clock: statistics of the mean over the phases, from the bar on at which all have begun."""
+def lookback_top_grid(spark, d):
+    """Fifteen cells of lookback and names held, each over all phases: statistics of the mean over the phases, from the bar on at which all have begun."""
     pnl, start = _grid(spark, d, [10, 15, 20, 30, 40], (1, 2, 3), EVERY)
     mean = pnl.where(F.col("bar") >= start + EVERY).groupBy("lookback", "top", "bar").agg(F.avg("pnl").alias("pnl"))
     return results.performance(mean, ["lookback", "top"], PER_YEAR).select("lookback", "top", r("ann_return"), r("sharpe"))
 
 
 @query
-def neighborhood_stability(spark, d):
-    """Median and worst Sharpe ratio over the fifteen phase-neutral cells, and whether the rule is fragile (a cell loses)."""
-    g = QUERIES["parameter_grid_neutral"](spark, d)
+def grid_stability(spark, d):
+    """Median and worst Sharpe ratio over those fifteen cells, and whether one of them loses."""
+    g = QUERIES["lookback_top_grid"](spark, d)
     return g.agg(F.count("*").alias("cells"), F.median("sharpe").alias("median"), F.min("sharpe").alias("worst")).select(n("cells"), r("median"), r("worst"), (F.col("worst") < 0).alias("fragile"))
 
 
+def _rule_cells(spark, d):
+    """Every rule at every setting of its windows and thresholds, phase-neutral, in one plan; and the rotation behind it."""
+    of, axes = rotation.cells(), rotation.Axes()
+
+    def features(rows, signal):
+        vol = ind.realized_vol(rows, 12).select("symbol", "bar", F.col("rv").alias("vol"))
+        lasting = ind.rolling_hursts(rows, axes.hurst).select("symbol", "bar", *(F.nanvl(f"hurst_{w}", F.lit(None)).alias(f"hurst_{w}") for w in axes.hurst))
+        return signal.join(vol, ["symbol", "bar"]).join(ind.dmi_windows(rows, axes.di), ["symbol", "bar"]).join(lasting, ["symbol", "bar"])
+
+    x = Rotation(spark, d, extra=features, raw=walks(complete(hourly(spark, d))))
+    held = rotation.cell_baskets(x.signal, of, x.start, EVERY, TOP, x.bars)
+    stats_ = results.performance(rotation.neutral_profit(held, x.signal, x.clock, len(of), x.start, EVERY, x.bars), ["cell"], PER_YEAR)
+    kind = "cell int, variant string, di_window int, hurst_window int, level double, grid boolean, near boolean, own boolean"
+    names = spark.createDataFrame([(k, c.variant, c.di, c.hurst, c.level, c.grid, c.near, c.own) for k, c in enumerate(of)], kind)  # one row for each setting
+    return names.join(stats_, "cell"), x
+
+
+@query
+def parameter_grid_neutral(spark, d):
+    """The grid of each rule with knobs: DMI window and ADX threshold, DMI window alone, or Hurst window and threshold."""
+    g, _ = _rule_cells(spark, d)
+    return g.where("grid").select("variant", n("di_window"), n("hurst_window"), "level", r("ann_return"), r("sharpe"))
+
+
+@query
+def neighborhood_stability(spark, d):
+    """Median and worst Sharpe ratio around each rule's own setting, over the settings that trade, and how many those are."""
+    g, _ = _rule_cells(spark, d)
+    x = g.where("near").groupBy("variant").agg(F.count("sharpe").alias("settings"), F.median("sharpe").alias("median"), F.min("sharpe").alias("worst"))
+    return x.select("variant", n("settings"), r("median"), r("worst"))
+
+
+@query
+def variant_verdicts(spark, d):
+    """Every rule at its own setting against holding all names, and whether a cell of its own grid loses (a rule without knobs is not fragile)."""
+    g, x = _rule_cells(spark, d)
+    hold = results.performance(rotation.buy_and_hold(x.signal, x.start).withColumn("k", F.lit(1)), ["k"], PER_YEAR).select(F.col("sharpe").alias("hold"))
+    on = lambda flag, value: F.when(F.col(flag), F.col(value))
+    v = g.groupBy("variant").agg(F.max(on("own", "sharpe")).alias("sharpe"), F.median(on("grid", "sharpe")).alias("median"), F.min(on("grid", "sharpe")).alias("worst"))
+    v = v.crossJoin(hold)  # one row
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return v.select("variant", r("sharpe"), r("hold"), yes(F.col("sharpe") > F.col("hold")).alias("beats"), r("median"), r("worst"), yes(F.col("worst") < 0).alias("fragile"))
+
+
 @query
 def perturbation(spark, d):
     """Each parameter nudged by ten per cent either way (whole numbers are cut), and the change of the Sharpe ratio."""
@@ -1168,16 +1212,6 @@ def variant_shortlist(spark, d):
     return x.orderBy(F.desc("sharpe"), "variant").limit(4).select("variant", "sharpe")
 
 
-@query
-def variant_verdicts(spark, d):
-    """Every selection rule against holding all names, and whether the fifteen cells of the grid make the family fragile."""
-    v = QUERIES["variant_summary"](spark, d)
-    hold = v.where("variant = 'buy_and_hold'").select(F.col("sharpe").alias("hold"))
-    worst = QUERIES["neighborhood_stability"](spark, d).select("worst", "fragile")
-    x = v.where("variant <> 'buy_and_hold'").crossJoin(hold).crossJoin(worst)  # both are one row
-    return x.select("variant", "sharpe", (F.col("sharpe") > F.col("hold")).alias("beats"), "fragile")
-
-
 @query
 def leaderboard_full(spark, d):
     """All three families by deflated Sharpe ratio: rotation, mean reversion out of sample, factor residuals."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.session import ship
@@ -52,6 +52,15 @@ def complete(bars: DataFrame) -> DataFrame:
     return bars.join(full, "ts", "left_semi")
 
 
+def walks(bars: DataFrame, scale: float = 0.05) -> DataFrame:
+    """Bars whose logs are the running sums of each symbol's deviations from its mean log price: prices that wander instead of noise."""
+    w = Window.partitionBy("symbol")
+    x = bars.withColumn("x", F.lit(scale) * (F.ln("close") - F.avg(F.ln("close")).over(w)))
+    x = x.withColumn("close", F.exp(F.sum("x").over(w.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))))
+    x = x.withColumn("open", F.coalesce(F.lag("close").over(w.orderBy("ts")), "close"))
+    return x.select("symbol", "ts", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", "volume")
+
+
 def without_nan(bars: DataFrame) -> DataFrame:
     """NaN prices become NULL: aggregates then skip them."""
     return bars.select(*(F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in bars.dtypes))
