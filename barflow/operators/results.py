@@ -116,12 +116,12 @@ def reasons(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return trades.groupBy(*(keys or []), "exit_reason").agg(F.count("*").alias("n"))
 
 
-def block_bootstrap(rows: DataFrame, values: list[str], length: int, boots: int, order: str = "bar", hashed: bool = False) -> DataFrame:
+def block_bootstrap(rows: DataFrame, values: list[str], length: int, boots: int, order: str = "bar") -> DataFrame:
     """Moving-block bootstrap without materialising resamples: boot, and for each value its sum, sum of squares and count.
 
     Block k of draw b starts at row (7919 b + 104729 k) mod (n - length + 1), a fixed sequence that any engine can repeat; the
     last block is cut so that a draw has n rows. A block is the difference of two running sums. That sequence gives n - length + 1
-    different draws at most; with `hashed`, starts are a hash of b and k instead, for more draws than that.
+    different draws at most; `resampling` has more, and many series at once.
     """
     n = rows.count()
     length = min(length, n)
@@ -136,7 +136,7 @@ def block_bootstrap(rows: DataFrame, values: list[str], length: int, boots: int,
     zero = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("r"), *(F.lit(0.0 if x[0] != "c" else 0).cast("double" if x[0] != "c" else "long").alias(x) for x in names))
     acc = acc.unionByName(zero)
     draws = rows.sparkSession.range(boots * blocks).select(F.floor(F.col("id") / blocks).alias("boot"), (F.col("id") % blocks).alias("k"))
-    first = F.pmod(F.xxhash64("boot", "k") if hashed else F.col("boot") * 7919 + F.col("k") * 104729, F.lit(n - length + 1))
+    first = F.pmod(F.col("boot") * 7919 + F.col("k") * 104729, F.lit(n - length + 1))
     draws = draws.withColumn("r0", first).withColumn("r1", first + F.least(F.lit(length), n - F.col("k") * length))
     a = acc.select(F.col("r").alias("r0"), *(F.col(x).alias(f"{x}0") for x in names))
     b = acc.select(F.col("r").alias("r1"), *(F.col(x).alias(f"{x}1") for x in names))

@@ -624,5 +624,34 @@ ORACLE |= {
       SELECT variant, {rnd('sharpe')}, {rnd('hold')}, coalesce(sharpe > hold, FALSE) AS beats, {rnd('median')}, {rnd('worst')}, coalesce(worst < 0, FALSE) AS fragile FROM v, hold""",
 }
 
+
+
+def _md5_draws(source: str, keys: str, values: list[str], boots: int, at: str = "bar") -> str:
+    """Draws of every key by joining every row of every block; starts from the md5 of key, draw and block."""
+    sums = ", ".join(f"sum({v}) AS s_{v}, sum({v} * {v}) AS q_{v}, count({v}) AS c_{v}" for v in values)
+    name = " || '|' || ".join([*keys.split(", "), "boot", "k"])
+    on = " AND ".join(f"bs.{k} = bk.{k}" for k in keys.split(", "))
+    own = ", ".join(f"bk.{k}" for k in keys.split(", "))
+    return f"""bs AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {at}) - 1 AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}), bz AS (SELECT DISTINCT {keys}, n, least(24, n) AS len FROM bs), bx AS (
+  SELECT *, unnest(range(CAST(ceil(n / len) AS BIGINT))) AS k FROM bz), bk AS (
+  SELECT *, CAST('0x' || md5({name})[1:8] AS BIGINT) % (n - len + 1) AS r0, least(len, n - k * len) AS size FROM bx, (SELECT unnest(range({boots})) AS boot)), dr AS (
+  SELECT {own}, boot, {sums} FROM bk JOIN bs ON {on} AND bs.r >= r0 AND bs.r < r0 + size GROUP BY {own}, boot)"""
+
+
+_ONE = f"WITH {rotation()}, bo AS (SELECT *, 'rotation' AS book FROM pnl), {_md5_draws('bo', 'book', ['pnl'], 2000)}"
+_TWO_BOOKS = f"""WITH {rotation()}, bh AS (SELECT bar, coalesce(avg(ret), 0) AS hold FROM sig, prm WHERE bar >= start AND close IS NOT NULL GROUP BY bar), bo AS (
+  SELECT bar, pnl, hold, 'rotation' AS book FROM pnl JOIN bh USING (bar)), {_md5_draws('bo', 'book', ['pnl', 'hold'], 5000)}, df2 AS (
+  SELECT boot, {boot_sharpe('pnl')} - {boot_sharpe('hold')} AS diff, q_pnl / c_pnl - (s_pnl / c_pnl) ** 2 < q_hold / c_hold - (s_hold / c_hold) ** 2 AS lower FROM dr)"""
+_QUANTILES = f"""{rnd('quantile_cont(sharpe, 0.05)', 'p05')}, {rnd('quantile_cont(sharpe, 0.5)', 'p50')}, {rnd('quantile_cont(sharpe, 0.95)', 'p95')},
+  {rnd('avg(CASE WHEN sharpe > 0 THEN 1.0::DOUBLE ELSE 0.0 END)', 'p_positive')}, count(*) FILTER (sharpe IS NULL) AS degenerate"""
+ORACLE |= {
+    "block_bootstrap_full": f"{_ONE} SELECT boot, {rnd(boot_sharpe('pnl'), 'sharpe')} FROM dr",
+    "bootstrap_significance_full": f"{_ONE}, s AS (SELECT {boot_sharpe('pnl')} AS sharpe FROM dr) SELECT {_QUANTILES} FROM s",
+    "pair_significance": f"{SPREAD_BOOK}, {_md5_draws('book', 'a, b', ['pnl'], 2000, 'i')}, s AS (SELECT a, b, {boot_sharpe('pnl')} AS sharpe FROM dr) SELECT a, b, {_QUANTILES} FROM s GROUP BY a, b",
+    "paired_bootstrap_full": f"{_TWO_BOOKS} SELECT boot, {rnd('diff')} FROM df2",
+    "paired_significance": f"""{_TWO_BOOKS} SELECT {rnd('quantile_cont(diff, 0.05)', 'lo')}, {rnd('quantile_cont(diff, 0.5)', 'mid')}, {rnd('quantile_cont(diff, 0.95)', 'hi')}, {rnd('avg(CASE WHEN diff > 0 THEN 1.0::DOUBLE ELSE 0.0 END)', 'p_better')},
+      {rnd('avg(CASE WHEN lower THEN 1.0::DOUBLE ELSE 0.0 END)', 'p_vol_lower')} FROM df2""",
+}
+
 ORACLE["pair_screen_tiles"] = ORACLE["pair_screen_full"]
 ORACLE |= {f"{name}_scan": ORACLE[same] for name, same in (("macd", "macd"), ("rsi", "rsi"), ("dmi", "dmi_panel"), ("state_machine", "state_machine_spread"))}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import indicators as ind
-from barflow.operators import backtests, factors, machine, pairs, panel, results, rotation, sizing, tiles, volatility
+from barflow.operators import backtests, factors, machine, pairs, panel, resampling, results, rotation, sizing, tiles, volatility
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import by_user, complete, daily, hourly, table, walks
 from barflow.streaming.bars import bar_stream
@@ -709,19 +709,13 @@ DRAWS, FULL_DRAWS, FULL_PAIRED_DRAWS = 200, 2000, 5000
 
 
 def _boot(spark, d, draws):
-    return results.boot_sharpe(results.block_bootstrap(Rotation(spark, d).pnl(), ["pnl"], 24, draws, hashed=draws > DRAWS), "pnl", PER_YEAR)
+    return results.boot_sharpe(results.block_bootstrap(Rotation(spark, d).pnl(), ["pnl"], 24, draws), "pnl", PER_YEAR)
 
 
-def _significance(spark, d, draws):
-    return results.significance(_boot(spark, d, draws)).select(r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
-
-
-def _paired(spark, d, count):
+def _against_hold(spark, d):
+    """bar, pnl of the rotation, hold (all names) and a constant key."""
     x = Rotation(spark, d)
-    both = x.pnl().select("bar", "pnl").join(rotation.buy_and_hold(x.signal, x.start).withColumnRenamed("pnl", "hold"), "bar")
-    draws = results.block_bootstrap(both, ["pnl", "hold"], 24, count, hashed=count > DRAWS)
-    a, b = results.boot_sharpe(draws, "pnl", PER_YEAR), results.boot_sharpe(draws, "hold", PER_YEAR).withColumnRenamed("sharpe", "other")
-    return a.join(b, "boot").select(n("boot"), r(F.col("sharpe") - F.col("other"), "diff"))
+    return x.pnl().select("bar", "pnl").join(rotation.buy_and_hold(x.signal, x.start).withColumnRenamed("pnl", "hold"), "bar").withColumn("book", F.lit("rotation"))
 
 
 @query
@@ -729,29 +723,53 @@ def block_bootstrap(spark, d):
     return _boot(spark, d, DRAWS).select(n("boot"), r("sharpe"))
 
 
+def _boot_full(spark, d):
+    pnl = Rotation(spark, d).pnl().withColumn("book", F.lit("rotation"))
+    return resampling.moments(resampling.draws(pnl, ["book"], ["pnl"], 24, FULL_DRAWS), ["book"], "pnl", PER_YEAR)
+
+
 @query
 def block_bootstrap_full(spark, d):
-    return _boot(spark, d, FULL_DRAWS).select(n("boot"), r("sharpe"))
+    return _boot_full(spark, d).select(n("boot"), r("sharpe"))
 
 
 @query
 def bootstrap_significance(spark, d):
-    return _significance(spark, d, DRAWS)
+    return results.significance(_boot(spark, d, DRAWS)).select(r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
 
 
 @query
 def bootstrap_significance_full(spark, d):
-    return _significance(spark, d, FULL_DRAWS)
+    return resampling.significance(_boot_full(spark, d), ["book"]).select(r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
+
+
+@query
+def pair_significance(spark, d):
+    """The bootstrap of every pair's book in one plan."""
+    drawn = resampling.draws(_book(spark, d)[0], PAIR, ["pnl"], 24, FULL_DRAWS, "i")
+    return resampling.significance(resampling.moments(drawn, PAIR, "pnl", PER_YEAR), PAIR).select(*PAIR, r("p05"), r("p50"), r("p95"), r("p_positive"), n("degenerate"))
 
 
 @query
 def paired_bootstrap(spark, d):
-    return _paired(spark, d, DRAWS)
+    draws = results.block_bootstrap(_against_hold(spark, d), ["pnl", "hold"], 24, DRAWS)
+    a, b = results.boot_sharpe(draws, "pnl", PER_YEAR), results.boot_sharpe(draws, "hold", PER_YEAR).withColumnRenamed("sharpe", "other")
+    return a.join(b, "boot").select(n("boot"), r(F.col("sharpe") - F.col("other"), "diff"))
+
+
+def _paired_full(spark, d):
+    return resampling.paired(_against_hold(spark, d), ["book"], "pnl", "hold", 24, FULL_PAIRED_DRAWS, PER_YEAR)
 
 
 @query
 def paired_bootstrap_full(spark, d):
-    return _paired(spark, d, FULL_PAIRED_DRAWS)
+    return _paired_full(spark, d).select(n("boot"), r("diff"))
+
+
+@query
+def paired_significance(spark, d):
+    """Interval of the difference in Sharpe ratio against holding all names, and the chances of a better ratio and of a lower volatility."""
+    return resampling.interval(_paired_full(spark, d), ["book"]).select(r("lo"), r("mid"), r("hi"), r("p_better"), r("p_vol_lower"))
 
 
 def _evaluations(spark, d):
