@@ -36,12 +36,13 @@ def draws(rows: DataFrame, keys: list[str], values: list[str], length: int, boot
     """keys, boot, and s_, q_, c_ of each value: a draw has as many rows as its series, in blocks of `length` (the last one cut)."""
     acc = running(rows, keys, values, order, chunk)
     names = [f"{p}_{v}" for v in values for p in ("s", "q", "c")]
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("len", F.least(F.lit(length).cast("long"), F.col("n")))
-    block = size.withColumn("boot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(boots - 1).cast("long"))))
-    block = block.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("len")) - 1)))
-    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys), F.col("boot").cast("string"), F.col("k").cast("string"))
-    first = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % (F.col("n") - F.col("len") + 1)
-    block = block.withColumn("r0", first).withColumn("r1", F.col("r0") + F.least("len", F.col("n") - F.col("k") * F.col("len"))).select(*keys, "boot", "r0", "r1")
+    n, size, at = F.col("__n"), F.col("__size"), F.col("__block")  # keys may have any other name
+    block = rows.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__size", F.least(F.lit(length).cast("long"), n))
+    block = block.withColumn("boot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(boots - 1).cast("long"))))
+    block = block.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / size) - 1)))
+    name = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys), F.col("boot").cast("string"), at.cast("string"))
+    first = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % (n - size + 1)
+    block = block.withColumn("r0", first).withColumn("r1", F.col("r0") + F.least(size, n - at * size)).select(*keys, "boot", "r0", "r1")
     side = lambda i: acc.select(*keys, F.col("r").alias(f"r{i}"), *(F.col(c).alias(f"{c}{i}") for c in names))
     found = block.join(side(0), [*keys, "r0"]).join(side(1), [*keys, "r1"])
     return found.groupBy(*keys, "boot").agg(*(F.sum(F.col(f"{c}1") - F.col(f"{c}0")).alias(c) for c in names))
