@@ -12,7 +12,9 @@ from barflow.operators import indicators as ind
 from barflow.operators import backtests, factors, machine, pairs, panel, resampling, results, rotation, sizing, tiles, volatility
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import by_user, complete, daily, hourly, table, walks
-from barflow.streaming.bars import bar_stream
+from barflow.session import scratch
+from barflow.streaming import keyed
+from barflow.streaming.bars import Rotator, bar_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAIR = ["a", "b"]
@@ -183,6 +185,20 @@ def topn_rank(spark, d):
     return s.withColumn("rank", best).where("rank <= 2").select(n("bar"), "symbol", n("rank"), r("roc"))
 
 
+@query
+def stream_rotation(spark, d):
+    """Three portfolios' rotations over the event stream, bars of six hours: orders of the bars that the watermark has closed."""
+    own = spark.newSession()  # the state store is set for this stream alone
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = table(own, d, "events")
+    ticks = own.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")  # a pattern: the table may be a file or a folder
+    ticks = ticks.withColumn("portfolio", F.concat(F.lit("p"), F.pmod("user_id", F.lit(3)))).withColumn("ts", F.col("ts").cast("timestamp"))
+    orders, path = keyed.rotate(ticks, Rotator(5, 3, 6, 4, 2, 100_000.0), symbol="event_type", width="6 hours"), scratch(spark, "stream")
+    run = orders.writeStream.format("parquet").outputMode("append").option("path", f"{path}/orders").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(keyed.ORDERS).parquet(f"{path}/orders")
+
+
 @query
 def bollinger_rsi_cross(spark, d):
     """Crossing signals: RSI up through 30 under the lower band buys, down through 70 over the upper band sells."""

@@ -34,27 +34,35 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     settings = {
         "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df below spark.checkpoint.dir and reads it again: computed once, lineage cut, lost executors cost nothing of it.
-
-    Only where all runs on one host may the setting be absent: a folder of this host is then used. drop_stored() removes the tables.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where all runs on one host and the setting is absent, a folder of this host."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"{tempfile.gettempdir()}/barflow-stored"
-    path = f"{folder.rstrip('/')}/stages/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; drop_stored() removes it."""
+    path = f"{shared_folder(spark)}/stages/{label}-{uuid.uuid4().hex}"
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df below spark.checkpoint.dir and reads it again: computed once, lineage cut, lost executors cost nothing of it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> None:
