@@ -213,7 +213,7 @@ def _reaches(gate: Column):
 
 
 def cell_baskets(signal: DataFrame, of: list[Cell], start: int, every: int, top: int, bars: int) -> DataFrame:
-    """cell (place in `of`), phase, t0, symbol, weight of every setting and phase in one plan.
+    """cell (place in `of`), phase, t0, symbol, rank, weight of every setting and phase in one plan.
 
     Rows are dealt by time once and unfolded afterwards: to the rules and windows that admit them, then to the thresholds that they
     reach; ranking needs no further shuffle.
@@ -235,7 +235,7 @@ def cell_baskets(signal: DataFrame, of: list[Cell], start: int, every: int, top:
     best = Window.partitionBy("t0", "cell").orderBy(F.desc("score"), "symbol")
     rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     weight = 1 / F.count("*").over(Window.partitionBy("t0", "cell"))
-    return rows.select("cell", F.pmod(F.col("t0") - start, F.lit(every)).alias("phase"), "t0", "symbol", weight.alias("weight"))
+    return rows.select("cell", F.pmod(F.col("t0") - start, F.lit(every)).alias("phase"), "t0", "symbol", "rank", weight.alias("weight"))
 
 
 def neutral_profit(held: DataFrame, signal: DataFrame, clock: DataFrame, count: int, start: int, every: int, bars: int) -> DataFrame:

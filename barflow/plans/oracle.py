@@ -625,6 +625,51 @@ ORACLE |= {
 }
 
 
+ORACLE["momentum_hurst_variants"] = f"""{_CELLS} SELECT variant, t0, symbol, rank FROM dec JOIN nm USING (cell), prm
+  WHERE rank <= 2 AND own AND hurst_window IS NOT NULL AND (t0 - start) % 24 = 0"""
+_PERM = ORACLE["permutation_test"].replace("range(20)", "range(400)")
+_AT = _PERM.rindex("SELECT sim,")
+ORACLE["permutation_significance"] = f"""{_PERM[:_AT]}, tt AS ({_PERM[_AT:].replace(rnd('sum(weight * coalesce(g.ret, 0))', 'total'), 'sum(weight * coalesce(g.ret, 0)) AS total')}), rl AS (SELECT coalesce(sum(part), 0) AS real FROM parts)
+  SELECT count(*) AS sims, {rnd('any_value(real)', 'real')}, {rnd('quantile_cont(total, 0.5)', 'p50')}, {rnd('avg(CASE WHEN total >= real - 1e-12 THEN 1.0::DOUBLE ELSE 0.0 END)', 'p_value')} FROM tt, rl"""
+#: Starts from the lookback on to 400 bars before the end, some 45 bars apart.
+ORACLE["start_date_sweep_full"] = f"""WITH {rotation()}, sp AS (SELECT bars, least(24, greatest(2, (bars - 425) // 45)) AS m FROM prm WHERE bars > 425), st AS (
+  SELECT CAST(floor(25 + k * ((bars - 425) / CAST(m - 1 AS DOUBLE))) AS BIGINT) AS s FROM (SELECT *, unnest(range(m)) AS k FROM sp)), d2 AS (
+  SELECT s, bar + 1 AS t0, symbol, row_number() OVER (PARTITION BY s, bar ORDER BY roc DESC, symbol) AS rank FROM sig, st, prm
+  WHERE ok AND roc IS NOT NULL AND bar + 1 >= s AND (bar + 1 - s) % 24 = 0 AND bar + 1 < bars), h2 AS (
+  SELECT *, 1.0 / count(*) OVER (PARTITION BY s, t0) AS weight FROM d2 WHERE rank <= 2), x2 AS (
+  SELECT h.s, g.bar, sum(h.weight * coalesce(g.ret, 0)) AS part FROM h2 h JOIN sig g ON g.symbol = h.symbol AND g.bar >= h.t0 AND g.bar < h.t0 + 24 GROUP BY ALL), p2 AS (
+  SELECT st.s, c.bar, coalesce(x.part, 0) AS pnl FROM st CROSS JOIN cal c LEFT JOIN x2 x ON x.s = st.s AND x.bar = c.bar WHERE c.bar >= st.s), {stat('p2', 's')}
+  SELECT s AS start, n, {rnd('ann_return')}, {rnd('sharpe')} FROM perf"""
+
+
+def _summary() -> str:
+    """Every rule at one setting over all phases, profits and turnover blended, against holding all names."""
+    cands = []
+    for v in ("baseline", "di_gate", "ma_and_di", "ma_and_adx", "ma_di_adx", "rank_by_di", "rank_by_adx_weighted", "risk_adjusted", "risk_adjusted_di", "ma_and_hurst", "hurst_and_di"):
+        mask, score, gate = _rule(v, 14, 120)
+        cands.append(f"SELECT '{v}' AS variant, symbol, bar + 1 AS t0, {score} AS score FROM ft WHERE {mask}" + (f" AND {gate} >= {0.5 if 'hurst' in v else 20}" if gate else ""))
+    moves = _PANEL_DMI[: _PANEL_DMI.index(ewm("atr", "dm", "tr", 1 / 14, "bar"))].rstrip(" ,\n")
+    return f"""WITH RECURSIVE {PANEL}, {moves}, {_dmi_of(14)}, {_hurst_of(120)}, sig AS (
+  SELECT symbol, bar, close, ln(close) - lag(ln(close)) OVER w AS ret, close / lag(close, 20) OVER w - 1 AS roc, coalesce(({mean("close", 10)}) > ({mean("close", 30)}), FALSE) AS ok FROM grid {W}), {RV}, ft AS MATERIALIZED (
+  SELECT s.*, v.rv AS vol, plus_di_14, minus_di_14, adx_14, hurst_120 FROM sig s JOIN rv v USING (symbol, bar) JOIN pd14 USING (symbol, bar) JOIN rh120 USING (symbol, bar) WHERE s.close IS NOT NULL), prm AS (
+  SELECT (SELECT min(bar) FROM cal WHERE sess = floor((SELECT max(sess) + 1 FROM cal) * 0.6)) AS start, (SELECT count(*) FROM cal) AS bars), cand AS ({" UNION ALL ".join(cands)}), dec AS (
+  SELECT c.*, row_number() OVER (PARTITION BY variant, t0 ORDER BY score DESC, symbol) AS rank FROM cand c, prm WHERE score IS NOT NULL AND t0 >= start AND t0 < bars), held AS (
+  SELECT variant, t0, symbol, 1.0 / count(*) OVER (PARTITION BY variant, t0) AS weight FROM dec WHERE rank <= 2), sums AS (
+  SELECT h.variant, g.bar, sum(h.weight * coalesce(g.ret, 0)) / 24 AS pnl, count(*) / 24 AS n FROM held h JOIN sig g ON g.symbol = h.symbol AND g.bar >= h.t0 AND g.bar < h.t0 + 24 GROUP BY ALL), ev AS (
+  SELECT variant, t0 AS bar FROM held h WHERE NOT EXISTS (SELECT 1 FROM held q WHERE q.variant = h.variant AND q.symbol = h.symbol AND q.t0 = h.t0 - 24)
+  UNION ALL
+  SELECT variant, t0 + 24 FROM held h, prm WHERE t0 + 24 < bars AND NOT EXISTS (SELECT 1 FROM held q WHERE q.variant = h.variant AND q.symbol = h.symbol AND q.t0 = h.t0 + 24)), tn AS (
+  SELECT variant, bar, count(*) / 2.0 / 24 AS turnover FROM ev GROUP BY ALL), vs AS (SELECT DISTINCT variant FROM (VALUES {", ".join(f"('{c.split("'")[1]}')" for c in cands)}) t(variant)), mn AS (
+  SELECT vs.variant, coalesce(s.pnl, 0) AS pnl, coalesce(s.pnl, 0) - coalesce(t.turnover, 0) * 5e-4 AS net, coalesce(s.n, 0) AS held
+  FROM vs CROSS JOIN cal c CROSS JOIN prm LEFT JOIN sums s ON s.variant = vs.variant AND s.bar = c.bar LEFT JOIN tn t ON t.variant = vs.variant AND t.bar = c.bar WHERE c.bar >= start + 24
+  UNION ALL
+  SELECT 'buy_and_hold', p, p, (SELECT count(DISTINCT symbol) FROM bars) FROM (SELECT bar, coalesce(avg(ret), 0) AS p FROM sig, prm WHERE bar >= start AND close IS NOT NULL GROUP BY bar))
+  SELECT variant, {rnd('avg(pnl) * 6048', 'ann_return')}, {rnd('avg(pnl) * 6048 / nullif(stddev_pop(pnl) * sqrt(6048), 0)', 'sharpe')}, {rnd('avg(net) * 6048', 'net_return')}, {rnd('avg(held)', 'held')},
+    {rnd('avg(CASE WHEN held = 0 THEN 1.0::DOUBLE ELSE 0.0 END)', 'idle')} FROM mn GROUP BY variant"""
+
+
+ORACLE["variant_summary"] = _summary()
+
 
 def _md5_draws(source: str, keys: str, values: list[str], boots: int, at: str = "bar") -> str:
     """Draws of every key by joining every row of every block; starts from the md5 of key, draw and block."""

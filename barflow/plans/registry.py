@@ -625,8 +625,8 @@ def grid_stability(spark, d):
     return g.agg(F.count("*").alias("cells"), F.median("sharpe").alias("median"), F.min("sharpe").alias("worst")).select(n("cells"), r("median"), r("worst"), (F.col("worst") < 0).alias("fragile"))
 
 
-def _rule_cells(spark, d):
-    """Every rule at every setting of its windows and thresholds, phase-neutral, in one plan; and the rotation behind it."""
+def _cell_books(spark, d):
+    """Every rule at every setting of its windows and thresholds: the settings, the rotation behind them, and all baskets in one plan."""
     of, axes = rotation.cells(), rotation.Axes()
 
     def features(rows, signal):
@@ -635,7 +635,12 @@ def _rule_cells(spark, d):
         return signal.join(vol, ["symbol", "bar"]).join(ind.dmi_windows(rows, axes.di), ["symbol", "bar"]).join(lasting, ["symbol", "bar"])
 
     x = Rotation(spark, d, extra=features, raw=walks(complete(hourly(spark, d))))
-    held = rotation.cell_baskets(x.signal, of, x.start, EVERY, TOP, x.bars)
+    return of, x, rotation.cell_baskets(x.signal, of, x.start, EVERY, TOP, x.bars)
+
+
+def _rule_cells(spark, d):
+    """Phase-neutral statistics of every setting, and the rotation behind them."""
+    of, x, held = _cell_books(spark, d)
     stats_ = results.performance(rotation.neutral_profit(held, x.signal, x.clock, len(of), x.start, EVERY, x.bars), ["cell"], PER_YEAR)
     kind = "cell int, variant string, di_window int, hurst_window int, level double, grid boolean, near boolean, own boolean"
     names = spark.createDataFrame([(k, c.variant, c.di, c.hurst, c.level, c.grid, c.near, c.own) for k, c in enumerate(of)], kind)  # one row for each setting
@@ -908,9 +913,10 @@ def _features_hurst(rows, signal):
 
 @query
 def momentum_hurst_variants(spark, d):
-    x = Rotation(spark, d, extra=_features_hurst)
-    rules = {k: v for k, v in rotation.variants(hurst_min=0.45).items() if "hurst" in k}
-    return rotation.variant_baskets(x.signal, rules, x.start, EVERY, TOP, x.bars).select("variant", n("t0"), "symbol", n("rank"))
+    """Baskets of the two Hurst rules at their own setting on the first phase of the clock, over prices that wander."""
+    of, x, held = _cell_books(spark, d)
+    own = spark.createDataFrame([(k, c.variant) for k, c in enumerate(of) if c.own and c.hurst], "cell int, variant string")
+    return held.where("phase = 0").join(own, "cell").select("variant", n("t0"), "symbol", n("rank"))
 
 
 def _walked(spark, d):
