@@ -71,7 +71,11 @@ class Grams:
         key = (at.astype(np.uint64) << _CONT) | cont
         order = np.argsort(key, kind="stable")
         key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        #: the n-gram of each place in the text
+        self.gram = np.empty(len(key), np.int32)
+        self.gram[order] = np.cumsum(new) - 1
         #: (place of the history, continuation) of each n-gram, and its count in this block's training documents
         self.key = key[first]
         self.count = np.add.reduceat(training[order].astype(np.int64), first) if len(key) else np.zeros(0, np.int64)
@@ -262,7 +266,10 @@ class Automaton:
         self.root = (seen + ADDED) / (n + ADDED * (v + 1))
         self.begin, self.kept = begin, np.concatenate((c2 > 0, c3 > 0))
         two, three = t.two, t.three
-        gram = np.searchsorted(two.key, (two.at.astype(np.uint64) << _CONT) | t.cont)
+        gram = two.gram
+        #: the n-grams of each place, of order two and three (-1 where none of three ends)
+        self.gram3 = np.full(len(t.cont), -1, np.int32)
+        self.gram3[t.inner] = three.gram
         #: the last token of each history of two; the history of two that an n-gram of order two becomes, if a text goes on after it
         self.last, self.becomes = np.zeros(len(three.history), np.int64), np.full(len(two.key), -1, np.int64)
         self.last[three.at] = t.word[t.inner - 1]
@@ -285,14 +292,17 @@ class Automaton:
         at = np.minimum(np.searchsorted(grams.key, key), max(len(grams.key) - 1, 0))
         return at, grams.key[at] == key if len(grams.key) else np.zeros(len(key), bool)
 
-    def step(self, state: np.ndarray, word: np.ndarray, cont: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Reads one token in each of several stretches: the weight of the way taken, and the state reached."""
+    def step(self, state: np.ndarray, word: np.ndarray, cont: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Reads one token in each of several stretches: the weight of the way taken, and the state reached.
+
+        at: the tokens' places in the text, whose n-grams are known; without them (for any token after any state) they are looked up.
+        """
         h, weight = self.n_one, np.zeros(len(state))
         left = np.ones(len(state), bool)  # those that still fail
         shorter = state.copy()
         deep = np.flatnonzero(state >= h)
         if len(deep):
-            g, there = self._find(self.t.three, state[deep] - h, cont[deep])
+            g, there = self._find(self.t.three, state[deep] - h, cont[deep]) if at is None else (self.gram3[at[deep]], True)
             hit = there & (self.count3[g] > 0)
             weight[deep] = np.where(hit, self.arc3[g], self.failure[state[deep]])
             left[deep[hit]] = False
@@ -302,7 +312,7 @@ class Automaton:
         after = np.where(self.kept[after] & (after >= 0), after, -1)
         some = np.flatnonzero(shorter >= 0)
         if len(some):
-            g, there = self._find(self.t.two, shorter[some], cont[some])
+            g, there = self._find(self.t.two, shorter[some], cont[some]) if at is None else (self.t.two.gram[at[some]], True)
             hit = there & (self.count2[g] > 0)
             weight[some] += np.where(left[some], np.where(hit, self.arc2[g], self.failure[shorter[some]]), 0)
             left[some[hit]] = False
@@ -332,7 +342,7 @@ class Automaton:
         for _ in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, 0))
             at, state, length, first = at[:live], state[:live], length[:live], first[:live]
-            weight, state = self.step(state, t.word[at], t.cont[at])
+            weight, state = self.step(state, t.word[at], t.cont[at], at)
             counted = at >= first
             out[at[counted]] = weight[counted]
             at, length = at + 1, length - 1
