@@ -136,14 +136,6 @@ def simulate_ou(kappa: float, sigma: float, bars: int, sims: int, seed: int = 0)
     return out
 
 
-def simulate_momentum(phi: float, sigma: float, bars: int, seed: int = 0) -> np.ndarray:
-    """A path whose increments follow themselves."""
-    e, d = np.random.default_rng(seed).standard_normal(bars) * sigma, np.zeros(bars)
-    for t in range(1, bars):
-        d[t] = phi * d[t - 1] + e[t]
-    return np.cumsum(d)
-
-
 def trade_paths(paths: np.ndarray, entry: float, stop: float, cost: float) -> tuple[float, float]:
     """Mean profit for each bar and mean trades of the two-sided machine on all paths at once."""
     side, profit, count = np.zeros(len(paths)), np.zeros(len(paths)), np.zeros(len(paths))

@@ -35,6 +35,11 @@ def half_life(gamma: str | Column = "gamma") -> Column:
     return F.when(g < 0, F.lit(math.log(2)) / -g)
 
 
+def stationary_variance(gamma: str = "gamma", sigma: str = "sigma") -> Column:
+    """Variance that a mean-reverting process settles at, of its speed and the deviation of its steps; NULL if it doesn't revert."""
+    return F.when(F.col(gamma) < 0, F.col(sigma) * F.col(sigma) / (-2 * F.col(gamma)))
+
+
 def changes(rows: DataFrame, keys: list[str], value: str, order: str = "i", sess: str | None = "sess") -> DataFrame:
     """Adds y0 (the value before) and dy, only where both rows are of one session (or with sess=None everywhere)."""
     w = Window.partitionBy(*keys).orderBy(order)

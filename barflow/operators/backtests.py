@@ -98,8 +98,7 @@ def chosen(screen: DataFrame, p: PairParams, pair: tuple[str, str] | None = None
 
 
 def joint(bars: DataFrame, picks: DataFrame | None) -> DataFrame:
-    rows = panel.pairs(bars)
-    return rows if picks is None else rows.join(picks, KEY, "left_semi")
+    return panel.pairs(bars, only=picks)
 
 
 def calibrated(fits: DataFrame, cost: float, p: PairParams) -> DataFrame:

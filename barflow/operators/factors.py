@@ -75,3 +75,24 @@ def stat_arb(resid: DataFrame, window: int = 90, least: int = 10, rule: Rule | N
     out = rows.join(open_, "bar", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
     part = F.col("before") * F.col("resid") / F.greatest(F.col("n_open"), F.lit(1))
     return out.select("symbol", "bar", "resid", "z", "position", "entry", "reason", "n_open", part.alias("part"))
+
+
+def trades(book: DataFrame, last_bar: int | DataFrame) -> DataFrame:
+    """symbol, entry, exit (bars), direction, entry_z, exit_z, hold_bars, exit_reason, pnl of stat_arb()'s positions.
+
+    A position that is open at the end leaves with the panel's last bar (`last_bar`, a number or a frame of one row), without exit_z.
+    pnl is the sum of the name's own parts after the entry up to the exit, as a difference of running sums.
+    """
+    w = Window.partitionBy("symbol").orderBy("bar")
+    rows = book.withColumn("total", F.sum("part").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("opens", (F.col("position") != 0) & (F.coalesce(F.lag("position").over(w), F.lit(0.0)) == 0))
+    starts = rows.where("opens").select("symbol", F.col("bar").alias("entry"), F.col("z").alias("entry_z"), F.col("total").alias("t0"), F.when(F.col("position") > 0, "long").otherwise("short").alias("direction"))
+    closed = rows.where("reason IS NOT NULL").select("symbol", "entry", F.col("bar").alias("exit"), F.col("z").alias("exit_z"), F.col("reason").alias("exit_reason"), F.col("total").alias("t1"))
+    held = rows.groupBy("symbol").agg(F.max(F.when(F.col("opens"), F.col("bar"))).alias("entry"), F.max_by("position", "bar").alias("position"), F.max_by("total", "bar").alias("t1")).where("position <> 0")
+    if isinstance(last_bar, DataFrame):
+        held = held.crossJoin(F.broadcast(last_bar.toDF("exit")))  # one row
+    else:
+        held = held.withColumn("exit", F.lit(last_bar).cast("long"))
+    open_ = held.select("symbol", "entry", "exit", F.lit(None).cast("double").alias("exit_z"), F.lit("end of backtest").alias("exit_reason"), "t1")
+    out = closed.unionByName(open_).join(starts, ["symbol", "entry"])
+    return out.select("symbol", "entry", "exit", "direction", "entry_z", "exit_z", (F.col("exit") - F.col("entry")).alias("hold_bars"), "exit_reason", (F.col("t1") - F.col("t0")).alias("pnl"))

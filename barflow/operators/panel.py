@@ -63,13 +63,16 @@ def profile(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count("close").alias("n_bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def pairs(bars: DataFrame, least: int = 0) -> DataFrame:
-    """Joint rows of every two symbols (a < b): a, b, ts, pa, pb, i (joint row from 0), sess (joint session from 0)."""
+def pairs(bars: DataFrame, least: int = 0, only: DataFrame | None = None) -> DataFrame:
+    """Joint rows of every two symbols (a < b): a, b, ts, pa, pb, i (joint row from 0), sess (joint session from 0).
+
+    only: pairs (a, b) of interest; no other rows are joined then.
+    """
     from pyspark.sql import Window as W
 
     one = bars.where("close > 0").select(F.col("symbol").alias("a"), "ts", F.col("close").alias("pa"))
     two = bars.where("close > 0").select(F.col("symbol").alias("b"), "ts", F.col("close").alias("pb"))
-    both = one.join(two, "ts").where("a < b")
+    both = one.join(two, "ts").where("a < b") if only is None else one.join(only.select("a", "b").distinct(), "a").join(two, ["b", "ts"]).where("a < b")
     w = W.partitionBy("a", "b")
     if least:  # the numbering below needs the same partitioning, so the count costs no further shuffle
         both = both.withColumn("total", F.count("*").over(w)).where(F.col("total") >= least)

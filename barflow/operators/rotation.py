@@ -243,3 +243,19 @@ def neutral_profit(held: DataFrame, signal: DataFrame, clock: DataFrame, count:
     sums = contributions(held, signal, every, bars, ("cell",)).groupBy("cell", "bar").agg((F.sum("part") / every).alias("pnl"))
     at = clock.where(F.col("bar") >= start + every).select("bar", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("cell"))
     return at.join(sums, ["cell", "bar"], "left").select("cell", "bar", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
+
+
+def nudged(signal: DataFrame, clock: DataFrame, scores: dict[int, Column], mask: Column, cells_: list[tuple[int, int]], start: int, top: int, bars: int) -> DataFrame:
+    """cell (place in the list of (lookback, every)), bar, pnl: the rotation under several lookbacks and clocks in one plan."""
+    t0 = F.col("bar") + 1
+    rows = signal.where(mask & (t0 >= start) & (t0 < bars)).withColumn("t0", t0).repartition("t0")
+    choice = [F.struct(F.lit(k).alias("cell"), F.lit(every).alias("every"), scores[look].cast("double").alias("score")) for k, (look, every) in enumerate(cells_)]
+    due = F.filter(F.array(*choice), lambda c: c["score"].isNotNull() & ~F.isnan(c["score"]) & (F.pmod(F.col("t0") - start, c["every"]) == 0))
+    rows = rows.select("symbol", "t0", F.explode(due).alias("c")).select("symbol", "t0", "c.*")
+    best = Window.partitionBy("t0", "cell").orderBy(F.desc("score"), "symbol")
+    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    held = rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("t0", "cell")))
+    days = held.withColumn("bar", F.explode(F.sequence("t0", F.least(F.col("t0") + F.col("every") - 1, F.lit(bars - 1)))))
+    sums = days.join(signal.select("symbol", "bar", "ret"), ["symbol", "bar"], "left").groupBy("cell", "bar").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("pnl"))
+    at = clock.where(F.col("bar") >= start).select("bar", F.explode(F.sequence(F.lit(0), F.lit(len(cells_) - 1))).alias("cell"))
+    return at.join(sums, ["cell", "bar"], "left").select("cell", "bar", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))

@@ -698,5 +698,11 @@ ORACLE |= {
       {rnd('avg(CASE WHEN lower THEN 1.0::DOUBLE ELSE 0.0 END)', 'p_vol_lower')} FROM df2""",
 }
 
+ORACLE["ou_moments"] = f"""WITH {spreads()}, {df('spr', 'a, b', 'spread')}, sm AS (SELECT a, b, avg(spread) AS mean, var_pop(spread) AS var FROM spr GROUP BY a, b)
+  SELECT a, b, {rnd('mean')}, {rnd('var')}, {rnd('CASE WHEN gamma < 0 THEN sigma * sigma / (-2 * gamma) END', 'theory')}, {rnd('hl', 'half_life')} FROM sm JOIN adf USING (a, b)"""
+ORACLE["naive_in_sample_z"] = ORACLE["naive_static_z"].replace(spreads(), f"""{pairs()}, sl AS (SELECT a, b, floor((max(sess) + 1) * 0.6) AS split FROM prs GROUP BY a, b), fit AS (
+  SELECT a, b, regr_intercept(la, lb) AS alpha, regr_slope(la, lb) AS beta FROM prs JOIN sl USING (a, b) WHERE sess < split GROUP BY a, b), spr AS (
+  SELECT p.*, f.alpha, f.beta, p.la - f.beta * p.lb - f.alpha AS spread FROM prs p JOIN fit f USING (a, b))""")
+
 ORACLE["pair_screen_tiles"] = ORACLE["pair_screen_full"]
 ORACLE |= {f"{name}_scan": ORACLE[same] for name, same in (("macd", "macd"), ("rsi", "rsi"), ("dmi", "dmi_panel"), ("state_machine", "state_machine_spread"))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from barflow.operators import indicators as ind
 from barflow.operators import backtests, factors, machine, pairs, panel, resampling, results, rotation, sizing, tiles, volatility
 from barflow.plans.oracle import ORACLE  # noqa: F401
 from barflow.sources.bars import by_user, complete, daily, hourly, table, walks
-from barflow.session import scratch
+from barflow.session import scratch, stored
 from barflow.streaming import keyed
 from barflow.streaming.bars import Rotator, bar_stream
 
@@ -674,17 +675,37 @@ def variant_verdicts(spark, d):
     return v.select("variant", r("sharpe"), r("hold"), yes(F.col("sharpe") > F.col("hold")).alias("beats"), r("median"), r("worst"), yes(F.col("worst") < 0).alias("fragile"))
 
 
+def _deltas(spark, nudges, perf):
+    """key, value, sharpe and its change from the base (cell 0); nudges: (key, value) of cells from 1 on."""
+    names = spark.createDataFrame([(k + 1, key, value) for k, (key, value) in enumerate(nudges)], "cell int, key string, value long")
+    base = perf.where("cell = 0").select(F.col("sharpe").alias("base"))
+    return names.join(perf, "cell").crossJoin(base).select("key", "value", r("sharpe"), r(F.col("sharpe") - F.col("base"), "delta"))  # base is one row
+
+
 @query
 def perturbation(spark, d):
-    """Each parameter nudged by ten per cent either way (whole numbers are cut), and the change of the Sharpe ratio."""
-    base = results.performance(Rotation(spark, d).pnl(), ["phase"], PER_YEAR).select(F.col("sharpe").alias("base"))
-    out = None
-    for key, value in (("lookback", LOOKBACK), ("every", EVERY)):
-        for f in (0.9, 1.1):
-            v = int(value * f)
-            x = results.performance(Rotation(spark, d, **{key: v}).pnl(), ["phase"], PER_YEAR).select(F.lit(key).alias("key"), F.lit(v).cast("long").alias("value"), "sharpe")
-            out = x if out is None else out.unionByName(x)
-    return out.crossJoin(base).select("key", "value", r("sharpe"), r(F.col("sharpe") - F.col("base"), "delta"))  # base is one row
+    """Each parameter nudged by ten per cent either way (whole numbers are cut), and the change of the Sharpe ratio, in one plan."""
+    nudges = [(key, int(value * f)) for key, value in (("lookback", LOOKBACK), ("every", EVERY)) for f in (0.9, 1.1)]
+    of = [(LOOKBACK, EVERY)] + [(v, EVERY) if key == "lookback" else (LOOKBACK, v) for key, v in nudges]
+    looks = sorted({k for k, _ in of})
+
+    def scores(rows, signal):
+        return rows.select("symbol", "bar", ind.log_return().alias("ret"), ind.trend("close", FAST, SLOW).alias("ok"), *(ind.roc("close", k).alias(f"roc{k}") for k in looks))
+
+    x = Rotation(spark, d, extra=scores, score=F.lit(0.0))
+    pnl = rotation.nudged(x.signal, x.clock, {k: F.col(f"roc{k}") for k in looks}, F.col("ok"), of, x.start, TOP, x.bars)
+    return _deltas(spark, nudges, results.performance(pnl, ["cell"], PER_YEAR))
+
+
+@query
+def perturbation_factors(spark, d):
+    """The factor book under nudged rebalancing and z window; what a nudge does not touch is computed once."""
+    rows, base = _factor_rows(spark, d), {"every": 45, "z_window": 90}
+    nudges = [(key, int(value * f)) for key, value in base.items() for f in (0.9, 1.1)]
+    of = [base] + [base | {key: v} for key, v in nudges]
+    resid = {e: stored(factors.residuals(rows, 200, 100, e, 2, 3), "residuals") for e in sorted({c["every"] for c in of})}
+    parts = [factors.stat_arb(resid[c["every"]], c["z_window"]).groupBy("bar").agg(F.sum("part").alias("pnl")).withColumn("cell", F.lit(k)) for k, c in enumerate(of)]
+    return _deltas(spark, nudges, results.performance(reduce(DataFrame.unionByName, parts), ["cell"], PER_YEAR))
 
 
 def _permuted(x, count):
@@ -838,6 +859,22 @@ def pca_stat_arb(spark, d):
     return out.select("symbol", n("bar"), r("z"), r("position"), "reason", n("n_open"), r("part"))
 
 
+@query
+def pca_trades(spark, d):
+    """The factor book's trades, those open at the end included."""
+    rows = _factor_rows(spark, d)
+    log = factors.trades(factors.stat_arb(factors.residuals(rows, 200, 100, 45, 2, 3)), rows.agg(F.max("bar")))
+    return log.select("symbol", n("entry"), n("exit"), "direction", r("entry_z"), r("exit_z"), n("hold_bars"), "exit_reason", r("pnl"))
+
+
+@query
+def pca_capital(spark, d):
+    """What the factor book makes of a starting capital that no bar exceeds."""
+    pnl = factors.stat_arb(factors.residuals(_factor_rows(spark, d), 200, 100, 45, 2, 3)).groupBy("bar").agg(F.sum("part").alias("pnl")).withColumn("book", F.lit("factor residuals"))
+    units = spark.createDataFrame([("factor residuals", 50_000.0)], "book string, unit double")
+    return results.capital(pnl, ["book"], units, 50_000.0).select("book", r("unit"), r("final"), r("total_return_pct"))
+
+
 def _factor_rows(spark, d):
     x = panel.indexed(complete(daily(spark, d)))
     return x.select("symbol", "bar", ind.log_return().alias("ret"))
@@ -876,18 +913,12 @@ def ou_calibration(spark, d):
 
 
 @query
-def ou_simulation(spark, d):
-    """Stationary moments of simulated paths against theory; one group for each parameter set."""
-    grid = spark.createDataFrame([(0.05, 0.5), (0.1, 0.5), (0.08, 1.0)], "kappa double, sigma double")
-
-    def run(batches):
-        for p in batches:
-            x = [models.simulate_ou(k, s, 600, 200)[:, 200:] for k, s in zip(p["kappa"], p["sigma"], strict=True)]
-            yield p.assign(mean=[v.mean() for v in x], var=[v.var() for v in x])
-
-    out = grid.mapInPandas(run, "kappa double, sigma double, mean double, var double")
-    theory = F.col("sigma") * F.col("sigma") / (1 - (1 - F.col("kappa")) * (1 - F.col("kappa")))
-    return out.select("kappa", "sigma", r("mean"), r("var"), r(theory, "theory"), r(F.ln(F.lit(2.0)) / F.col("kappa"), "half_life"))
+def ou_moments(spark, d):
+    """Each pair's spread against the process fitted to it: mean and variance over time, stationary variance in theory, half-life."""
+    s = pairs.spreads(joint(spark, d))
+    seen = s.groupBy(*PAIR).agg(F.avg("spread").alias("mean"), F.var_pop("spread").alias("var"))
+    fit = stats.changes(s, PAIR, "spread").groupBy(*PAIR).agg(*stats.unit_root())
+    return seen.join(fit, PAIR).select(*PAIR, r("mean"), r("var"), r(stats.stationary_variance(), "theory"), r(stats.half_life(), "half_life"))
 
 
 @query
@@ -1082,6 +1113,17 @@ def naive_static_z(spark, d):
     return machine.positions(rows, PAIR, machine.Rule(stop=None)).select(*PAIR, n("i"), r("position"))
 
 
+@query
+def naive_in_sample_z(spark, d):
+    """The same with the hedge ratio of each pair's sessions in sample, held over the whole time."""
+    rows = backtests.split_of(joint(spark, d), FRACTION).withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb"))
+    w, seen = Window.partitionBy(*PAIR), F.col("sess") < F.col("split")
+    y, x = F.when(seen, F.col("la")), F.when(seen, F.col("lb"))
+    rows = rows.withColumn("spread", F.col("la") - F.regr_slope(y, x).over(w) * F.col("lb") - F.regr_intercept(y, x).over(w))
+    rows = pairs.rolling_z(rows, "spread", PAIR, 120)
+    return machine.positions(rows, PAIR, machine.Rule(stop=None)).select(*PAIR, n("i"), r("position"))
+
+
 @query
 def garch_sized_pnl(spark, d):
     """Same-bar illustration: each symbol's position sized by its fitted conditional deviation."""

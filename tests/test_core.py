@@ -399,7 +399,7 @@ def test_nan_prices_become_unknown(spark):
 
 
 def test_runs_are_deterministic(spark, small):
-    for name in ("pair_screen_full", "momentum_trades", "ou_simulation"):
+    for name in ("pair_screen_full", "momentum_trades", "ou_moments"):
         a, b = (sorted(map(repr, registry.QUERIES[name](spark, small).collect())) for _ in range(2))
         assert a == b
 
