@@ -20,12 +20,14 @@ WITH d AS (
 ), c AS (
   SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(ln.dup, 0) AS n_dup_lines, coalesce(ln.lines, 0) AS lines, coalesce(rep.n, 0) AS n_repeat_words,
-    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters, (length(t) - length(replace(t, '!!', ''))) // 2 AS shouts
+    length(regexp_replace(t, '[^\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}]', '', 'g')) AS upper, length(regexp_replace(t, '\P{L}', '', 'g')) AS letters,
+    length(regexp_replace(t, '[^\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3000}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}]', '', 'g')) AS unspaced,
+    (length(t) - length(replace(t, '!!', ''))) // 2 AS shouts
   FROM d LEFT JOIN ln USING (k) LEFT JOIN rep USING (k)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (100 * n_symbols > 10 * word_chars) AND NOT (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * lines) AND NOT (letters >= 40 AND 100 * upper > 50 * letters)
-    AND NOT (100 * shouts > 30 * n_words) AND word_chars BETWEEN 2 * n_words AND 20 * n_words AS kept
+    AND NOT (100 * shouts > 30 * n_words) AND word_chars >= 2 * n_words AND (word_chars <= 20 * n_words OR 2 * unspaced > word_chars) AS kept
 FROM b
 """
 

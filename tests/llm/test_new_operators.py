@@ -149,3 +149,21 @@ def test_fill_in_middle_against_lists_of_units(spark, unit, units):
     back = out.select("doc_id", fim.restored(F.col("output"), F.col("form"))).collect()
     assert sorted(map(tuple, back), key=KEY) == sorted(((i, t or "") for i, t in rows), key=KEY)
     assert not fim.fill_in_middle(docs.where("false")).count()
+
+
+def test_sql_of_the_quality_rules_in_all_scripts(spark):
+    """The SQL of op10 keeps what the operator keeps: capitals of any script, words without spaces between them."""
+    import duckdb
+    import pandas as pd
+
+    from barflow.llm.oracle import OP10
+    from barflow.llm.quality_rules import quality_rules
+
+    rnd = random.Random(12)
+    alphabets = ["abcdefgh", "ABCDEFgh", "абвгдежз", "АБВГДЕЖз", "αβγδεΖΗΘ", "漢字仮名交文", "ไทยภาษาคำ", "あいうえお", "éÉèÈàÀ", "0123#$%"]
+    rows = [(i, " ".join("".join(rnd.choice(rnd.choice(alphabets) if rnd.random() < 0.1 else a) for _ in range(rnd.randint(1, rnd.choice([6, 45])))) for _ in range(rnd.randint(20, 60)))) for i in range(400) for a in [rnd.choice(alphabets)]]
+    rows += [(1000, None), (1001, "")]
+    out = {tuple(r) for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).drop("failed_rule").select("doc_id", "n_words", "word_chars", "kept").collect()}
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = {(r[0], r[1], r[2], r[3]) for r in duckdb.sql(f"SELECT doc_id, n_words, word_chars, kept FROM ({OP10})").fetchall()}
+    assert out == want and 50 < sum(k for *_, k in out) < 390
