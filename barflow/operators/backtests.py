@@ -1,7 +1,8 @@
 """Whole backtests in one call: screen, selection, walk forward, positions, trades, statistics, all pairs in one plan.
 
-The stages hand tables on (stored() below spark.checkpoint.dir): the screen, the joint rows of the traded pairs, the refits and
-the book are each computed once, and plans stay short however many self-joins a backtest has.
+The stages hand tables on (kept() below spark.checkpoint.dir): the screen, the joint rows of the traded pairs, the refits and
+the book are each computed once, and plans stay short however many self-joins a backtest has. A later run over the same files with
+the same parameters finds them again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions import models, stats
 from barflow.operators import machine, pairs, panel, results
-from barflow.session import ship, stored
+from barflow.session import kept, ship, stored
 
 KEY = pairs.KEY
 
@@ -85,7 +86,7 @@ def split_of(rows: DataFrame, fraction: float) -> DataFrame:
 def screened(bars: DataFrame, p: PairParams, per_day: float, beta_range: tuple[float, float] | None = None) -> DataFrame:
     """The screen of every pair on the panel's sessions in sample."""
     seen = panel.calendar(bars).crossJoin(panel.split(bars, p.in_sample)).where("sess < split_session").select("ts")  # the split is one row
-    return stored(pairs.screen(panel.pairs(bars.join(seen, "ts", "left_semi")), p.critical, p.cutoff, per_day, beta_range), "screen")
+    return kept(pairs.screen(panel.pairs(bars.join(seen, "ts", "left_semi")), p.critical, p.cutoff, per_day, beta_range), "screen", p)
 
 
 def chosen(screen: DataFrame, p: PairParams, pair: tuple[str, str] | None = None) -> DataFrame | None:
@@ -122,26 +123,27 @@ def mean_reversion(bars: DataFrame, p: PairParams | None = None, per_day: float
     """Hedge ratio, regime and window refitted every few sessions; positions sized by the deviation of recent changes."""
     p = p or PairParams()
     screen = screened(bars, p, per_day)
-    rows = stored(split_of(joint(bars, chosen(screen, p, pair)), p.in_sample), "rows")
+    rows = kept(split_of(joint(bars, chosen(screen, p, pair)), p.in_sample), "rows", p)
     fits = pairs.walk_forward(rows, p.lookback, p.every, "split", p.critical, p.cutoff + p.slack, p.least, p.min_window, p.max_window)
     names = ("alpha", "beta", "zw", "half_life", "qualified")
     if p.cost_bps is not None:
         fits, names = calibrated(fits, p.cost_bps / 1e4, p), (*names, "entry_z", "stop_z")
-    rows = pairs.held(rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb")), stored(fits, "refits"), names)
+    rows = pairs.held(rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb")), kept(fits, "refits", p), names)
     # windows reach back into the sample; positions begin at the split
     rows = pairs.variable_z(rows, least=p.min_window).where("sess >= split").withColumn("qualified", F.coalesce("qualified", F.lit(False)))
     rows = rows.withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
     sized = machine.vol_scale(machine.spread_vol(rows, "spread", KEY, p.vol_window), "sigma", KEY)
-    return _books(screen, sized, machine.Rule(entry=p.entry, stop=p.stop))
+    return _books(screen, sized, machine.Rule(entry=p.entry, stop=p.stop), p)
 
 
-def _books(screen: DataFrame, rows: DataFrame, rule: machine.Rule) -> Books:
-    rows = stored(rows, "signals")
+def _books(screen: DataFrame, rows: DataFrame, rule: machine.Rule, params: object) -> Books:
+    of = (rule, params)
+    rows = kept(rows, "signals", of)
     f = machine.positions(rows, KEY, rule)
-    book = stored(machine.profit(rows.join(f, [*KEY, "i"]), KEY), "book")
+    book = kept(machine.profit(rows.join(f, [*KEY, "i"]), KEY), "book", of)
     f = book.select(*KEY, "i", "position", "entry", "reason")
     log = machine.trade_prices(machine.trade_profit(machine.trades(f, book, KEY), book, KEY), book)
-    return Books(screen, book, stored(log, "trades"))
+    return Books(screen, book, kept(log, "trades", of))
 
 
 # --- volatility forecasts by refit -----------------------------------------------------------------------------------------
@@ -171,20 +173,20 @@ def intraday(bars: DataFrame, p: PairParams | None = None, per_day: float = 24.0
     """
     p = p or PairParams(lookback=5, every=1)
     screen = screened(bars, p, per_day, p.beta_range)
-    rows = stored(split_of(joint(bars, chosen(screen, p, pair)), p.in_sample), "rows")
+    rows = kept(split_of(joint(bars, chosen(screen, p, pair)), p.in_sample), "rows", p)
     key = [*KEY, "refit"]
     fits = pairs.walk_forward(rows, p.lookback, p.every, "split", p.critical, p.cutoff + p.slack, p.least)
     sane = (F.col("beta") > p.beta_range[0]) & (F.col("beta") < p.beta_range[1])
     past = stats.changes(pairs.windows(rows, p.lookback, p.every, "split", p.least), key, "spread").where("dy IS NOT NULL")
     vol = models.by_key(past, key, "dy", garch_state, _GARCH)
     fits = fits.withColumn("qualified", F.col("qualified") & sane).join(vol, key, "left")
-    rows = pairs.held(rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb")), stored(fits, "refits"), ("alpha", "beta", "qualified", "omega", "persistence", "v1"))
+    rows = pairs.held(rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb")), kept(fits, "refits", p), ("alpha", "beta", "qualified", "omega", "persistence", "v1"))
     rows = rows.where("sess >= split").withColumn("qualified", F.coalesce("qualified", F.lit(False))).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
     rows = pairs.session_z(rows, "spread", KEY, p.z_window, p.min_window)
     by, day = Window.partitionBy(*KEY).orderBy("i"), Window.partitionBy(*KEY, "sess").orderBy("i")
     rows = rows.withColumn("sigma", forecast_deviation(F.row_number().over(day) - 1)).withColumn("is_last", F.coalesce(F.lead("sess").over(by) != F.col("sess"), F.lit(True)))
     rows = rows.withColumn("change", F.coalesce(F.col("spread") - F.lag("spread").over(by), F.lit(0.0)))
-    return _books(screen, machine.vol_scale(rows, "sigma", KEY), machine.Rule(entry=p.entry, stop=p.stop, flat_at_end=True))
+    return _books(screen, machine.vol_scale(rows, "sigma", KEY), machine.Rule(entry=p.entry, stop=p.stop, flat_at_end=True), p)
 
 
 @dataclass(frozen=True)
@@ -224,17 +226,17 @@ def daily(bars: DataFrame, p: DailyParams | None = None, pair: tuple[str, str] |
     A check's window is unfolded to its row numbers, so the join is by equality and every (pair, check) is one bounded group.
     """
     p = p or DailyParams()
-    rows = stored(panel.pairs(bars), "rows")
+    rows = kept(panel.pairs(bars), "rows", p)
     w = Window.partitionBy(*KEY)
     rows = rows.withColumn("la", F.ln("pa")).withColumn("lb", F.ln("pb")).withColumn("split", F.greatest(F.floor((F.max("i").over(w) + 1) * F.lit(p.in_sample)), F.lit(p.lookback)))
-    screen = stored(screen_by_p(rows.where("i < split").drop("la", "lb", "split"), p), "screen")
+    screen = kept(screen_by_p(rows.where("i < split").drop("la", "lb", "split"), p), "screen", p)
     if pair:
         rows = rows.join(pairs.selected(screen, *pair).select(*KEY), KEY, "left_semi")
     elif p.top is not None:
         rows = rows.join(screen.where("qualifies").orderBy("adf_p", "adf_stat", "pair").limit(p.top).select(*KEY), KEY, "left_semi")
     z = pairs.ols_z(rows, p.lookback).where("i >= split").withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
     since = F.col("i") - F.col("split")
-    z = stored(z.withColumn("ahead", since % p.every).withColumn("check", F.col("i") - F.col("ahead")), "daily")
+    z = kept(z.withColumn("ahead", since % p.every).withColumn("check", F.col("i") - F.col("ahead")), "daily", p)
     at = z.where("ahead = 0").select(*KEY, "check", "alpha", "beta").withColumn("i", F.explode(F.sequence(F.col("check") - p.lookback, F.col("check") - 1)))
     win = at.join(rows.select(*KEY, "i", "la", "lb"), [*KEY, "i"]).withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
 
@@ -245,7 +247,7 @@ def daily(bars: DataFrame, p: DailyParams | None = None, pair: tuple[str, str] |
     found = models.by_key(win, [*KEY, "check"], "spread", check, ", ".join(f"{c} double" for c in names)).select(*KEY, "check", *(F.nanvl(c, F.lit(None)).alias(c) for c in names))
     z = z.join(found, [*KEY, "check"], "left").withColumn("qualified", F.coalesce((F.col("adf_p") < p.check_p) & (F.col("h") < p.cutoff), F.lit(False)))
     z = z.withColumn("sigma", forecast_deviation(F.col("ahead"))).withColumn("change", F.coalesce(F.col("spread") - F.lag("spread").over(w.orderBy("i")), F.lit(0.0)))
-    return _books(screen, machine.vol_scale(z, "sigma", KEY), machine.Rule(entry=p.entry, stop=p.stop))
+    return _books(screen, machine.vol_scale(z, "sigma", KEY), machine.Rule(entry=p.entry, stop=p.stop), p)
 
 
 def same_winner(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def stat_arb(resid: DataFrame, window: int = 90, least: int = 10, rule: Rule | N
     # a name outside the fit keeps its position: it is open on every bar between two rows of its own
     end = F.lead("bar").over(w)
     last = resid.agg(F.max("bar").alias("last_bar"))
-    spans = rows.withColumn("until", end).crossJoin(F.broadcast(last)).where("position <> 0")  # last is one row
+    spans = rows.withColumn("until", end).crossJoin(F.broadcast(last)).where("position <> 0 AND bar < coalesce(until, last_bar)")  # last is one row
     open_ = spans.select(F.explode(F.sequence(F.col("bar") + 1, F.coalesce("until", "last_bar"))).alias("bar")).groupBy("bar").agg(F.count("*").alias("n_open"))
     out = rows.join(open_, "bar", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
     part = F.col("before") * F.col("resid") / F.greatest(F.col("n_open"), F.lit(1))

@@ -1182,9 +1182,9 @@ def intraday_walk_forward(spark, d):
 
 @query
 def intraday_garch_scale(spark, d):
-    """The scale of every pair's positions from a volatility forecast refitted every tenth session."""
+    """The scale of every pair's positions from a volatility forecast refitted every session."""
     rows, _ = _intraday(spark, d)
-    sigma = machine.garch_sigma(rows, PAIR, lookback=5, every=10)
+    sigma = machine.garch_sigma(rows, PAIR, lookback=5)
     out = machine.vol_scale(rows.join(sigma.withColumn("sigma", F.when(~F.isnan("sigma"), F.col("sigma"))), [*PAIR, "i"]), "sigma", PAIR)
     return out.select(*PAIR, n("i"), r("scale"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -65,6 +66,77 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _code() -> str:
+    """Digest of this package's sources: a stage of other code is another stage."""
+    root = Path(__file__).resolve().parent
+    digest = hashlib.sha256()
+    for p in sorted(root.rglob("*.py")):
+        digest.update(p.read_bytes())
+    return digest.hexdigest()
+
+
+def fingerprint(df: DataFrame, params: object = ()) -> str | None:
+    """Digest of what a frame is computed from: its plan, its input files with their times and sizes, `params` and this package's code.
+
+    The plan does not show what Python functions close over; that is what `params` are for. None for a frame with rows from memory,
+    whose plan does not show them.
+    """
+    spark = df.sparkSession
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    digest = hashlib.sha256(f"{_code()}|{params!r}|{df.schema.json()}".encode())
+    fields = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(fields, None)
+    spark.conf.set(fields, "100000")  # a plan that is cut short could be taken for another
+    try:
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        spark.conf.unset(fields) if before is None else spark.conf.set(fields, before)
+    if any(leaf in plan for leaf in ("LocalRelation", "LogicalRDD", "ExternalRDD", "InMemoryRelation", "StreamingRelation")):
+        return None
+    digest.update(plan.encode())
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        digest.update(f"|{name}|{status.getModificationTime()}|{status.getLen()}".encode())
+    return digest.hexdigest()[:32]
+
+
+def kept(df: DataFrame, label: str, params: object = ()) -> DataFrame:
+    """Like stored(), below a path by fingerprint: a later run over the same files, parameters and code reads it instead of computing it.
+
+    A stage is written aside and renamed when it is whole, so that a broken run leaves none. prune() removes old ones. A frame with
+    rows from memory is stored for this run alone.
+    """
+    spark, found = df.sparkSession, fingerprint(df, params)
+    if found is None:
+        return stored(df, label)
+    path = f"{shared_folder(spark)}/kept/{label}/{found}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(conf)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        aside = f"{shared_folder(spark)}/kept/{label}/.{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        source = jvm.org.apache.hadoop.fs.Path(aside)
+        if not fs.rename(source, final) or fs.exists(jvm.org.apache.hadoop.fs.Path(final, source.getName())):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(final, source.getName()), True)  # another run was first: its stage is the same
+            fs.delete(source, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def prune(spark: SparkSession, newest: int = 0) -> int:
+    """Removes kept stages but for the `newest` of each label; how many went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/kept")
+    fs, gone = root.getFileSystem(conf), 0
+    if not fs.exists(root):
+        return 0
+    for label in fs.listStatus(root):
+        for old in sorted(fs.listStatus(label.getPath()), key=lambda x: -x.getModificationTime())[newest:]:
+            gone += fs.delete(old.getPath(), True)
+    return gone
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Removes the tables that stored() wrote, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
