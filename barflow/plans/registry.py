@@ -457,7 +457,7 @@ class Rotation:
         self.clock = panel.calendar(raw)
         self.bars = (self.clock.agg(F.max("bar")).first()[0] or -1) + 1
         found = panel.split(raw, FRACTION).first()
-        self.start = found["split_bar"] if start is None else start
+        self.start = start if start is not None else found["split_bar"] if found else 0  # a panel without bars has no split
         self.every, self.top, self.phases = every, top, phases
         rows = raw.join(self.clock, "ts")
         self.signal = rotation.signals(rows, lookback, FAST, SLOW)
